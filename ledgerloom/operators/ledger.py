@@ -69,10 +69,11 @@ def _subtotals(books: Books, id_span: int) -> DataFrame:
     companies = books.companies.select(F.col("id").alias("company_id"))
     return (
         books.lines.where(F.col("parent_state") == "posted")
-        .join(moves, "move_id", "left_semi")
+        .select("account_id", "date", _slot(id_span), "move_id", "company_id", debit_less_credit().alias("amount"))
         .join(companies, "company_id", "left_semi")
-        .groupBy("account_id", "date", _slot(id_span))
-        .agg(F.sum(debit_less_credit()).alias("amount"))
+        .join(moves, "move_id", "left_semi")
+        .groupBy("account_id", "date", "slot")
+        .agg(F.sum("amount").alias("amount"))
     )
 
 

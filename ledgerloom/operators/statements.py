@@ -34,6 +34,7 @@ CASH_FLOW_LIST_COLUMNS = [
 
 GLOBAL = "global"
 COMPANY = "company"
+COMPANY_KEY = "company_id"
 
 
 def income_statement(
@@ -45,10 +46,16 @@ def income_statement(
     neither cost of sales nor operating expenses, but it is in operating income.
     """
     posted = books.moves.where(F.col("state") == "posted").select(F.col("id").alias("move_id"))
-    lines = books.lines.where(within(F.col("date"), date_start, date_end)).join(
-        posted, "move_id", "left_semi"
+    relevant = books.accounts.where(m.is_type(m.INCOME, m.EXPENSE)).select(F.col("id").alias("account_id"))
+    # Only lines of these accounts, and four columns of them, go to meet the entries.
+    lines = (
+        books.lines.where(within(F.col("date"), date_start, date_end))
+        .select("move_id", "account_id", COMPANY_KEY, debit_less_credit().alias("amount"))
+        .join(relevant, "account_id", "left_semi")
+        .join(posted, "move_id", "left_semi")
     )
-    totals = _measure_totals(_account_totals(books, lines, [COMPANY_KEY]), m.income_measures(), COMPANY)
+    accounts = _account_totals(books, lines, [COMPANY_KEY], amount=F.col("amount"))
+    totals = _measure_totals(accounts, m.income_measures(), COMPANY)
     revenue, cost = or_zero(F.col("revenue")), or_zero(F.col("cost_of_sales"))
     net = revenue - or_zero(F.col("all_expenses"))
     header = _header(books, INCOME_TITLE, company_id, _dates(date_start, date_end, today))
@@ -152,12 +159,8 @@ def list_view(statement: DataFrame, columns: list[str]) -> DataFrame:
     return statement.select(*columns)
 
 
-COMPANY_KEY = "company_id"
-
-
 def _account_totals(books: Books, lines: DataFrame, keys: list[str], **amounts: Column) -> DataFrame:
     """Subtotals per account (and ``keys``) with the account's code and type."""
-    amounts = amounts or {"amount": debit_less_credit()}
     accounts = books.accounts.select(F.col("id").alias("account_id"), "code", "internal_type")
     return (
         lines.groupBy("account_id", *keys)
@@ -175,7 +178,8 @@ def _balance_accounts(books: Books, as_of, scope: str) -> DataFrame:
     if scope not in (GLOBAL, COMPANY):
         raise ValueError(f"unknown scope {scope!r}")
     lines = books.lines.where((F.col("parent_state") == "posted") & within(F.col("date"), None, as_of))
-    return _account_totals(books, lines, [COMPANY_KEY] if scope == COMPANY else [])
+    keys = [COMPANY_KEY] if scope == COMPANY else []
+    return _account_totals(books, lines, keys, amount=debit_less_credit())
 
 
 def _cash_flow_all_time(books: Books) -> DataFrame:
