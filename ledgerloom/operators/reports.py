@@ -65,21 +65,23 @@ def _report_accounts(books: Books, reports: DataFrame) -> DataFrame:
     accounts = books.accounts.where(~F.coalesce("deprecated", F.lit(False))).select(
         F.col("id").alias("account_id"), "company_id", "code", "internal_type"
     )
-    return requests.join(accounts, "company_id").where(_covers()).drop("code", "internal_type", "report_type")
+    return requests.join(accounts, "company_id").where(_covers()).drop("code", "internal_type")
 
 
-def _daily_movements(books: Books, reports: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Posted movements per company, account, analytic account and day, of the accounts
-    and days some report asks for.
+def _daily_movements(books: Books, reports: DataFrame) -> DataFrame:
+    """Posted movements per company, account, analytic account and day, of the companies
+    and days that the batch asks for.
 
     Reports overlap and each day's lines go to every report that covers them, so the
-    lines are summed by day before they meet the reports.
+    lines are summed by day before anything is joined or shuffled. What the batch asks
+    for is three scalars, the largest of them one id per company.
     """
     first = reports.agg(F.min("date_start")).scalar()
     last = reports.agg(F.max("date_end")).scalar()
+    companies = reports.select(F.explode("company_ids").alias("id")).agg(F.collect_set("id")).scalar()
     return (
         books.lines.where((F.col("parent_state") == "posted") & F.col("date").between(first, last))
-        .join(wanted.select("account_id", "company_id").distinct(), ["account_id", "company_id"], "left_semi")
+        .where(F.array_contains(companies, F.col("company_id")))
         .groupBy("account_id", "company_id", "analytic_account_id", "date")
         .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
     )
@@ -92,9 +94,8 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
     A line with balance zero is left out unless the report includes zero lines. Then an
     account without movements gets a zero line too, but only when not grouped.
     """
-    asked = _report_accounts(books, reports)
-    daily = _daily_movements(books, reports, asked).alias("daily")
-    asked = asked.alias("asked")
+    asked = _report_accounts(books, reports).alias("asked")
+    daily = _daily_movements(books, reports).alias("daily")
     chosen = F.col("asked.analytic_account_ids")
     in_report = (
         (F.col("asked.account_id") == F.col("daily.account_id"))
@@ -110,8 +111,8 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
     sums = (
         asked.join(daily, in_report, "left")
         .groupBy(
-            "report_id", "asked.company_id", "asked.account_id", "include_zero_lines", "group_by_analytic",
-            group.cast("long").alias("analytic"),
+            "report_id", "asked.company_id", "asked.account_id", group.cast("long").alias("analytic"),
+            "report_type", "date_start", "date_end", "include_zero_lines", "group_by_analytic",
         )
         .agg(
             or_zero(F.sum("debit")).alias("debit"),
@@ -122,12 +123,11 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
         .where(F.col("include_zero_lines") | (F.col("balance") != 0))
         .where((F.col("days") > 0) | ~grouped)
     )
-    return _described(books, reports, sums)
+    return _described(books, sums)
 
 
-def _described(books: Books, reports: DataFrame, sums: DataFrame) -> DataFrame:
-    """Report, account, analytic and currency columns for the summed lines."""
-    headers = reports.select("report_id", "report_type", "date_start", "date_end")
+def _described(books: Books, sums: DataFrame) -> DataFrame:
+    """Account, analytic and currency columns for the summed lines."""
     accounts = books.accounts.select(
         F.col("id").alias("account_id"), F.col("code").alias("account_code"),
         F.col("name").alias("account_name"), F.col("internal_type").alias("account_type"),
@@ -138,8 +138,7 @@ def _described(books: Books, reports: DataFrame, sums: DataFrame) -> DataFrame:
     currencies = books.companies.select(F.col("id").alias("company_id"), "currency_id")
     unassigned = F.col("analytic") == 0
     return (
-        sums.join(headers, "report_id")
-        .join(accounts, "account_id")
+        sums.join(accounts, "account_id")
         .join(analytics, "analytic", "left")
         .join(currencies, "company_id", "left")
         .withColumns({

@@ -79,8 +79,8 @@ def run_reports(books: Books, reports: DataFrame, path: str) -> ReportRun:
     """Check the definitions, replace the lines of the complete ones, and total them."""
     complete, rejected = validate_reports(reports)
     write_report_lines(report_lines(books, complete), complete, path)
-    stored = read_report_lines(books.spark, path)
-    mine = stored.join(complete.select("report_id"), "report_id", "left_semi")
+    batch = complete.agg(F.collect_set("report_id")).scalar()
+    mine = read_report_lines(books.spark, path).where(F.array_contains(batch, F.col("report_id")))
     return ReportRun(mine, report_totals(mine, complete), rejected)
 
 
