@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.sources.schemas import REPORTS
@@ -60,7 +61,10 @@ REFRESHED = [
 
 
 def definitions(spark: SparkSession, batch: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(batch, REPORTS)
+    """The batch as a local relation: its size is known to the planner."""
+    columns = dict(zip(REPORTS.names, map(list, zip(*batch))))
+    ids = {name: pa.array(columns[name], pa.list_(pa.int64())) for name in ("company_ids", "analytic_account_ids")}
+    return spark.createDataFrame(pa.table({**columns, **ids}), REPORTS)
 
 
 def definitions_sql(batch: list[tuple]) -> str:

@@ -25,40 +25,57 @@ class Books:
         return self.lines.sparkSession
 
 
-def _scan(spark: SparkSession, directory: str, name: str, schema, fmt: str) -> DataFrame:
+TABLES = {
+    "lines": ("account_move_line", schemas.LINES),
+    "moves": ("account_move", schemas.MOVES),
+    "accounts": ("account_account", schemas.ACCOUNTS),
+    "companies": ("res_company", schemas.COMPANIES),
+    "analytics": ("account_analytic_account", schemas.ANALYTICS),
+}
+REPORT_DEFINITIONS = ("report_definition", schemas.REPORTS)
+
+
+def _scan(spark: SparkSession, directory: str, table: tuple, fmt: str) -> DataFrame:
+    name, schema = table
     return schemas.conform(spark.read.format(fmt).load(f"{directory}/{name}"), schema)
 
 
 def lines(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "account_move_line", schemas.LINES, fmt)
+    return _scan(spark, directory, TABLES["lines"], fmt)
 
 
 def moves(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "account_move", schemas.MOVES, fmt)
+    return _scan(spark, directory, TABLES["moves"], fmt)
 
 
 def accounts(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "account_account", schemas.ACCOUNTS, fmt)
+    return _scan(spark, directory, TABLES["accounts"], fmt)
 
 
 def companies(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "res_company", schemas.COMPANIES, fmt)
+    return _scan(spark, directory, TABLES["companies"], fmt)
 
 
 def analytics(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "account_analytic_account", schemas.ANALYTICS, fmt)
+    return _scan(spark, directory, TABLES["analytics"], fmt)
 
 
 def report_definitions(spark: SparkSession, directory: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, directory, "report_definition", schemas.REPORTS, fmt)
+    return _scan(spark, directory, REPORT_DEFINITIONS, fmt)
 
 
 def load_books(spark: SparkSession, directory: str, fmt: str = "parquet") -> Books:
-    """Books from ``<directory>/account_move_line`` and its four sibling tables."""
-    return Books(
-        lines=lines(spark, directory, fmt),
-        moves=moves(spark, directory, fmt),
-        accounts=accounts(spark, directory, fmt),
-        companies=companies(spark, directory, fmt),
-        analytics=analytics(spark, directory, fmt),
-    )
+    """Books from the files under ``<directory>/account_move_line`` and its four siblings."""
+    return Books(**{kind: _scan(spark, directory, table, fmt) for kind, table in TABLES.items()})
+
+
+def table_books(spark: SparkSession, database: str = "default") -> Books:
+    """Books from tables of the catalog.
+
+    With ``account_move_line`` bucketed by ``move_id`` and ``account_move`` by ``id`` into
+    the same number of buckets, lines meet their entries without a shuffle.
+    """
+    return Books(**{
+        kind: schemas.conform(spark.table(f"{database}.{name}"), schema)
+        for kind, (name, schema) in TABLES.items()
+    })

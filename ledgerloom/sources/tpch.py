@@ -16,9 +16,21 @@ CODE_PREFIXES = ["1011", "1012", "12", "16", "3", "20", "27", "4",
                  "50", "70", "75", "51", "60", "681", "682", None]
 ACCOUNT_TYPES = ["asset"] * 5 + ["liability"] * 3 + ["equity"] + ["income"] * 2 + ["expense"] * 5
 
+# The columns read here, with the types of the files; stated, so that no job infers them.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string",
+    "supplier": "s_suppkey bigint, s_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+                " l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+                " l_linestatus string, l_shipdate timestamp_ntz",
+}
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str | None], index) -> F.Column:
