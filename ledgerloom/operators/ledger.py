@@ -29,18 +29,36 @@ def default_order() -> list[Column]:
 
 def ledger_base(books: Books) -> DataFrame:
     """Posted lines whose entry and company exist, without the balance."""
+    return _named(books, _posted(books))
+
+
+def _posted(books: Books) -> DataFrame:
+    return books.lines.where(F.col("parent_state") == "posted")
+
+
+def _named(books: Books, lines: DataFrame) -> DataFrame:
+    """Lines with the name of their entry and the currency of their company; those that
+    lack either drop out."""
     moves = books.moves.select(F.col("id").alias("move_id"), F.col("name").alias("move_name"))
     currencies = books.companies.select(
         F.col("id").alias("company_id"), F.col("currency_id").alias("company_currency_id")
     )
     return (
-        books.lines.where(F.col("parent_state") == "posted")
+        lines.join(currencies, "company_id")
         .join(moves, "move_id")
-        .join(currencies, "company_id")
         .select(*[c for c in LEDGER_COLUMNS if c != "balance"])
     )
 
 
+def _in_ledger(books: Books, lines: DataFrame) -> DataFrame:
+    """The posted lines that ``_named`` would keep, without naming them."""
+    if books.complete:
+        return lines
+    moves = books.moves.select(F.col("id").alias("move_id"))
+    companies = books.companies.select(F.col("id").alias("company_id"))
+    return lines.join(companies, "company_id", "left_semi").join(moves, "move_id", "left_semi")
+
+
 def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN) -> DataFrame:
     """Every ledger line with the balance of its account up to and including it.
 
@@ -65,15 +83,11 @@ def _slot(id_span: int) -> Column:
 
 def _subtotals(books: Books, id_span: int) -> DataFrame:
     """Movement per account, day and slot, over the lines the ledger has."""
-    moves = books.moves.select(F.col("id").alias("move_id"))
-    companies = books.companies.select(F.col("id").alias("company_id"))
+    lines = _posted(books).select(
+        "account_id", "date", _slot(id_span), "move_id", "company_id", debit_less_credit().alias("amount")
+    )
     return (
-        books.lines.where(F.col("parent_state") == "posted")
-        .select("account_id", "date", _slot(id_span), "move_id", "company_id", debit_less_credit().alias("amount"))
-        .join(companies, "company_id", "left_semi")
-        .join(moves, "move_id", "left_semi")
-        .groupBy("account_id", "date", "slot")
-        .agg(F.sum("amount").alias("amount"))
+        _in_ledger(books, lines).groupBy("account_id", "date", "slot").agg(F.sum("amount").alias("amount"))
     )
 
 
@@ -107,16 +121,14 @@ def _opening_balances(books: Books, id_span: int) -> DataFrame:
 
 def _with_balance(base: DataFrame, openings: DataFrame, id_span: int) -> DataFrame:
     """Running sum inside each slot, led by the slot's opening balance (a row without id)."""
-    movements = base.select("*", _slot(id_span), debit_less_credit().alias("amount"))
     so_far = (
         Window.partitionBy("account_id", "date", "slot").orderBy(F.col("id").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        movements.unionByName(
-            openings.withColumnRenamed("opening", "amount"), allowMissingColumns=True
-        )
-        .withColumn("balance", money(F.sum("amount").over(so_far)))
+        base.withColumn("slot", _slot(id_span))
+        .unionByName(openings, allowMissingColumns=True)
+        .withColumn("balance", money(F.sum(F.coalesce("opening", debit_less_credit())).over(so_far)))
         .where(F.col("id").isNotNull())
         .select(*LEDGER_COLUMNS)
     )
@@ -126,15 +138,16 @@ def ledger_first_page(books: Books, size: int = 80) -> DataFrame:
     """The first ``size`` ledger lines in default order.
 
     All lines of an account ahead of a line on the page are on the page too, so the
-    running balance of the page is that of the ledger.
+    running balance of the page is that of the ledger. Only the page is named.
     """
-    page = ledger_base(books).orderBy(*default_order()).limit(size)
+    lines = _in_ledger(books, _posted(books)).orderBy(*default_order()).limit(size)
     so_far = (
         Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last(), "id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        page.withColumn("balance", money(F.sum(debit_less_credit()).over(so_far)))
+        _named(books, lines)
+        .withColumn("balance", money(F.sum(debit_less_credit()).over(so_far)))
         .select(*LEDGER_COLUMNS)
         .orderBy(*default_order())
     )
@@ -175,7 +188,7 @@ def ledger_groups(books: Books, by: str = "account_id", grand_total: bool = Fals
     """
     if by not in ("account_id", "journal_id", "partner_id"):
         raise ValueError(f"cannot group the ledger by {by!r}")
-    groups = ledger_base(books).groupBy(by).agg(
+    groups = _in_ledger(books, _posted(books)).groupBy(by).agg(
         F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("line_count")
     )
     if grand_total:
@@ -194,11 +207,11 @@ def move_of_line(books: Books, line_ids: DataFrame | Iterable[int]) -> DataFrame
     ``line_ids`` is a list of ids or a frame with an ``id`` column. A line that is not in
     the ledger, or has no entry, opens nothing.
     """
-    base = ledger_base(books)
+    lines = _in_ledger(books, _posted(books))
     if isinstance(line_ids, DataFrame):
-        chosen = base.join(line_ids.select("id"), "id", "left_semi")
+        chosen = lines.join(line_ids.select("id"), "id", "left_semi")
     else:
-        chosen = base.where(F.col("id").isin(list(line_ids)))
+        chosen = lines.where(F.col("id").isin(list(line_ids)))
     return entries_of(books, chosen)
 
 

@@ -79,7 +79,7 @@ QUERIES: dict[str, Query] = {
     "ledger_by_partner": _on_books(partial(ledger.ledger_groups, by="partner_id")),
     "ledger_rollup": _on_books(partial(ledger.ledger_groups, by="partner_id", grand_total=True)),
     "ledger_drill_through": _on_books(
-        lambda b: ledger.move_of_line(b, ledger.ledger_base(b).where("ref = 'RF'"))
+        lambda b: ledger.entries_of(b, ledger.ledger_base(b).where("ref = 'RF'"))
     ),
     "ledger_views": _views,
     "income_statement": _on_books(partial(statements.income_statement, today=TODAY)),

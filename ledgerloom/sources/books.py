@@ -12,13 +12,19 @@ from ledgerloom.sources import schemas
 @dataclass(frozen=True)
 class Books:
     """One set of books. ``lines`` is the large table, ``moves`` is the next one;
-    the other three are dimensions. All of them are lazy."""
+    the other three are dimensions. All of them are lazy.
+
+    ``complete`` says that every line has an existing entry and an existing company, as
+    where foreign keys enforce it. Joins that only check this are then left out. Without
+    it they are made, and lines that lack either are not in the ledger.
+    """
 
     lines: DataFrame
     moves: DataFrame
     accounts: DataFrame
     companies: DataFrame
     analytics: DataFrame
+    complete: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -64,18 +70,23 @@ def report_definitions(spark: SparkSession, directory: str, fmt: str = "parquet"
     return _scan(spark, directory, REPORT_DEFINITIONS, fmt)
 
 
-def load_books(spark: SparkSession, directory: str, fmt: str = "parquet") -> Books:
+def load_books(
+    spark: SparkSession, directory: str, fmt: str = "parquet", complete: bool = False
+) -> Books:
     """Books from the files under ``<directory>/account_move_line`` and its four siblings."""
-    return Books(**{kind: _scan(spark, directory, table, fmt) for kind, table in TABLES.items()})
+    tables = {kind: _scan(spark, directory, table, fmt) for kind, table in TABLES.items()}
+    return Books(**tables, complete=complete)
 
 
-def table_books(spark: SparkSession, database: str = "default") -> Books:
+def table_books(spark: SparkSession, database: str = "default", complete: bool = False) -> Books:
     """Books from tables of the catalog.
 
     With ``account_move_line`` bucketed by ``move_id`` and ``account_move`` by ``id`` into
-    the same number of buckets, lines meet their entries without a shuffle.
+    the same number of buckets, lines meet their entries without a shuffle. That layout
+    is for books without giant entries: a bucket is one task, which nothing splits.
     """
-    return Books(**{
+    tables = {
         kind: schemas.conform(spark.table(f"{database}.{name}"), schema)
         for kind, (name, schema) in TABLES.items()
-    })
+    }
+    return Books(**tables, complete=complete)

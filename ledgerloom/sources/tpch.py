@@ -123,12 +123,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tpch_books(spark: SparkSession, sf_dir: str) -> Books:
+    """The derived books. They are complete: lines are made by a join with the orders, and
+    their company number is that of one of the regions 0 to 4."""
     return Books(
         lines=lines(spark, sf_dir),
         moves=moves(spark, sf_dir),
         accounts=accounts(spark, sf_dir),
         companies=companies(spark, sf_dir),
         analytics=analytics(spark, sf_dir),
+        complete=True,
     )
 
 
