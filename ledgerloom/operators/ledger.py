@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -134,6 +135,31 @@ def _with_balance(base: DataFrame, openings: DataFrame, id_span: int) -> DataFra
     )
 
 
+def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> DataFrame:
+    """The chosen ledger lines with the balance that ``general_ledger`` gives them.
+
+    All lines go through the window, but as bare amounts. A chosen line reads the sum
+    right behind its own amount and carries its other columns along.
+    """
+    amounts = _in_ledger(books, _posted(books).select(
+        "account_id", "date", _slot(id_span), "id", "move_id", "company_id", debit_less_credit().alias("amount")
+    )).drop("move_id", "company_id")
+    readers = chosen.select("account_id", "date", _slot(id_span), "id", F.struct(*chosen.columns).alias("line"))
+    so_far = (
+        Window.partitionBy("account_id", "date", "slot")
+        .orderBy(F.col("id").asc_nulls_first(), F.col("line").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        amounts.unionByName(readers, allowMissingColumns=True)
+        .unionByName(_opening_balances(books, id_span), allowMissingColumns=True)
+        .withColumn("balance", money(F.sum(F.coalesce("opening", "amount")).over(so_far)))
+        .where(F.col("line").isNotNull())
+        .select("line.*", "balance")
+        .select(*LEDGER_COLUMNS)
+    )
+
+
 def ledger_first_page(books: Books, size: int = 80) -> DataFrame:
     """The first ``size`` ledger lines in default order.
 
@@ -170,14 +196,18 @@ def ledger_search(
 
     The balance is the account's, whether its other lines match or not.
     """
-    found = general_ledger(books)
-    for name, value in [("account_id", account_id), ("partner_id", partner_id), ("journal_id", journal_id)]:
-        if value is not None:
-            found = found.where(F.col(name) == value)
-    for name, text in [("move_name", move_name), ("ref", ref)]:
-        if text is not None:
-            found = found.where(contains_ignoring_case(F.col(name), text))
-    return found
+    if account_id is not None:
+        books = replace(books, lines=books.lines.where(F.col("account_id") == account_id))
+    terms = [F.col(name) == value for name, value in
+             [("partner_id", partner_id), ("journal_id", journal_id)] if value is not None]
+    terms += [contains_ignoring_case(F.col(name), text) for name, text in
+              [("move_name", move_name), ("ref", ref)] if text is not None]
+    if not terms:
+        return general_ledger(books)
+    found = ledger_base(books)
+    for term in terms:
+        found = found.where(term)
+    return _balance_at(books, found)
 
 
 def ledger_groups(books: Books, by: str = "account_id", grand_total: bool = False) -> DataFrame:
