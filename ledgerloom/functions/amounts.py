@@ -25,18 +25,19 @@ def within(date: Column, date_start=None, date_end=None) -> Column:
     """Both ends included and optional; with any end given, undated lines are out."""
     inside = F.lit(True)
     if date_start is not None:
-        inside = inside & (date >= _day(date_start))
+        inside = inside & (date >= day(date_start))
     if date_end is not None:
-        inside = inside & (date <= _day(date_end))
+        inside = inside & (date <= day(date_end))
     return inside
 
 
-def _day(value) -> Column:
+def day(value) -> Column:
+    """A date given as text, as a date or as a column."""
     return value if isinstance(value, Column) else F.lit(value).cast("date")
 
 
 def day_or_today(value) -> Column:
-    return F.current_date() if value is None else _day(value)
+    return F.current_date() if value is None else day(value)
 
 
 def contains_ignoring_case(text: Column, needle: str) -> Column:

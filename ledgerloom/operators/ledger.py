@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.amounts import (
-    contains_ignoring_case, debit_less_credit, money, within,
+    contains_ignoring_case, day, debit_less_credit, money, within,
 )
 from ledgerloom.sources.books import Books
 
@@ -72,7 +72,8 @@ def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN)
     (lines of a slot).
 
     Filters on ``account_id`` and ``date`` reach the scan of the full lines; a date
-    filter leaves the opening balances alone, which still count earlier lines.
+    filter leaves the opening balances alone, which still count earlier lines. For a
+    known period or account, ``ledger_between`` and ``ledger_search`` do less.
     """
     ledger = _with_balance(ledger_base(books), _opening_balances(books, id_span), id_span)
     return ledger.orderBy(*default_order()) if ordered else ledger
@@ -82,28 +83,39 @@ def _slot(id_span: int) -> Column:
     return F.expr(f"id div {int(id_span)}").alias("slot")
 
 
-def _subtotals(books: Books, id_span: int) -> DataFrame:
-    """Movement per account, day and slot, over the lines the ledger has."""
+def _subtotals(books: Books, id_span: int, since: Column | None) -> DataFrame:
+    """Movement per account, day and slot, over the lines the ledger has. All days before
+    ``since`` count as the day before it."""
     lines = _posted(books).select(
         "account_id", "date", _slot(id_span), "move_id", "company_id", debit_less_credit().alias("amount")
     )
+    if since is not None:
+        earlier = F.col("date") < since
+        lines = lines.withColumns({
+            "date": F.when(earlier, F.date_sub(since, 1)).otherwise(F.col("date")),
+            "slot": F.when(earlier, 0).otherwise(F.col("slot")),
+        })
     return (
         _in_ledger(books, lines).groupBy("account_id", "date", "slot").agg(F.sum("amount").alias("amount"))
     )
 
 
-def _opening_balances(books: Books, id_span: int) -> DataFrame:
-    """Balance of the account before each (account, day, slot); absent where there is
-    no earlier amount."""
-    subtotals = _subtotals(books, id_span)
+def _opening_balances(books: Books, id_span: int, since: Column | None = None) -> DataFrame:
+    """Balance of the account before each (account, day, slot) from ``since`` on; absent
+    where there is no earlier amount."""
+    subtotals = _subtotals(books, id_span, since)
     earlier_days = (
         Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # New aliases for the keys: they let Spark see that both sides of the union below start
+    # from the same subtotals, which are then computed once.
     day_openings = (
         subtotals.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
         .select(
-            "account_id", "date", F.lit(None).cast("long").alias("slot"),
+            F.col("account_id").alias("account_id"),
+            F.col("date").alias("date"),
+            F.lit(None).cast("long").alias("slot"),
             F.sum("amount").over(earlier_days).alias("amount"),
         )
     )
@@ -113,7 +125,7 @@ def _opening_balances(books: Books, id_span: int) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        subtotals.unionByName(day_openings)
+        day_openings.unionByName(subtotals)
         .withColumn("opening", F.sum("amount").over(earlier_slots))
         .where(F.col("slot").isNotNull() & F.col("opening").isNotNull())
         .select("account_id", "date", "slot", "opening")
@@ -180,8 +192,15 @@ def ledger_first_page(books: Books, size: int = 80) -> DataFrame:
 
 
 def ledger_between(books: Books, date_start=None, date_end=None) -> DataFrame:
-    """Ledger lines of a period; their balance includes all earlier lines."""
-    return general_ledger(books).where(within(F.col("date"), date_start, date_end))
+    """Ledger lines of a period; their balance includes all earlier lines.
+
+    Earlier lines shrink to one opening balance per account, later ones are not read.
+    """
+    if date_end is not None:
+        books = replace(books, lines=books.lines.where(within(F.col("date"), None, date_end)))
+    since = None if date_start is None else day(date_start)
+    period = replace(books, lines=books.lines.where(within(F.col("date"), date_start, None)))
+    return _with_balance(ledger_base(period), _opening_balances(books, ID_SPAN, since), ID_SPAN)
 
 
 def ledger_search(

@@ -7,6 +7,7 @@ must still be right, and no group that a task has to sort whole may hold that th
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import DataFrame, Window, functions as F
@@ -92,10 +93,20 @@ def test_ledger_never_windows_a_whole_account_of_lines(stored_books):
     assert keys == [["account_id", "date", "slot", "id"], ["account_id", "date", "slot"], ["account_id", "date"]]
 
 
+@pytest.mark.parametrize("complete", [False, True])
+def test_subtotals_are_computed_once(stored_books, complete):
+    execution = ledger.general_ledger(replace(stored_books, complete=complete))._jdf.queryExecution()
+    execution.toRdd().count()
+    final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[account_id#\d+L, date#\d+, slot#\d+L, sum#", final), final
+    scanned = [line for line in final.split("\n") if "FileScan" in line and "account_id#" in line]
+    assert len(scanned) == 2
+
+
 def test_filters_reach_the_scan_of_lines(stored_books):
     by_account = scans(ledger.ledger_search(stored_books, account_id=7), "account_id")
     assert by_account and all("EqualTo(account_id,7)" in line or "account_i" in line for line in by_account)
-    between = plan(ledger.ledger_between(stored_books, "1996-03-01", "1997-02-28"))
+    between = plan(ledger.general_ledger(stored_books).where("date between '1996-03-01' and '1997-02-28'"))
     lines = [x for x in between.split("\n") if "FileScan" in x and "account_id#" in x]
     assert len(lines) == 3
     full = [x for x in lines if "partner_id#" in x]
@@ -104,6 +115,35 @@ def test_filters_reach_the_scan_of_lines(stored_books):
     assert sum("GreaterThan" not in x and ">=" not in x for x in lines) == 1
 
 
+def test_period_reads_full_lines_of_the_period_only(stored_books):
+    text = plan(ledger.ledger_between(stored_books, "1996-03-01", "1997-02-28"))
+    lines = {"partner_id#" in x: x for x in text.split("\n") if "FileScan" in x and "account_id#" in x}
+    assert ">= 1996" in lines[True] or "GreaterThanOrEqual(date" in lines[True]
+    assert "<= 1997" in lines[False] or "LessThanOrEqual(date" in lines[False]
+    assert ">= 1996" not in lines[False] and "GreaterThanOrEqual(date" not in lines[False]
+
+
+def test_search_shuffles_amounts_and_matches_only(stored_books, skewed):
+    found = ledger.ledger_search(stored_books, partner_id=7)
+    full = [x for x in scans(found, "account_id") if "partner_id#" in x]
+    assert len(full) == 1 and "partner_id#" in full[0].split("DataFilters")[1]
+    for terms in (dict(partner_id=7), dict(journal_id=2, ref="f"), dict(account_id=HOT, ref="r")):
+        rows = ledger.ledger_search(skewed, **terms)
+        conditions = [f"{k} = {v}" if isinstance(v, int) else f"{k} ilike '%{v}%'" for k, v in terms.items()]
+        filtered = ledger.general_ledger(skewed).where(" and ".join(conditions))
+        assert sorted(map(str, rows.collect())) == sorted(map(str, filtered.collect()))
+        assert rows.count() > 0
+
+
+def test_period_of_skewed_books(skewed):
+    for start, end in [("1996-06-30", "1996-06-30"), ("1996-07-01", "1997-01-01"), (None, "1996-06-30"), ("1996-06-01", None)]:
+        rows = ledger.ledger_between(skewed, start, end)
+        whole = ledger.general_ledger(skewed).where(
+            f"date >= '{start or '1900-01-01'}' and date <= '{end or '2100-01-01'}'"
+        )
+        assert sorted(map(str, rows.collect())) == sorted(map(str, whole.collect()))
+
+
 @pytest.mark.parametrize("make, expected", [
     (statements.income_statement, 1), (statements.balance_sheet, 1), (statements.cash_flow, 1),
     (lambda b: statements.cash_flow(b, date_start="1996-01-01"), 1),
