@@ -68,22 +68,33 @@ def _report_accounts(books: Books, reports: DataFrame) -> DataFrame:
     return requests.join(accounts, "company_id").where(_covers()).drop("code", "internal_type")
 
 
-def _daily_movements(books: Books, reports: DataFrame) -> DataFrame:
-    """Posted movements per company, account, analytic account and day, of the companies
-    and days that the batch asks for.
-
-    Reports overlap and each day's lines go to every report that covers them, so the
-    lines are summed by day before anything is joined or shuffled. What the batch asks
-    for is three scalars, the largest of them one id per company.
+def _movements(books: Books, reports: DataFrame) -> DataFrame:
+    """Posted movements per company, account, analytic account and stretch of days, of the
+    companies and days that the batch asks for.
+
+    No report of the batch begins or ends inside a stretch, so its first day (``date``)
+    stands for all of it. Lines are summed by day ahead of any shuffle or join, and days by
+    stretch ahead of the join, where each row goes to every report that covers it. The
+    scalars taken from the batch hold two days per report and one id per company.
     """
     first = reports.agg(F.min("date_start")).scalar()
     last = reports.agg(F.max("date_end")).scalar()
     companies = reports.select(F.explode("company_ids").alias("id")).agg(F.collect_set("id")).scalar()
-    return (
+    bounds = F.explode(F.array("date_start", F.date_add("date_end", 1)))
+    starts = reports.select(bounds.alias("day")).agg(F.collect_set("day")).scalar()
+    stretch = F.array_max(F.filter(F.col("starts"), lambda day: day <= F.col("date")))
+    amounts = [F.sum(side).alias(side) for side in ("debit", "credit")]
+    by_day = (
         books.lines.where((F.col("parent_state") == "posted") & F.col("date").between(first, last))
         .where(F.array_contains(companies, F.col("company_id")))
         .groupBy("account_id", "company_id", "analytic_account_id", "date")
-        .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+        .agg(*amounts)
+    )
+    return (
+        by_day.repartition("account_id", "company_id")
+        .withColumn("starts", starts)
+        .groupBy("account_id", "company_id", "analytic_account_id", stretch.alias("date"))
+        .agg(*amounts)
     )
 
 
@@ -95,21 +106,21 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
     account without movements gets a zero line too, but only when not grouped.
     """
     asked = _report_accounts(books, reports).alias("asked")
-    daily = _daily_movements(books, reports).alias("daily")
+    moved = _movements(books, reports).alias("moved")
     chosen = F.col("asked.analytic_account_ids")
     in_report = (
-        (F.col("asked.account_id") == F.col("daily.account_id"))
-        & (F.col("asked.company_id") == F.col("daily.company_id"))
-        & F.col("daily.date").between(F.col("asked.date_start"), F.col("asked.date_end"))
+        (F.col("asked.account_id") == F.col("moved.account_id"))
+        & (F.col("asked.company_id") == F.col("moved.company_id"))
+        & F.col("moved.date").between(F.col("asked.date_start"), F.col("asked.date_end"))
         & (
             chosen.isNull() | (F.size(chosen) == 0)
-            | F.array_contains(chosen, F.col("daily.analytic_account_id"))
+            | F.array_contains(chosen, F.col("moved.analytic_account_id"))
         )
     )
     grouped = F.col("group_by_analytic")
-    group = F.when(grouped, F.coalesce("daily.analytic_account_id", F.lit(0))).otherwise(F.lit(0))
+    group = F.when(grouped, F.coalesce("moved.analytic_account_id", F.lit(0))).otherwise(F.lit(0))
     sums = (
-        asked.join(daily, in_report, "left")
+        asked.join(moved, in_report, "left")
         .groupBy(
             "report_id", "asked.company_id", "asked.account_id", group.cast("long").alias("analytic"),
             "report_type", "date_start", "date_end", "include_zero_lines", "group_by_analytic",
@@ -117,11 +128,11 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
         .agg(
             or_zero(F.sum("debit")).alias("debit"),
             or_zero(F.sum("credit")).alias("credit"),
-            F.count("daily.date").alias("days"),
+            F.count("moved.date").alias("stretches"),
         )
         .withColumn("balance", or_zero(F.col("debit") - F.col("credit")))
         .where(F.col("include_zero_lines") | (F.col("balance") != 0))
-        .where((F.col("days") > 0) | ~grouped)
+        .where((F.col("stretches") > 0) | ~grouped)
     )
     return _described(books, sums)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.functions.amounts import day_or_today, debit_less_credit, or_zero, within
+from ledgerloom.functions.amounts import day, day_or_today, debit_less_credit, or_zero, within
 from ledgerloom.operators import measures as m
 from ledgerloom.sources.books import Books
 
@@ -219,10 +219,10 @@ def _cash_flow_period(books: Books, date_start, date_end) -> DataFrame:
 
 
 def _dates(date_start, date_end, today) -> dict[str, Column]:
-    return {
-        "date_start": day_or_today(date_start if date_start is not None else today),
-        "date_end": day_or_today(date_end if date_end is not None else today),
-    }
+    """The period of a statement, an open end as null; without any period, today."""
+    if date_start is None and date_end is None:
+        date_start = date_end = day_or_today(today)
+    return {"date_start": day(date_start), "date_end": day(date_end)}
 
 
 def _header(books: Books, title: str, company_id: int | None, dates: dict[str, Column]) -> DataFrame:
@@ -232,7 +232,7 @@ def _header(books: Books, title: str, company_id: int | None, dates: dict[str, C
     companies = books.companies.withColumnRenamed("id", "company_id").select(
         number.alias("id"),
         F.concat(F.lit(title), F.coalesce("name", F.lit(UNNAMED_COMPANY))).alias("name"),
-        *[day.alias(name) for name, day in dates.items()],
+        *[value.alias(name) for name, value in dates.items()],
         "company_id",
         "currency_id",
     )

@@ -42,7 +42,7 @@ class ReportRun(NamedTuple):
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); without
     that setting, as in tests, in a new local folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared or tempfile.mkdtemp(prefix='ledgerloom-')}/{name}-{uuid.uuid4().hex}"
 
 

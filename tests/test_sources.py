@@ -97,9 +97,17 @@ def test_store_reads_only_the_partitions_of_the_batch(spark, make_books, make_re
     assert report_store.read_report_lines(spark, path).count() == 5
 
 
-def test_scratch_table_uses_the_shared_folder(spark):
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    first, second = report_store.scratch_table(spark, "t"), report_store.scratch_table(spark, "t")
-    assert first != second
-    if shared:
-        assert first.startswith(shared)
+def test_scratch_table_uses_the_shared_folder():
+    class Session:
+        def __init__(self, **settings):
+            self.conf = settings
+
+    shared = Session(**{"spark.checkpoint.dir": "hdfs://shared/scratch"})
+    first, second = report_store.scratch_table(shared, "t"), report_store.scratch_table(shared, "t")
+    assert first != second and first.startswith("hdfs://shared/scratch/t-")
+    assert "/t-" in report_store.scratch_table(Session(), "t")
+
+
+def test_scratch_table_reads_the_setting_of_a_session(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    assert report_store.scratch_table(spark, "t").startswith(shared or "/")
