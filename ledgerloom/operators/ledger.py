@@ -20,8 +20,12 @@ LIST_COLUMNS = [
     "date", "move_name", "account_id", "journal_id", "partner_id", "ref", "debit", "credit", "balance",
 ]
 
-# Ids a single slot spans. Ids are unique, so no slot holds more lines than this.
+# An account's day with more lines than this is cut into slots of as many consecutive ids.
+# Ids are unique, so no slot holds more lines either.
 ID_SPAN = 10_000_000
+# From this span on, the list of such days is short enough to broadcast unasked: one row per
+# million lines at most. With a smaller span Spark decides, by size.
+BROADCAST_SPAN = 1_000_000
 
 
 def default_order() -> list[Column]:
@@ -65,81 +69,104 @@ def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN)
 
     The balance runs over ``(date, id)``, undated lines last, across all history. One
     account may hold a large share of the journal, so no task ever gets a whole account:
-    an account is cut into days and a day into slots of ``id_span`` consecutive ids.
-    Pre-aggregated subtotals give the opening balance of each slot, and the only pass
-    over full lines is a window inside one slot. Groups are bounded by the calendar (days
-    of an account), by the id range over ``id_span`` (slots of a day) and by ``id_span``
-    (lines of a slot).
+    an account is cut into days, and a day with more than ``id_span`` lines into slots of
+    ``id_span`` consecutive ids. Sums made ahead of the shuffle give the opening balance of
+    each day and slot, and the only pass over full lines is a window inside one of them.
+    Groups are bounded by the calendar (days of an account), by the id range over
+    ``id_span`` (slots of a day) and by ``id_span`` (lines of a slot).
 
     Filters on ``account_id`` and ``date`` reach the scan of the full lines; a date
     filter leaves the opening balances alone, which still count earlier lines. For a
     known period or account, ``ledger_between`` and ``ledger_search`` do less.
     """
-    ledger = _with_balance(ledger_base(books), _opening_balances(books, id_span), id_span)
+    ledger = _with_balance(books, ledger_base(books), _opening_balances(books, books, id_span), id_span)
     return ledger.orderBy(*default_order()) if ordered else ledger
 
 
+def _amounts(books: Books, *columns: str) -> DataFrame:
+    """The lines of the ledger, as ``columns`` and their amount."""
+    lines = _posted(books).select(*columns, "move_id", "company_id", debit_less_credit().alias("amount"))
+    return _in_ledger(books, lines).select(*columns, "amount")
+
+
+def _busy_days(books: Books, id_span: int) -> DataFrame:
+    """The days of an account with more than ``id_span`` lines, so at most one per
+    ``id_span`` lines of the journal."""
+    busy = (
+        _posted(books).groupBy("account_id", "date").agg(F.count("*").alias("line_count"))
+        .where(F.col("line_count") > id_span)
+        .select(
+            F.col("account_id").alias("busy_account"), F.col("date").alias("busy_date"), F.lit(True).alias("busy")
+        )
+    )
+    return F.broadcast(busy) if id_span >= BROADCAST_SPAN else busy
+
+
+def _on_busy_day() -> Column:
+    return F.col("account_id").eqNullSafe(F.col("busy_account")) & F.col("date").eqNullSafe(F.col("busy_date"))
+
+
 def _slot(id_span: int) -> Column:
-    return F.expr(f"id div {int(id_span)}").alias("slot")
+    return F.expr(f"id div {int(id_span)}")
 
 
-def _subtotals(books: Books, id_span: int, since: Column | None) -> DataFrame:
-    """Movement per account, day and slot, over the lines the ledger has. All days before
-    ``since`` count as the day before it."""
-    lines = _posted(books).select(
-        "account_id", "date", _slot(id_span), "move_id", "company_id", debit_less_credit().alias("amount")
+def _with_slot(books: Books, lines: DataFrame, id_span: int) -> DataFrame:
+    """Lines with the slot they are in, null on days that are not cut."""
+    return lines.join(_busy_days(books, id_span), _on_busy_day(), "left").select(
+        *lines.columns, F.when(F.col("busy"), _slot(id_span)).alias("slot")
     )
+
+
+def _days(books: Books, since: Column | None) -> DataFrame:
+    """Movement per account and day. All days before ``since`` count as the day before it."""
+    lines = _amounts(books, "account_id", "date")
     if since is not None:
-        earlier = F.col("date") < since
-        lines = lines.withColumns({
-            "date": F.when(earlier, F.date_sub(since, 1)).otherwise(F.col("date")),
-            "slot": F.when(earlier, 0).otherwise(F.col("slot")),
-        })
-    return (
-        _in_ledger(books, lines).groupBy("account_id", "date", "slot").agg(F.sum("amount").alias("amount"))
-    )
+        clipped = F.when(F.col("date") < since, F.date_sub(since, 1)).otherwise(F.col("date"))
+        lines = lines.withColumn("date", clipped)
+    return lines.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
 
 
-def _opening_balances(books: Books, id_span: int, since: Column | None = None) -> DataFrame:
-    """Balance of the account before each (account, day, slot) from ``since`` on; absent
-    where there is no earlier amount."""
-    subtotals = _subtotals(books, id_span, since)
+def _opening_balances(books: Books, period: Books, id_span: int, since: Column | None = None) -> DataFrame:
+    """Balance of the account before each day and slot of ``period``, which begins with
+    ``since``; absent where there is no earlier amount."""
     earlier_days = (
         Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # New aliases for the keys: they let Spark see that both sides of the union below start
-    # from the same subtotals, which are then computed once.
-    day_openings = (
-        subtotals.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
-        .select(
-            F.col("account_id").alias("account_id"),
-            F.col("date").alias("date"),
-            F.lit(None).cast("long").alias("slot"),
-            F.sum("amount").over(earlier_days).alias("amount"),
-        )
+    days = _days(books, since).select(
+        F.col("account_id").alias("account_id"),
+        F.col("date").alias("date"),
+        F.lit(None).cast("long").alias("slot"),
+        F.sum("amount").over(earlier_days).alias("opening"),
+    ).where(F.col("opening").isNotNull())
+
+    busy = _busy_days(period, id_span)
+    slots = (
+        _amounts(period, "account_id", "date", "id").join(busy, _on_busy_day())
+        .groupBy("account_id", "date", _slot(id_span).alias("slot")).agg(F.sum("amount").alias("amount"))
     )
-    # A day's opening balance travels through its slots as one more row ahead of them.
+    # A busy day's opening balance travels through its slots as one more row ahead of them.
     earlier_slots = (
         Window.partitionBy("account_id", "date").orderBy(F.col("slot").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        day_openings.unionByName(subtotals)
-        .withColumn("opening", F.sum("amount").over(earlier_slots))
+    slot_openings = (
+        days.join(busy, _on_busy_day()).select("account_id", "date", "slot", F.col("opening").alias("amount"))
+        .unionByName(slots)
+        .select("account_id", "date", "slot", F.sum("amount").over(earlier_slots).alias("opening"))
         .where(F.col("slot").isNotNull() & F.col("opening").isNotNull())
-        .select("account_id", "date", "slot", "opening")
     )
+    return days.unionByName(slot_openings)
 
 
-def _with_balance(base: DataFrame, openings: DataFrame, id_span: int) -> DataFrame:
-    """Running sum inside each slot, led by the slot's opening balance (a row without id)."""
+def _with_balance(books: Books, base: DataFrame, openings: DataFrame, id_span: int) -> DataFrame:
+    """Running sum inside each day or slot, led by its opening balance (a row without id)."""
     so_far = (
         Window.partitionBy("account_id", "date", "slot").orderBy(F.col("id").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        base.withColumn("slot", _slot(id_span))
+        _with_slot(books, base, id_span)
         .unionByName(openings, allowMissingColumns=True)
         .withColumn("balance", money(F.sum(F.coalesce("opening", debit_less_credit())).over(so_far)))
         .where(F.col("id").isNotNull())
@@ -153,18 +180,16 @@ def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> Data
     All lines go through the window, but as bare amounts. A chosen line reads the sum
     right behind its own amount and carries its other columns along.
     """
-    amounts = _in_ledger(books, _posted(books).select(
-        "account_id", "date", _slot(id_span), "id", "move_id", "company_id", debit_less_credit().alias("amount")
-    )).drop("move_id", "company_id")
-    readers = chosen.select("account_id", "date", _slot(id_span), "id", F.struct(*chosen.columns).alias("line"))
+    amounts = _amounts(books, "account_id", "date", "id")
+    readers = chosen.select("account_id", "date", "id", F.struct(*chosen.columns).alias("line"))
     so_far = (
         Window.partitionBy("account_id", "date", "slot")
         .orderBy(F.col("id").asc_nulls_first(), F.col("line").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        amounts.unionByName(readers, allowMissingColumns=True)
-        .unionByName(_opening_balances(books, id_span), allowMissingColumns=True)
+        _with_slot(books, amounts.unionByName(readers, allowMissingColumns=True), id_span)
+        .unionByName(_opening_balances(books, books, id_span), allowMissingColumns=True)
         .withColumn("balance", money(F.sum(F.coalesce("opening", "amount")).over(so_far)))
         .where(F.col("line").isNotNull())
         .select("line.*", "balance")
@@ -200,7 +225,8 @@ def ledger_between(books: Books, date_start=None, date_end=None) -> DataFrame:
         books = replace(books, lines=books.lines.where(within(F.col("date"), None, date_end)))
     since = None if date_start is None else day(date_start)
     period = replace(books, lines=books.lines.where(within(F.col("date"), date_start, None)))
-    return _with_balance(ledger_base(period), _opening_balances(books, ID_SPAN, since), ID_SPAN)
+    openings = _opening_balances(books, period, ID_SPAN, since)
+    return _with_balance(period, ledger_base(period), openings, ID_SPAN)
 
 
 def ledger_search(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +20,7 @@ TODAY = "2001-01-01"
 PERIOD = ("1996-03-01", "1997-02-28")
 AS_OF = "1997-12-31"
 PAGE = 80
+HOT_ACCOUNT, HOT_DAY, HOT_SPAN = 2, "1996-06-30", 10_000
 ANALYTIC_CODES = [f"AN{n:03d}" for n in range(1, 8)]
 
 
@@ -30,6 +32,15 @@ def _batch(batch: list[tuple], spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_lines(tpch.tpch_books(spark, sf_dir), d.definitions(spark, batch))
 
 
+def _with_hot_day(books: Books) -> Books:
+    """The same books with a third of all lines moved to one account and day."""
+    hot = F.col("id") % 3 == 0
+    return replace(books, lines=books.lines.withColumns({
+        "account_id": F.when(hot, F.lit(HOT_ACCOUNT).cast("long")).otherwise(F.col("account_id")),
+        "date": F.when(hot, F.lit(HOT_DAY).cast("date")).otherwise(F.col("date")),
+    }))
+
+
 def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, rejected = reports.validate_reports(tpch.customer_requests(spark, sf_dir))
     return (
@@ -68,7 +79,8 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "ledger_base": _on_books(ledger.ledger_base),
     "general_ledger": _on_books(ledger.general_ledger),
-    "general_ledger_bucketed": _on_books(partial(ledger.general_ledger, id_span=50_000)),
+    "general_ledger_bucketed": _on_books(lambda b: ledger.general_ledger(_with_hot_day(b), id_span=HOT_SPAN)),
+    "ledger_list": _on_books(lambda b: ledger.general_ledger(b).select(*ledger.LIST_COLUMNS)),
     "ledger_first_page": _on_books(partial(ledger.ledger_first_page, size=PAGE)),
     "ledger_between": _on_books(lambda b: ledger.ledger_between(b, *PERIOD)),
     "ledger_search": _on_books(lambda b: ledger.ledger_search(b, journal_id=3, ref="n")),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ledgerloom.operators import ledger, statements
 from ledgerloom.plans import definitions as d
-from ledgerloom.plans.catalog import ANALYTIC_CODES, AS_OF, PAGE, PERIOD, TODAY
+from ledgerloom.plans.catalog import ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, PAGE, PERIOD, TODAY
 
 BOOKS = """
 res_company AS (
@@ -73,6 +73,13 @@ ledger AS (
   JOIN res_company c ON c.id = l.company_id
   WHERE l.parent_state = 'posted')"""
 
+HOT_LINES = f"""
+hot_line AS (
+  SELECT * REPLACE (
+    CAST(CASE WHEN id % 3 = 0 THEN {HOT_ACCOUNT} ELSE account_id END AS BIGINT) AS account_id,
+    CASE WHEN id % 3 = 0 THEN DATE '{HOT_DAY}' ELSE date END AS date)
+  FROM account_move_line)"""
+
 
 def _sql(body: str, *ctes: str) -> str:
     return "WITH" + ",".join([BOOKS, *ctes]) + "\n" + body
@@ -333,7 +340,10 @@ _BASE_COLUMNS = ", ".join(c for c in ledger.LEDGER_COLUMNS if c != "balance")
 ORACLE: dict[str, str] = {
     "ledger_base": _ledger(f"SELECT {_BASE_COLUMNS} FROM ledger"),
     "general_ledger": _ledger("SELECT * FROM ledger"),
-    "general_ledger_bucketed": _ledger("SELECT * FROM ledger"),
+    "general_ledger_bucketed": _sql(
+        "SELECT * FROM ledger", HOT_LINES, LEDGER.replace("account_move_line", "hot_line")
+    ),
+    "ledger_list": _ledger(f"SELECT {', '.join(ledger.LIST_COLUMNS)} FROM ledger"),
     "ledger_first_page": _ledger(
         f"SELECT * FROM ledger ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE}"
     ),

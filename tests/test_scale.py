@@ -52,6 +52,13 @@ def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(autouse=True)
+def whole_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def scans(df: DataFrame, column: str) -> list[str]:
     return [line for line in plan(df).split("\n") if "FileScan" in line and f"{column}#" in line]
 
@@ -64,7 +71,7 @@ def plain_balance(books: Books) -> dict:
     return {r.id: r.b for r in rows.collect()}
 
 
-@pytest.mark.parametrize("span", [100_000, ledger.ID_SPAN])
+@pytest.mark.parametrize("span", [50, 1_000, ledger.ID_SPAN])
 def test_hot_account_and_day(skewed, span):
     rows = ledger.general_ledger(skewed, id_span=span).collect()
     assert {r.id: r.balance for r in rows} == plain_balance(skewed)
@@ -78,49 +85,63 @@ def test_hot_groups_without_broadcast(skewed, no_broadcast):
 
 def test_slot_holds_at_most_its_span(skewed):
     span = 1_000
-    largest = (
-        ledger.ledger_base(skewed).groupBy("account_id", "date", F.expr(f"id div {span}")).count()
-        .agg(F.max("count")).first()[0]
-    )
-    hot_day = ledger.ledger_base(skewed).groupBy("account_id", "date").count().agg(F.max("count")).first()[0]
-    assert largest <= span and largest < hot_day / 10
+    base = ledger.ledger_base(skewed)
+    sizes = ledger._with_slot(skewed, base, span).groupBy("account_id", "date", "slot").count()
+    hot_day = base.groupBy("account_id", "date").count().agg(F.max("count")).first()[0]
+    assert sizes.agg(F.max("count")).first()[0] <= span < hot_day / 2
+    # only the hot day is cut
+    assert sizes.where("slot is not null").select("account_id", "date").distinct().count() == 1
+
+
+def test_busy_days_are_few(skewed):
+    span = 100
+    lines = skewed.lines.where("parent_state = 'posted'").count()
+    assert 0 < ledger._busy_days(skewed, span).count() <= lines / span
 
 
 def test_ledger_never_windows_a_whole_account_of_lines(stored_books):
     text = plan(ledger.general_ledger(stored_books))
     windows = re.findall(r"\bWindow \[sum\([^()]*\) windowspecdefinition\((.*?), specifiedwindowframe", text)
-    keys = [re.findall(r"(account_id|date|slot|id)#", w) for w in windows]
-    assert keys == [["account_id", "date", "slot", "id"], ["account_id", "date", "slot"], ["account_id", "date"]]
+    keys = {tuple(re.findall(r"\b(account_id|date|slot|id)#", w)) for w in windows}
+    # lines inside a slot, then sums per slot inside a day, and per day inside an account
+    assert keys == {("account_id", "date", "slot", "id"), ("account_id", "date", "slot"), ("account_id", "date")}
+    over_lines = [w for w in text.split("\n") if "Window [" in w and re.search(r"\bid#", w)]
+    assert len(over_lines) == 1
 
 
 @pytest.mark.parametrize("complete", [False, True])
-def test_subtotals_are_computed_once(stored_books, complete):
+def test_history_without_busy_days_is_read_in_two_narrow_passes(stored_books, complete):
     execution = ledger.general_ledger(replace(stored_books, complete=complete))._jdf.queryExecution()
     execution.toRdd().count()
     final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
-    assert re.search(r"ReusedExchange \[account_id#\d+L, date#\d+, slot#\d+L, sum#", final), final
     scanned = [line for line in final.split("\n") if "FileScan" in line and "account_id#" in line]
-    assert len(scanned) == 2
+    narrow = [line for line in scanned if "partner_id#" not in line]
+    # no slot was found to fill: only the days are summed (and the busy ones, which are
+    # none, are gone from the final plan)
+    assert len(scanned) - len(narrow) == 1 and 1 <= len(narrow) <= 2
+    assert "slot#" not in "".join(line for line in final.split("\n") if "HashAggregate" in line)
 
 
 def test_filters_reach_the_scan_of_lines(stored_books):
     by_account = scans(ledger.ledger_search(stored_books, account_id=7), "account_id")
-    assert by_account and all("EqualTo(account_id,7)" in line or "account_i" in line for line in by_account)
+    assert by_account and all("EqualTo(account_id,7)" in line for line in by_account)
     between = plan(ledger.general_ledger(stored_books).where("date between '1996-03-01' and '1997-02-28'"))
     lines = [x for x in between.split("\n") if "FileScan" in x and "account_id#" in x]
-    assert len(lines) == 3
     full = [x for x in lines if "partner_id#" in x]
-    assert len(full) == 1 and "date#" in full[0].split("DataFilters")[1]
+    assert len(full) == 1 and "1996" in full[0].split("DataFilters")[1]
     # the movements behind the opening balances are not cut off by the period
-    assert sum("GreaterThan" not in x and ">=" not in x for x in lines) == 1
+    assert any("1996" not in x and "debit#" in x for x in lines)
 
 
 def test_period_reads_full_lines_of_the_period_only(stored_books):
     text = plan(ledger.ledger_between(stored_books, "1996-03-01", "1997-02-28"))
-    lines = {"partner_id#" in x: x for x in text.split("\n") if "FileScan" in x and "account_id#" in x}
-    assert ">= 1996" in lines[True] or "GreaterThanOrEqual(date" in lines[True]
-    assert "<= 1997" in lines[False] or "LessThanOrEqual(date" in lines[False]
-    assert ">= 1996" not in lines[False] and "GreaterThanOrEqual(date" not in lines[False]
+    lines = [x for x in text.split("\n") if "FileScan" in x and "account_id#" in x]
+    full = [x for x in lines if "partner_id#" in x]
+    assert len(full) == 1 and "GreaterThanOrEqual(date,1996-03-01)" in full[0]
+    # nothing behind the period is read; what is ahead of it only by the sums per account
+    assert all("LessThanOrEqual(date,1997-02-28)" in x for x in lines)
+    history = [x for x in lines if "GreaterThanOrEqual(date" not in x]
+    assert history and all("debit#" in x and "partner_id#" not in x for x in history)
 
 
 def test_search_shuffles_amounts_and_matches_only(stored_books, skewed):
