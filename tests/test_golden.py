@@ -139,6 +139,22 @@ def test_statement_of_one_company_keeps_its_number(make_books):
     assert one(statements.income_statement(books, company_id=4)).id == 2
 
 
+def test_open_ended_periods(make_books):
+    books = make_books(
+        lines=[dict(id=1, debit=1, date=date(2020, 1, 1)), dict(id=2, debit=2, date=date(2020, 2, 1)),
+               dict(id=3, debit=4, date=date(2020, 3, 1)), dict(id=4, debit=8, date=None)],
+        accounts=[dict(id=1, code="10111")],
+    )
+    since = one(statements.cash_flow(books, date_start="2020-02-01"))
+    assert (since.beginning_cash, since.net_change_cash, since.ending_cash) == (D(1), D(6), D(7))
+    assert (since.date_start, since.date_end) == (date(2020, 2, 1), None)
+    until = one(statements.cash_flow(books, date_end="2020-02-01"))
+    assert (until.beginning_cash, until.net_change_cash, until.ending_cash) == (D(0), D(3), D(3))
+    assert (until.date_start, until.date_end) == (None, date(2020, 2, 1))
+    whole = one(statements.cash_flow(books, today="2021-01-01"))
+    assert whole.date_start == whole.date_end == date(2021, 1, 1)
+
+
 def test_zero_line_of_an_account_without_movements(make_books, make_reports):
     books = make_books(accounts=[dict(id=1, internal_type="income", code="70")])
     flat = reports.report_lines(books, make_reports(

@@ -273,3 +273,20 @@ def test_complete_books_give_the_same_without_the_checks(tpch, make):
 def test_complete_books_sum_history_without_a_join(tpch, no_broadcast):
     text = plan(ledger.ledger_groups(tpch))
     assert "move_id#" not in text and text.count("SortMergeJoin") == 1  # the line items with their orders
+
+
+@pytest.mark.parametrize("make", [
+    lambda b: statements.income_statement(b, company_id=3),
+    lambda b: statements.balance_sheet(b, company_id=3, scope="company"),
+    lambda b: statements.cash_flow(b, company_id=3, date_start="1996-01-01"),
+])
+def test_statement_of_one_company_reads_its_lines(stored_books, make):
+    scanned = scans(make(stored_books), "debit")
+    assert len(scanned) == 1 and "EqualTo(company_id,3)" in scanned[0]
+
+
+def test_reports_read_the_days_of_the_batch(spark, stored_books):
+    text = plan(reports.report_lines(stored_books, d.definitions(spark, d.FLAT)))
+    lines = [x for x in text.split("\n") if "FileScan" in x and "debit#" in x]
+    assert len(lines) == 1 and "date#" in lines[0].split("DataFilters")[1].split("Format")[0]
+    assert "ReadSchema: struct<account_id:bigint,company_id:bigint,date:date,debit:decimal(15,2)," in lines[0]
