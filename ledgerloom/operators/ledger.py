@@ -133,6 +133,7 @@ def _opening_balances(books: Books, period: Books, id_span: int, since: Column |
         Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Keys under new aliases let Spark see that both uses of ``days`` start from the same sums.
     days = _days(books, since).select(
         F.col("account_id").alias("account_id"),
         F.col("date").alias("date"),
