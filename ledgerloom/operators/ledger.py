@@ -256,20 +256,23 @@ def ledger_search(
     return _balance_at(books, found)
 
 
-def ledger_groups(books: Books, by: str = "account_id", grand_total: bool = False) -> DataFrame:
-    """Lines, debit and credit per account, journal or contact, with a footer on request.
+def ledger_groups(books: Books, by: str | list[str] = "account_id", totals: bool = False) -> DataFrame:
+    """Lines, debit and credit per account, journal or contact, or nested by several of them.
 
-    With ``grand_total`` the column ``is_total`` tells the footer from the group of lines
-    that have no contact. The footer is made from the groups, not from the lines.
+    ``totals`` adds a row per outer group and one for all lines. The column ``level``, the
+    number of keys that hold for a row, tells such a row from a group of lines that have no
+    contact. Totals are made from the groups, not from the lines.
     """
-    if by not in ("account_id", "journal_id", "partner_id"):
+    keys = [by] if isinstance(by, str) else list(by)
+    unknown = set(keys) - {"account_id", "journal_id", "partner_id"}
+    if unknown or not keys:
         raise ValueError(f"cannot group the ledger by {by!r}")
-    groups = _in_ledger(books, _posted(books)).groupBy(by).agg(
+    groups = _in_ledger(books, _posted(books)).groupBy(*keys).agg(
         F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("line_count")
     )
-    if grand_total:
-        groups = groups.rollup(by).agg(
-            (F.grouping_id() > 0).alias("is_total"),
+    if totals:
+        groups = groups.rollup(*keys).agg(
+            (F.lit(len(keys)) - F.bit_count(F.grouping_id())).cast("long").alias("level"),
             F.sum("debit").alias("debit"),
             F.sum("credit").alias("credit"),
             F.sum("line_count").alias("line_count"),

@@ -89,7 +89,10 @@ QUERIES: dict[str, Query] = {
     "ledger_by_account": _on_books(partial(ledger.ledger_groups, by="account_id")),
     "ledger_by_journal": _on_books(partial(ledger.ledger_groups, by="journal_id")),
     "ledger_by_partner": _on_books(partial(ledger.ledger_groups, by="partner_id")),
-    "ledger_rollup": _on_books(partial(ledger.ledger_groups, by="partner_id", grand_total=True)),
+    "ledger_rollup": _on_books(partial(ledger.ledger_groups, by="partner_id", totals=True)),
+    "ledger_nested_groups": _on_books(
+        partial(ledger.ledger_groups, by=["account_id", "journal_id"], totals=True)
+    ),
     "ledger_drill_through": _on_books(
         lambda b: ledger.entries_of(b, ledger.ledger_base(b).where("ref = 'RF'"))
     ),

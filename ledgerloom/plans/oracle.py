@@ -99,6 +99,14 @@ def _groups(by: str) -> str:
 FROM ledger GROUP BY {by}""")
 
 
+def _level(keys: str, level: int, others: str = "") -> str:
+    """One level of nested groups, the keys of deeper levels as nulls."""
+    columns = ", ".join(part for part in (keys, others or ("" if keys else "NULL AS partner_id")) if part)
+    return f"""SELECT {columns}, CAST({level} AS BIGINT) AS level, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
+  CAST(sum(credit) AS DECIMAL(28,2)) AS credit, count(*) AS line_count
+FROM ledger {f"GROUP BY {keys}" if keys else ""}"""
+
+
 def _header(title: str, dates: str) -> str:
     return f"""row_number() OVER (ORDER BY c.id) AS id,
   '{title}' || coalesce(c.name, '{statements.UNNAMED_COMPANY}') AS name, {dates},
@@ -356,12 +364,11 @@ ORACLE: dict[str, str] = {
     "ledger_by_account": _groups("account_id"),
     "ledger_by_journal": _groups("journal_id"),
     "ledger_by_partner": _groups("partner_id"),
-    "ledger_rollup": _ledger("""SELECT partner_id, FALSE AS is_total, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
-  CAST(sum(credit) AS DECIMAL(28,2)) AS credit, count(*) AS line_count
-FROM ledger GROUP BY partner_id
-UNION ALL
-SELECT NULL, TRUE, CAST(sum(debit) AS DECIMAL(28,2)), CAST(sum(credit) AS DECIMAL(28,2)), count(*)
-FROM ledger"""),
+    "ledger_rollup": _ledger("\nUNION ALL\n".join([_level("partner_id", 1), _level("", 0)])),
+    "ledger_nested_groups": _ledger("\nUNION ALL\n".join(
+        [_level("account_id, journal_id", 2), _level("account_id", 1, "NULL AS journal_id"),
+         _level("", 0, "NULL AS account_id, NULL AS journal_id")]
+    )),
     "ledger_drill_through": _ledger("""SELECT * FROM account_move_line
 WHERE move_id IN (SELECT move_id FROM ledger WHERE ref = 'RF')"""),
     "ledger_views": _ledger("""SELECT account_id, max(date) AS last_date,

@@ -294,14 +294,23 @@ def test_drill_through(make_books):
 
 def test_groups_and_footer(make_books):
     books = make_books(lines=[
-        dict(id=1, debit=5, partner_id=None), dict(id=2, credit=3), dict(id=3, debit=1, partner_id=None),
+        dict(id=1, debit=5, partner_id=None), dict(id=2, credit=3), dict(id=3, debit=1, partner_id=None, journal_id=2),
     ])
     rows = {
-        (r.partner_id, r.is_total): (r.debit, r.credit, r.line_count)
-        for r in ledger.ledger_groups(books, "partner_id", grand_total=True).collect()
+        (r.partner_id, r.level): (r.debit, r.credit, r.line_count)
+        for r in ledger.ledger_groups(books, "partner_id", totals=True).collect()
     }
     assert rows == {
-        (None, False): (D(6), D(0), 2), (1, False): (D(0), D(3), 1), (None, True): (D(6), D(3), 3),
+        (None, 1): (D(6), D(0), 2), (1, 1): (D(0), D(3), 1), (None, 0): (D(6), D(3), 3),
     }
-    with pytest.raises(ValueError):
-        ledger.ledger_groups(books, "ref")
+    nested = {
+        (r.partner_id, r.journal_id, r.level): (r.debit, r.line_count)
+        for r in ledger.ledger_groups(books, ["partner_id", "journal_id"], totals=True).collect()
+    }
+    assert nested == {
+        (None, 1, 2): (D(5), 1), (None, 2, 2): (D(1), 1), (1, 1, 2): (D(0), 1),
+        (None, None, 1): (D(6), 2), (1, None, 1): (D(0), 1), (None, None, 0): (D(6), 3),
+    }
+    for wrong in ("ref", [], ["account_id", "date"]):
+        with pytest.raises(ValueError):
+            ledger.ledger_groups(books, wrong)

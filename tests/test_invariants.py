@@ -63,11 +63,11 @@ def test_last_balance_is_the_account_total(tpch):
 
 
 def test_groups_add_up_to_the_footer(tpch):
-    rows = ledger.ledger_groups(tpch, "journal_id", grand_total=True).collect()
-    footer = [r for r in rows if r.is_total]
+    rows = ledger.ledger_groups(tpch, "journal_id", totals=True).collect()
+    footer = [r for r in rows if r.level == 0]
     assert len(footer) == 1
     for column in ("debit", "credit", "line_count"):
-        assert footer[0][column] == sum(r[column] for r in rows if not r.is_total)
+        assert footer[0][column] == sum(r[column] for r in rows if r.level == 1)
 
 
 def test_income_arithmetic(tpch):

@@ -169,7 +169,7 @@ def test_period_of_skewed_books(skewed):
     (statements.income_statement, 1), (statements.balance_sheet, 1), (statements.cash_flow, 1),
     (lambda b: statements.cash_flow(b, date_start="1996-01-01"), 1),
     (lambda b: statements.balance_check(b, scope="company"), 1),
-    (lambda b: ledger.ledger_groups(b, "partner_id", grand_total=True), 1),
+    (lambda b: ledger.ledger_groups(b, "partner_id", totals=True), 1),
     (lambda b: pivot.report_pivot(b, ["AN001"]), 1),
     (lambda b: pivot.report_pivot_json(b), 1),
 ])
