@@ -183,21 +183,37 @@ def _balance_accounts(books: Books, as_of, scope: str) -> DataFrame:
 
 
 def _cash_flow_all_time(books: Books) -> DataFrame:
-    accounts = books.accounts.select(F.col("id").alias("account_id"), "code", "internal_type").where(
-        m.is_type(m.INCOME, m.EXPENSE) | m.coded(m.DEPRECIATION_CODE) | m.coded(m.PROVISION_CODE)
-        | m.coded(m.CAPITAL_CODE) | m.is_cash()
-    )
+    # What an account counts for is settled once per account; the lines meet only the flags.
+    kinds = {
+        "result": m.is_type(m.INCOME, m.EXPENSE),
+        "depreciation": m.coded(m.DEPRECIATION_CODE),
+        "provision": m.coded(m.PROVISION_CODE),
+        "capital": m.coded(m.CAPITAL_CODE),
+        "cash": m.coded(m.CASH_CODE),
+        "bank": m.coded(m.BANK_CODE),
+    }
+    accounts = books.accounts.select(
+        F.col("id").alias("account_id"),
+        *[F.coalesce(kind, F.lit(False)).alias(name) for name, kind in kinds.items()],
+    ).where(" or ".join(kinds))
     amount = debit_less_credit()
     posted = F.col("parent_state") == "posted"
-    age = F.struct(F.col("date").isNull().alias("undated"), F.col("date"), F.col("id"))
-    return books.lines.join(accounts, "account_id").agg(
-        m.result_measure().total(F.when(posted, amount)).alias("net_income"),
-        F.sum(F.when(m.coded(m.DEPRECIATION_CODE) | (m.coded(m.PROVISION_CODE) & posted), amount))
-        .alias("adjustments"),
-        F.sum(F.when(m.coded(m.CAPITAL_CODE) & posted, amount)).alias("capital_expenditure"),
-        F.sum(F.when(m.coded(m.CASH_CODE) | (m.coded(m.BANK_CODE) & posted), amount))
-        .alias("net_change_cash"),
-        F.min_by(amount, F.when(m.is_cash() & posted, age)).alias("beginning_cash"),
+    cash_id = F.when((F.col("cash") | F.col("bank")) & posted, F.col("id"))
+    # Days first: there the earliest cash line is the one with the lowest id, a plain number,
+    # so the pass over the lines is a hash aggregation. Dates are compared among days only.
+    days = books.lines.join(accounts, "account_id").groupBy("date").agg(
+        F.sum(F.when(F.col("result") & posted, -amount)).alias("net_income"),
+        F.sum(F.when(F.col("depreciation") | (F.col("provision") & posted), amount)).alias("adjustments"),
+        F.sum(F.when(F.col("capital") & posted, amount)).alias("capital_expenditure"),
+        F.sum(F.when(F.col("cash") | (F.col("bank") & posted), amount)).alias("net_change_cash"),
+        F.min_by(amount, cash_id).alias("first_cash"),
+        F.min(cash_id).alias("first_id"),
+    )
+    age = F.struct(F.col("date").isNull().alias("undated"), "date")
+    sums = ("net_income", "adjustments", "capital_expenditure", "net_change_cash")
+    return days.agg(
+        *[F.sum(name).alias(name) for name in sums],
+        F.min_by("first_cash", F.when(F.col("first_id").isNotNull(), age)).alias("beginning_cash"),
     )
 
 

@@ -121,3 +121,38 @@ def test_overlapping_reports(drawn, make_reports):
         for r in reports.report_lines(books, definitions).collect()
     }
     assert rows == expected
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_cash_flow(make_books, seed):
+    lines = random_lines(seed, 300)
+    codes = {1: "10110", 2: "10120", 3: "6820"}
+    books = make_books(
+        lines=lines, moves=[dict(id=1)],
+        accounts=[dict(id=n, code=c, internal_type="expense" if n == 3 else "asset") for n, c in codes.items()],
+        companies=[dict(id=1), dict(id=2)],
+    )
+
+    def total(kept):
+        return sum((difference(x) or D(0) for x in lines if kept(x)), D(0))
+
+    def posted(x):
+        return x["parent_state"] == "posted"
+
+    change = total(lambda x: x["account_id"] == 1 or (x["account_id"] == 2 and posted(x)))
+    result = total(lambda x: x["account_id"] == 3 and posted(x))
+    cash = [x for x in lines if x["account_id"] in (1, 2) and posted(x)]
+    first = difference(min(cash, key=lambda x: (x["date"] or FAR, x["id"])))
+    rows = statements.cash_flow(books).collect()
+    assert len(rows) == 2
+    for row in rows:
+        assert (row.net_change_cash, row.net_income, row.adjustments) == (change, -result, result)
+        assert row.beginning_cash == (first or D(0))
+
+    since, until = START + timedelta(days=1), START + timedelta(days=2)
+    for row in statements.cash_flow(books, date_start=since, date_end=until).collect():
+        def own(x):
+            return x["account_id"] in (1, 2) and posted(x) and x["company_id"] == row.company_id and x["date"]
+        opening = total(lambda x: own(x) and x["date"] < since)
+        inside = total(lambda x: own(x) and since <= x["date"] <= until)
+        assert (row.beginning_cash, row.net_change_cash, row.ending_cash) == (opening, inside, opening + inside)
