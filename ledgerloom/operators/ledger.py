@@ -280,21 +280,20 @@ def ledger_groups(books: Books, by: str | list[str] = "account_id", totals: bool
     return groups.withColumns({"debit": money(F.col("debit")), "credit": money(F.col("credit"))})
 
 
-def move_of_line(books: Books, line_ids: DataFrame | Iterable[int]) -> DataFrame:
-    """All lines of the journal entries that the given ledger lines belong to.
+def move_of_line(books: Books, chosen: DataFrame | Column | Iterable[int]) -> DataFrame:
+    """All lines of the journal entries that the chosen ledger lines belong to.
 
-    ``line_ids`` is a list of ids or a frame with an ``id`` column. A line that is not in
-    the ledger, or has no entry, opens nothing.
+    The lines are chosen by a list of ids, a frame with an ``id`` column, or a condition on
+    the columns of the lines. A line that is not in the ledger, or has no entry, opens
+    nothing.
     """
     lines = _in_ledger(books, _posted(books))
-    if isinstance(line_ids, DataFrame):
-        chosen = lines.join(line_ids.select("id"), "id", "left_semi")
+    if isinstance(chosen, DataFrame):
+        lines = lines.join(chosen.select("id"), "id", "left_semi")
+    elif isinstance(chosen, Column):
+        lines = lines.where(chosen)
     else:
-        chosen = lines.where(F.col("id").isin(list(line_ids)))
-    return entries_of(books, chosen)
-
-
-def entries_of(books: Books, ledger_lines: DataFrame) -> DataFrame:
-    """All lines of the entries in ``ledger_lines`` (any frame with ``move_id``)."""
-    entries = ledger_lines.select("move_id").distinct()
+        lines = lines.where(F.col("id").isin(list(chosen)))
+    # An entry is wanted once, however many of its lines were chosen.
+    entries = lines.select("move_id").distinct()
     return books.lines.join(entries, "move_id", "left_semi").select(books.lines.columns)

@@ -93,9 +93,7 @@ QUERIES: dict[str, Query] = {
     "ledger_nested_groups": _on_books(
         partial(ledger.ledger_groups, by=["account_id", "journal_id"], totals=True)
     ),
-    "ledger_drill_through": _on_books(
-        lambda b: ledger.entries_of(b, ledger.ledger_base(b).where("ref = 'RF'"))
-    ),
+    "ledger_drill_through": _on_books(lambda b: ledger.move_of_line(b, F.col("ref") == "RF")),
     "ledger_views": _views,
     "income_statement": _on_books(partial(statements.income_statement, today=TODAY)),
     "income_statement_period": _on_books(

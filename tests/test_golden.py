@@ -290,6 +290,7 @@ def test_drill_through(make_books):
     assert opened([2]) == []
     assert opened([4, 5]) == []
     assert opened(books.lines.where("id in (1, 3)")) == [1, 2, 3]
+    assert opened(F.col("move_id") < 2) == [1, 2]
 
 
 def test_groups_and_footer(make_books):
