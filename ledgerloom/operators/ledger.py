@@ -61,7 +61,7 @@ def _in_ledger(books: Books, lines: DataFrame) -> DataFrame:
         return lines
     moves = books.moves.select(F.col("id").alias("move_id"))
     companies = books.companies.select(F.col("id").alias("company_id"))
-    return lines.join(companies, "company_id", "left_semi").join(moves, "move_id", "left_semi")
+    return lines.join(companies, "company_id").join(moves, "move_id")
 
 
 def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN) -> DataFrame:
@@ -83,9 +83,14 @@ def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN)
     return ledger.orderBy(*default_order()) if ordered else ledger
 
 
-def _amounts(books: Books, *columns: str) -> DataFrame:
-    """The lines of the ledger, as ``columns`` and their amount."""
+def _amounts(books: Books, *columns: str, busy: DataFrame | None = None) -> DataFrame:
+    """The lines of the ledger, as ``columns`` and their amount; on ``busy`` days only, if given.
+
+    These come first: where there are none, nothing else is read.
+    """
     lines = _posted(books).select(*columns, "move_id", "company_id", debit_less_credit().alias("amount"))
+    if busy is not None:
+        lines = lines.join(busy, _on_busy_day())
     return _in_ledger(books, lines).select(*columns, "amount")
 
 
@@ -143,7 +148,7 @@ def _opening_balances(books: Books, period: Books, id_span: int, since: Column |
 
     busy = _busy_days(period, id_span)
     slots = (
-        _amounts(period, "account_id", "date", "id").join(busy, _on_busy_day())
+        _amounts(period, "account_id", "date", "id", busy=busy)
         .groupBy("account_id", "date", _slot(id_span).alias("slot")).agg(F.sum("amount").alias("amount"))
     )
     # A busy day's opening balance travels through its slots as one more row ahead of them.
