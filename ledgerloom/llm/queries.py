@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import quality_rules, simhash
+from ledgerloom.llm import decontaminate, packing, quality_rules, simhash, substring_dedup
 from ledgerloom.llm.storage import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,15 @@ def _registered(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     query.__name__: _registered(query)
     for query in (
+        decontaminate.op1_decontaminate,
         quality_rules.op4_quality_rules,
+        substring_dedup.op5_substring_dedup,
+        packing.op6_packing,
         simhash.op8_simhash,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_tables: list[str] = []
+#: The tables written within the innermost ``scope``, if any.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Note the tables written meanwhile, for ``release``."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -35,16 +48,17 @@ def shared_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far. Call it once the results made from
-    them are stored; the frames that read them are of no use afterwards."""
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Delete intermediate tables. Call it once the results made from them are stored; the
+    frames that read them are of no use afterwards."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _tables:
-        path = hadoop(_tables.pop())
+    while tables:
+        path = hadoop(tables.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
