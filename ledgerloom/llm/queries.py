@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, packing, quality_rules, simhash, substring_dedup
+from ledgerloom.llm import (
+    chat, decontaminate, language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, substring_dedup,
+)
 from ledgerloom.llm.storage import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +28,20 @@ QUERIES: dict[str, Query] = {
     query.__name__: _registered(query)
     for query in (
         decontaminate.op1_decontaminate,
+        sharding.op2_sharding,
+        quality_model.op3_quality_model,
         quality_rules.op4_quality_rules,
         substring_dedup.op5_substring_dedup,
         packing.op6_packing,
+        chat.op7_chat_format,
         simhash.op8_simhash,
+        lm_scoring.op9_lm_scoring,
+        language_id.op10_language_id,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_chat_format": chat.ORACLE,
 }

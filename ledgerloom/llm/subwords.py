@@ -36,7 +36,7 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.before, self.known = before, known
-        self.separator = np.array(self._encode([_SEPARATOR])[0])
+        self.separator = self._encode([before + _SEPARATOR])[0]
         self._forget()
 
     def _forget(self) -> None:
@@ -49,8 +49,6 @@ class Subwords:
 
     def _encode_chunks(self, fresh: list[str]) -> list[np.ndarray]:
         """The ids of each chunk."""
-        if len(self.separator) != 1:
-            return [np.array(x, np.int32) for x in self._encode([self.before + c for c in fresh])]
         odd = [c for c in fresh if _SEPARATOR in c]
         alone = dict(zip(odd, self._encode([self.before + c for c in odd]))) if odd else {}
         plain = [c for c in fresh if c not in alone] if odd else fresh
@@ -59,8 +57,9 @@ class Subwords:
         out: list[np.ndarray] = []
         for part, ids in zip(parts, self._encode([self.before + between.join(part) for part in parts])):
             ids = np.array(ids, np.int32)
-            found = np.split(ids, np.flatnonzero(ids == self.separator[0]))
-            found = [found[0], *(x[1:] for x in found[1:])]
+            marks = np.flatnonzero(ids == self.separator[-1])
+            ends = np.append(marks - len(self.separator) + 1, len(ids))
+            found = [ids[a:b] for a, b in zip(np.append(0, marks + 1), ends)]
             if len(found) != len(part):  # a chunk holds the separator's id in another guise
                 found = [np.array(x, np.int32) for x in self._encode([self.before + c for c in part])]
             out += found
