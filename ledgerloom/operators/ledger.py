@@ -94,11 +94,18 @@ def _amounts(books: Books, *columns: str, busy: DataFrame | None = None) -> Data
     return _in_ledger(books, lines).select(*columns, "amount")
 
 
+def _day_sums(books: Books) -> DataFrame:
+    """Movement and number of lines per account and day of the ledger: the one narrow pass over
+    the journal that opening balances and busy days both start from."""
+    lines = _amounts(books, "account_id", "date")
+    return lines.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"), F.count("*").alias("line_count"))
+
+
 def _busy_days(books: Books, id_span: int) -> DataFrame:
     """The days of an account with more than ``id_span`` lines, so at most one per
     ``id_span`` lines of the journal."""
     busy = (
-        _posted(books).groupBy("account_id", "date").agg(F.count("*").alias("line_count"))
+        _day_sums(books)
         .where(F.col("line_count") > id_span)
         .select(
             F.col("account_id").alias("busy_account"), F.col("date").alias("busy_date"), F.lit(True).alias("busy")
@@ -124,11 +131,11 @@ def _with_slot(books: Books, lines: DataFrame, id_span: int) -> DataFrame:
 
 def _days(books: Books, since: Column | None) -> DataFrame:
     """Movement per account and day. All days before ``since`` count as the day before it."""
-    lines = _amounts(books, "account_id", "date")
-    if since is not None:
-        clipped = F.when(F.col("date") < since, F.date_sub(since, 1)).otherwise(F.col("date"))
-        lines = lines.withColumn("date", clipped)
-    return lines.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
+    days = _day_sums(books)
+    if since is None:
+        return days
+    clipped = F.when(F.col("date") < since, F.date_sub(since, 1)).otherwise(F.col("date"))
+    return days.groupBy("account_id", clipped.alias("date")).agg(F.sum("amount").alias("amount"))
 
 
 def _opening_balances(books: Books, period: Books, id_span: int, since: Column | None = None) -> DataFrame:
@@ -183,10 +190,14 @@ def _with_balance(books: Books, base: DataFrame, openings: DataFrame, id_span: i
 def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> DataFrame:
     """The chosen ledger lines with the balance that ``general_ledger`` gives them.
 
-    All lines go through the window, but as bare amounts. A chosen line reads the sum
-    right behind its own amount and carries its other columns along.
+    Earlier days come as opening balances, so only lines that share an account and day with a
+    chosen one go through the window, as bare amounts. A chosen line reads the sum right
+    behind its own amount and carries its other columns along.
     """
-    amounts = _amounts(books, "account_id", "date", "id")
+    days = chosen.select(F.col("account_id").alias("own_account"), F.col("date").alias("own_date")).distinct()
+    same_day = F.col("account_id").eqNullSafe(F.col("own_account")) & F.col("date").eqNullSafe(F.col("own_date"))
+    amounts = _amounts(books, "account_id", "date", "id").join(days, same_day, "left_semi")
+    openings = _opening_balances(books, books, id_span).join(days, same_day, "left_semi")
     readers = chosen.select("account_id", "date", "id", F.struct(*chosen.columns).alias("line"))
     so_far = (
         Window.partitionBy("account_id", "date", "slot")
@@ -195,7 +206,7 @@ def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> Data
     )
     return (
         _with_slot(books, amounts.unionByName(readers, allowMissingColumns=True), id_span)
-        .unionByName(_opening_balances(books, books, id_span), allowMissingColumns=True)
+        .unionByName(openings, allowMissingColumns=True)
         .withColumn("balance", money(F.sum(F.coalesce("opening", "amount")).over(so_far)))
         .where(F.col("line").isNotNull())
         .select("line.*", "balance")
@@ -222,6 +233,36 @@ def ledger_first_page(books: Books, size: int = 80) -> DataFrame:
     )
 
 
+def ledger_next_page(books: Books, account_id: int, date, id: int, size: int = 80) -> DataFrame:
+    """The ``size`` ledger lines that follow the line with these keys in default order, after a
+    page that ended with it; ``date`` is None for an undated line. Lines without account come
+    last in the ledger and are reached from the last line that has one.
+
+    Their balances are the account's sums before the page's first line, plus the page's own.
+    """
+    own, when, number = F.col("account_id"), F.col("date"), F.col("id")
+    if date is None:
+        later = when.isNull() & (number > id)
+    else:
+        later = when.isNull() | (when > day(date)) | ((when == day(date)) & (number > id))
+    follows = own.isNull() | (own > account_id) | ((own == account_id) & later)
+    lines = _in_ledger(books, _posted(books).where(follows)).orderBy(*default_order()).limit(size)
+    before = _amounts(replace(books, lines=books.lines.where((own == account_id) & ~later)), "account_id")
+    openings = before.groupBy("account_id").agg(F.sum("amount").alias("opening"))
+    so_far = (
+        Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last(), "id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    sums = F.sum(debit_less_credit()).over(so_far)
+    return (
+        _named(books, lines)
+        .join(openings, "account_id", "left")
+        .withColumn("balance", money(F.coalesce(sums + F.coalesce("opening", F.lit(0)), "opening")))
+        .select(*LEDGER_COLUMNS)
+        .orderBy(*default_order())
+    )
+
+
 def ledger_between(books: Books, date_start=None, date_end=None) -> DataFrame:
     """Ledger lines of a period; their balance includes all earlier lines.
 
@@ -242,13 +283,19 @@ def ledger_search(
     journal_id: int | None = None,
     move_name: str | None = None,
     ref: str | None = None,
+    account: str | None = None,
 ) -> DataFrame:
-    """Ledger lines that match all given terms: ids exactly, texts by substring.
+    """Ledger lines that match all given terms: ids exactly, texts by substring. ``account`` is
+    searched in the account's code and name.
 
     The balance is the account's, whether its other lines match or not.
     """
     if account_id is not None:
         books = replace(books, lines=books.lines.where(F.col("account_id") == account_id))
+    if account is not None:
+        named = contains_ignoring_case(F.col("code"), account) | contains_ignoring_case(F.col("name"), account)
+        known = books.accounts.where(named).select(F.col("id").alias("account_id")).distinct()
+        books = replace(books, lines=books.lines.join(known, "account_id", "left_semi"))
     terms = [F.col(name) == value for name, value in
              [("partner_id", partner_id), ("journal_id", journal_id)] if value is not None]
     terms += [contains_ignoring_case(F.col(name), text) for name, text in

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.amounts import balance_color, or_zero
 from ledgerloom.operators.measures import ASSET, EQUITY, EXPENSE, INCOME, LIABILITY
@@ -68,34 +68,53 @@ def _report_accounts(books: Books, reports: DataFrame) -> DataFrame:
     return requests.join(accounts, "company_id").where(_covers()).drop("code", "internal_type")
 
 
-def _movements(books: Books, reports: DataFrame) -> DataFrame:
-    """Posted movements per company, account, analytic account and stretch of days, of the
-    companies and days that the batch asks for.
-
-    No report of the batch begins or ends inside a stretch, so its first day (``date``)
-    stands for all of it. Lines are summed by day ahead of any shuffle or join, and days by
-    stretch ahead of the join, where each row goes to every report that covers it. The
-    scalars taken from the batch hold two days per report and one id per company.
-    """
+def _movements(books: Books, asked: DataFrame, reports: DataFrame) -> DataFrame:
+    """Posted movements per company, account, analytic account and day, of the accounts and
+    days that the batch asks for. Lines are summed ahead of any further shuffle."""
     first = reports.agg(F.min("date_start")).scalar()
     last = reports.agg(F.max("date_end")).scalar()
-    companies = reports.select(F.explode("company_ids").alias("id")).agg(F.collect_set("id")).scalar()
-    bounds = F.explode(F.array("date_start", F.date_add("date_end", 1)))
-    starts = reports.select(bounds.alias("day")).agg(F.collect_set("day")).scalar()
-    stretch = F.array_max(F.filter(F.col("starts"), lambda day: day <= F.col("date")))
-    amounts = [F.sum(side).alias(side) for side in ("debit", "credit")]
-    by_day = (
+    accounts = asked.select("company_id", "account_id").distinct()
+    return (
         books.lines.where((F.col("parent_state") == "posted") & F.col("date").between(first, last))
-        .where(F.array_contains(companies, F.col("company_id")))
-        .groupBy("account_id", "company_id", "analytic_account_id", "date")
-        .agg(*amounts)
+        .select("company_id", "account_id", "analytic_account_id", "date", "debit", "credit")
+        .join(accounts, ["company_id", "account_id"], "left_semi")
+        .groupBy("company_id", "account_id", "analytic_account_id", "date")
+        .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("moves"))
     )
-    return (
-        by_day.repartition("account_id", "company_id")
-        .withColumn("starts", starts)
-        .groupBy("account_id", "company_id", "analytic_account_id", stretch.alias("date"))
-        .agg(*amounts)
+
+
+SERIES = ["company_id", "account_id", "analytic_account_id"]
+AMOUNTS = ["debit", "credit", "moves"]
+
+
+def _in_periods(asked: DataFrame, moved: DataFrame) -> DataFrame:
+    """Movement of each report, account and analytic account within the report's period.
+
+    A report reads the running sums of each series (company, account, analytic account) at
+    two days, the one before its period and the last in it. Both kinds of rows go through one
+    window per series, so the work grows with the movements plus the reports' lines, however
+    the periods overlap. A series has a row per day of the calendar and two per report.
+    """
+    chosen = F.col("analytic_account_ids")
+    series = moved.select(*SERIES).distinct()
+    pairs = (
+        asked.join(series, ["company_id", "account_id"])
+        .where("date_start <= date_end")
+        .where(chosen.isNull() | (F.size(chosen) == 0) | F.array_contains(chosen, F.col("analytic_account_id")))
+    )
+    ends = F.explode(F.array(
+        F.struct(F.date_sub("date_start", 1).alias("date"), F.lit(-1).alias("sign")),
+        F.struct(F.col("date_end").alias("date"), F.lit(1).alias("sign")),
+    ))
+    probes = pairs.select(*SERIES, "report_id", ends.alias("end")).select(*SERIES, "report_id", "end.date", "end.sign")
+    so_far = (
+        Window.partitionBy(*SERIES).orderBy("date", F.col("sign").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    read = moved.unionByName(probes, allowMissingColumns=True).select(
+        "report_id", *SERIES, "sign", *[(F.sum(c).over(so_far) * F.col("sign")).alias(c) for c in AMOUNTS]
+    )
+    return read.where(F.col("sign").isNotNull()).groupBy("report_id", *SERIES).agg(*[F.sum(c).alias(c) for c in AMOUNTS])
 
 
 def report_lines(books: Books, reports: DataFrame) -> DataFrame:
@@ -105,34 +124,25 @@ def report_lines(books: Books, reports: DataFrame) -> DataFrame:
     A line with balance zero is left out unless the report includes zero lines. Then an
     account without movements gets a zero line too, but only when not grouped.
     """
-    asked = _report_accounts(books, reports).alias("asked")
-    moved = _movements(books, reports).alias("moved")
-    chosen = F.col("asked.analytic_account_ids")
-    in_report = (
-        (F.col("asked.account_id") == F.col("moved.account_id"))
-        & (F.col("asked.company_id") == F.col("moved.company_id"))
-        & F.col("moved.date").between(F.col("asked.date_start"), F.col("asked.date_end"))
-        & (
-            chosen.isNull() | (F.size(chosen) == 0)
-            | F.array_contains(chosen, F.col("moved.analytic_account_id"))
-        )
-    )
+    asked = _report_accounts(books, reports)
+    keys = ["report_id", "company_id", "account_id"]
+    moved = _in_periods(asked, _movements(books, asked, reports)).where("moves > 0")
     grouped = F.col("group_by_analytic")
-    group = F.when(grouped, F.coalesce("moved.analytic_account_id", F.lit(0))).otherwise(F.lit(0))
+    group = F.when(grouped, F.coalesce("analytic_account_id", F.lit(0))).otherwise(F.lit(0))
     sums = (
-        asked.join(moved, in_report, "left")
+        asked.join(moved, keys, "left")
         .groupBy(
-            "report_id", "asked.company_id", "asked.account_id", group.cast("long").alias("analytic"),
+            *keys, group.cast("long").alias("analytic"),
             "report_type", "date_start", "date_end", "include_zero_lines", "group_by_analytic",
         )
         .agg(
             or_zero(F.sum("debit")).alias("debit"),
             or_zero(F.sum("credit")).alias("credit"),
-            F.count("moved.date").alias("stretches"),
+            F.count("moves").alias("moved"),
         )
         .withColumn("balance", or_zero(F.col("debit") - F.col("credit")))
         .where(F.col("include_zero_lines") | (F.col("balance") != 0))
-        .where((F.col("stretches") > 0) | ~grouped)
+        .where((F.col("moved") > 0) | ~grouped)
     )
     return _described(books, sums)
 

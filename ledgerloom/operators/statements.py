@@ -118,7 +118,7 @@ def balance_check(books: Books, as_of=None, company_id: int | None = None, scope
 
 
 def cash_flow(
-    books: Books, company_id: int | None = None, date_start=None, date_end=None, today=None
+    books: Books, company_id: int | None = None, date_start=None, date_end=None, today=None, scope: str = GLOBAL
 ) -> DataFrame:
     """Cash flow statement.
 
@@ -127,11 +127,14 @@ def cash_flow(
     beginning cash is the amount of the earliest posted cash line (lowest id of its day).
 
     With dates, each company shows its own posted lines: cash before the period, change
-    inside it, and their sum.
+    inside it, and their sum. ``scope="company"`` without dates shows each company the measures
+    of all time over its own lines.
     """
+    if scope not in (GLOBAL, COMPANY):
+        raise ValueError(f"unknown scope {scope!r}")
     header = _header(books, CASH_FLOW_TITLE, company_id, _dates(date_start, date_end, today))
     if date_start is None and date_end is None:
-        totals, scope = _cash_flow_all_time(books), GLOBAL
+        totals = _cash_flow_all_time(books, scope)
         ending = F.col("net_change_cash")
     else:
         totals, scope = _cash_flow_period(books, date_start, date_end), COMPANY
@@ -182,7 +185,8 @@ def _balance_accounts(books: Books, as_of, scope: str) -> DataFrame:
     return _account_totals(books, lines, keys, amount=debit_less_credit())
 
 
-def _cash_flow_all_time(books: Books) -> DataFrame:
+def _cash_flow_all_time(books: Books, scope: str = GLOBAL) -> DataFrame:
+    keys = [COMPANY_KEY] if scope == COMPANY else []
     # What an account counts for is settled once per account; the lines meet only the flags.
     kinds = {
         "result": m.is_type(m.INCOME, m.EXPENSE),
@@ -201,7 +205,7 @@ def _cash_flow_all_time(books: Books) -> DataFrame:
     cash_id = F.when((F.col("cash") | F.col("bank")) & posted, F.col("id"))
     # Days first: there the earliest cash line is the one with the lowest id, a plain number,
     # so the pass over the lines is a hash aggregation. Dates are compared among days only.
-    days = books.lines.join(accounts, "account_id").groupBy("date").agg(
+    days = books.lines.join(accounts, "account_id").groupBy(*keys, "date").agg(
         F.sum(F.when(F.col("result") & posted, -amount)).alias("net_income"),
         F.sum(F.when(F.col("depreciation") | (F.col("provision") & posted), amount)).alias("adjustments"),
         F.sum(F.when(F.col("capital") & posted, amount)).alias("capital_expenditure"),
@@ -211,7 +215,7 @@ def _cash_flow_all_time(books: Books) -> DataFrame:
     )
     age = F.struct(F.col("date").isNull().alias("undated"), "date")
     sums = ("net_income", "adjustments", "capital_expenditure", "net_change_cash")
-    return days.agg(
+    return days.groupBy(*keys).agg(
         *[F.sum(name).alias(name) for name in sums],
         F.min_by("first_cash", F.when(F.col("first_id").isNotNull(), age)).alias("beginning_cash"),
     )

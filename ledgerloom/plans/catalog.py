@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.operators import ledger, pivot, reports, statements
 from ledgerloom.plans import definitions as d
 from ledgerloom.sources import report_store, tpch, views
-from ledgerloom.sources.books import Books
+from ledgerloom.sources.books import Books, report_definitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,8 @@ TODAY = "2001-01-01"
 PERIOD = ("1996-03-01", "1997-02-28")
 AS_OF = "1997-12-31"
 PAGE = 80
-HOT_ACCOUNT, HOT_DAY, HOT_SPAN = 2, "1996-06-30", 10_000
-ANALYTIC_CODES = [f"AN{n:03d}" for n in range(1, 8)]
+HOT_ACCOUNT, HOT_DAY, HOT_SPAN = 2, "1996-06-30", 10 * tpch.IDS_PER_ORDER
+ANALYTIC_CODES = [f"AN{n:09d}" for n in range(1, 8)]
 
 
 def _on_books(make: Callable[[Books], DataFrame]) -> Query:
@@ -61,19 +61,44 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_store.read_report_lines(spark, _refreshed(spark, sf_dir))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> str:
+    """A store whose reports ran once, and some again after their definitions changed."""
     path = report_store.scratch_table(spark, "report_refresh")
     books = tpch.tpch_books(spark, sf_dir)
     report_store.run_reports(books, d.definitions(spark, d.STORED), path)
     report_store.refresh_reports(books, d.definitions(spark, d.REFRESHED), path, list(d.CHANGED))
-    return report_store.read_report_lines(spark, path)
+    return path
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_store.read_report_headers(spark, _refreshed(spark, sf_dir))
+
+
+def _view(name: str, text: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views.register_views(tpch.tpch_books(spark, sf_dir), prefix="books_", today=TODAY, reports=d.definitions(spark, d.FLAT))
+        return spark.sql(text.format(f"books_{name}"))
+
+    return run
+
+
+def _with_gaps(books: Books) -> Books:
+    """The same books with some lines whose entry or company does not exist, so that the checks matter."""
+    missing = F.when(F.col("id") % 2 == 0, F.lit(-1)).cast("long")
+    return replace(books, complete=False, lines=books.lines.withColumns({
+        "move_id": F.when(F.col("id") % 13 == 3, missing).otherwise(F.col("move_id")),
+        "company_id": F.when(F.col("id") % 11 == 5, missing).otherwise(F.col("company_id")),
+    }))
 
 
-def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views.register_views(tpch.tpch_books(spark, sf_dir), prefix="books_", today=TODAY)
-    return spark.sql("""
-        SELECT account_id, max(date) AS last_date, sum(debit) AS debit, count(*) AS line_count
-        FROM books_general_ledger GROUP BY account_id
-    """).withColumn("debit", F.col("debit").cast("decimal(28,2)"))
+def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed batch with its definitions written to files and read from there."""
+    path = report_store.scratch_table(spark, "definitions")
+    d.definitions(spark, d.MIXED).write.parquet(f"{path}/report_definition")
+    return reports.report_lines(tpch.tpch_books(spark, sf_dir), report_definitions(spark, path))
 
 
 QUERIES: dict[str, Query] = {
@@ -94,7 +119,20 @@ QUERIES: dict[str, Query] = {
         partial(ledger.ledger_groups, by=["account_id", "journal_id"], totals=True)
     ),
     "ledger_drill_through": _on_books(lambda b: ledger.move_of_line(b, F.col("ref") == "RF")),
-    "ledger_views": _views,
+    "ledger_views": _view("general_ledger", """
+        SELECT account_id, count(*) AS line_count, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
+          max_by(balance, struct(date IS NULL, date, id)) AS last_balance, CAST(sum(balance) AS DECIMAL(38,2)) AS balances
+        FROM {} GROUP BY account_id"""),
+    "income_view": _view("income_statement", "SELECT * FROM {}"),
+    "balance_view": _view("balance_sheet", "SELECT * FROM {}"),
+    "cash_flow_view": _view("cash_flow", "SELECT * FROM {}"),
+    "report_lines_view": _view("report_lines", "SELECT * FROM {}"),
+    "report_pivot_view": _view("report_pivot", "SELECT account_id, company_id, analytic_data, total_balance FROM {}"),
+    "ledger_with_gaps": _on_books(lambda b: ledger.general_ledger(_with_gaps(b))),
+    "ledger_groups_with_gaps": _on_books(lambda b: ledger.ledger_groups(_with_gaps(b), "account_id")),
+    "balance_sheet_with_gaps": _on_books(lambda b: statements.balance_sheet(_with_gaps(b), today=TODAY)),
+    "ledger_next_page": _on_books(partial(ledger.ledger_next_page, account_id=7, date=AS_OF, id=0, size=PAGE)),
+    "ledger_search_account_text": _on_books(lambda b: ledger.ledger_search(b, account="10110000")),
     "income_statement": _on_books(partial(statements.income_statement, today=TODAY)),
     "income_statement_period": _on_books(
         lambda b: statements.income_statement(b, date_start=PERIOD[0], date_end=PERIOD[1])
@@ -112,6 +150,10 @@ QUERIES: dict[str, Query] = {
     "balance_check": _on_books(statements.balance_check),
     "balance_check_by_company": _on_books(partial(statements.balance_check, scope="company")),
     "cash_flow": _on_books(partial(statements.cash_flow, today=TODAY)),
+    "cash_flow_by_company": _on_books(partial(statements.cash_flow, today=TODAY, scope="company")),
+    "income_statement_of_company": _on_books(partial(statements.income_statement, today=TODAY, company_id=3)),
+    "balance_sheet_of_company": _on_books(partial(statements.balance_sheet, today=TODAY, company_id=3)),
+    "cash_flow_of_company": _on_books(partial(statements.cash_flow, today=TODAY, company_id=3, scope="company")),
     "cash_flow_period": _on_books(
         lambda b: statements.cash_flow(b, date_start=PERIOD[0], date_end=PERIOD[1])
     ),
@@ -129,6 +171,8 @@ QUERIES: dict[str, Query] = {
     "report_totals": _totals,
     "report_store": _store,
     "report_refresh": _refresh,
+    "report_headers": _headers,
+    "report_lines_from_files": _from_files,
     "report_pivot_json": _on_books(pivot.report_pivot_json),
     "report_pivot": _on_books(partial(pivot.report_pivot, codes=ANALYTIC_CODES)),
 }

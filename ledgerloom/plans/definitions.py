@@ -53,10 +53,10 @@ ANALYTIC = [
     (3, "All analytic accounts", "cashflow", *_year(1996, 1998), [1, 2, 3, 4, 5], [], False, True),
 ]
 STORED = [one for one in MIXED if one[2] != "tax"]
-# The same reports after a change of period: 1 and 4 move, 2 becomes empty.
-CHANGED = {1: _year(1997), 2: _year(1950), 4: _year(1998)}
+# The same reports after a change: 1 and 4 move, 2 becomes empty, 5 gets an unknown type.
+CHANGED = {1: ("income", *_year(1997)), 2: ("balance", *_year(1950)), 4: ("income", *_year(1998)), 5: ("tax", *_year(1998))}
 REFRESHED = [
-    (*one[:3], *CHANGED[one[0]], *one[5:]) if one[0] in CHANGED else one for one in STORED
+    (*one[:2], *CHANGED[one[0]], *one[5:]) if one[0] in CHANGED else one for one in STORED
 ]
 
 

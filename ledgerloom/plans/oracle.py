@@ -6,10 +6,22 @@ windows where Spark works on subtotals.
 
 from __future__ import annotations
 
-from ledgerloom.operators import ledger, statements
 from ledgerloom.plans import definitions as d
 from ledgerloom.plans.catalog import ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, PAGE, PERIOD, TODAY
 
+# Titles and column lists, as literals of their own, so that they check those of the library.
+INCOME_TITLE = "Estado de Resultados - "
+BALANCE_TITLE = "Balance General - "
+CASH_FLOW_TITLE = "Flujo de Caja - "
+UNNAMED_COMPANY = "Compañía"
+BASE_COLUMNS = ("id, date, move_id, move_name, account_id, partner_id, journal_id, ref, debit, credit,"
+                " company_currency_id")
+LIST_COLUMNS = "date, move_name, account_id, journal_id, partner_id, ref, debit, credit, balance"
+INCOME_LIST = "name, date_start, date_end, revenue, cost_of_sales, gross_profit, operating_income, net_income"
+BALANCE_LIST = "name, date, total_assets, total_liabilities, total_equity, total_liabilities_equity"
+CASH_FLOW_LIST = ("name, date_start, date_end, cash_from_operations, cash_from_investing, cash_from_financing,"
+                  " net_change_cash, ending_cash")
+
 BOOKS = """
 res_company AS (
   SELECT CAST(r_regionkey + 1 AS BIGINT) AS id,
@@ -41,7 +53,7 @@ item AS (
              l_discount, l_tax, l_returnflag, l_linestatus) AS rn
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 account_move_line AS (
-  SELECT CAST(l_orderkey * 1000 + rn * 2 + side AS BIGINT) AS id,
+  SELECT CAST(l_orderkey * 1048576 + rn * 2 + side AS BIGINT) AS id,
          l_orderkey + 1 AS move_id,
          CAST(CASE WHEN side = 0 OR l_linenumber = 7 THEN l_partkey + 1
                    ELSE (l_partkey * 7 + l_suppkey) % 200 + 1 END AS BIGINT) AS account_id,
@@ -53,13 +65,13 @@ account_move_line AS (
          CAST(CASE WHEN side = 0 THEN l_extendedprice ELSE 0 END AS DECIMAL(15,2)) AS debit,
          CAST(CASE WHEN side = 1 THEN l_extendedprice ELSE 0 END AS DECIMAL(15,2)) AS credit,
          CASE o_orderstatus WHEN 'O' THEN 'draft' ELSE 'posted' END AS parent_state,
-         CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_suppkey % 7 + 1 AS BIGINT) END
-           AS analytic_account_id
+         CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber = 5 THEN CAST(l_suppkey + 1000000001 AS BIGINT)
+              ELSE CAST(l_suppkey + 1 AS BIGINT) END AS analytic_account_id
   FROM item, (VALUES (0), (1)) AS sides (side)),
 account_analytic_account AS (
   SELECT CAST(s_suppkey + 1 AS BIGINT) AS id,
-         'AN' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 3, '0') AS code, s_name AS name
-  FROM supplier WHERE s_suppkey < 7)"""
+         'AN' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0') AS code, s_name AS name
+  FROM supplier)"""
 
 LEDGER = """
 ledger AS (
@@ -80,6 +92,13 @@ hot_line AS (
     CASE WHEN id % 3 = 0 THEN DATE '{HOT_DAY}' ELSE date END AS date)
   FROM account_move_line)"""
 
+GAPS = """
+gap_line AS (
+  SELECT * REPLACE (
+    CASE WHEN id % 13 <> 3 THEN move_id WHEN id % 2 = 0 THEN -1 END AS move_id,
+    CASE WHEN id % 11 <> 5 THEN company_id WHEN id % 2 = 0 THEN -1 END AS company_id)
+  FROM account_move_line)"""
+
 
 def _sql(body: str, *ctes: str) -> str:
     return "WITH" + ",".join([BOOKS, *ctes]) + "\n" + body
@@ -109,7 +128,7 @@ FROM ledger {f"GROUP BY {keys}" if keys else ""}"""
 
 def _header(title: str, dates: str) -> str:
     return f"""row_number() OVER (ORDER BY c.id) AS id,
-  '{title}' || coalesce(c.name, '{statements.UNNAMED_COMPANY}') AS name, {dates},
+  '{title}' || coalesce(c.name, '{UNNAMED_COMPANY}') AS name, {dates},
   c.id AS company_id, c.currency_id"""
 
 
@@ -135,7 +154,7 @@ def _income(period: tuple[str, str] | None = None) -> str:
     other = total("debit", "a.internal_type = 'expense' AND a.code NOT LIKE '5%'")
     expenses = total("debit", "a.internal_type = 'expense'")
     start, end = period or (TODAY, TODAY)
-    return _sql(f"""SELECT {_header(statements.INCOME_TITLE, f"DATE '{start}' AS date_start, DATE '{end}' AS date_end")},
+    return _sql(f"""SELECT {_header(INCOME_TITLE, f"DATE '{start}' AS date_start, DATE '{end}' AS date_end")},
   {_money(revenue, 'revenue')}, {_money(cost, 'cost_of_sales')},
   {_money(f'{revenue} - {cost}', 'gross_profit')}, {_money(other, 'operating_expenses')},
   {_money(f'{revenue} - {expenses}', 'operating_income')},
@@ -161,7 +180,7 @@ def _balance(as_of: str | None = None) -> str:
         ("credit", "a.internal_type IN ('liability', 'equity')", "total_liabilities_equity"),
     ]
     columns = ",\n  ".join(_money(total(side, condition), name) for side, condition, name in measures)
-    header = _header(statements.BALANCE_TITLE, f"DATE '{as_of or TODAY}' AS date")
+    header = _header(BALANCE_TITLE, f"DATE '{as_of or TODAY}' AS date")
     return _sql(f"SELECT {header},\n  {columns}\nFROM res_company c")
 
 
@@ -189,24 +208,25 @@ def _cash_columns(net, adjustments, capital, change, beginning, ending) -> str:
     ])
 
 
-def _cash_flow() -> str:
+def _cash_flow(company: bool = False) -> str:
     posted = "l.parent_state = 'posted'"
     net = (
-        f"({_total('credit', f'{posted} AND a.internal_type = ' + repr('income'), False)}"
-        f" - {_total('debit', f'{posted} AND a.internal_type = ' + repr('expense'), False)})"
+        f"({_total('credit', f'{posted} AND a.internal_type = ' + repr('income'), company)}"
+        f" - {_total('debit', f'{posted} AND a.internal_type = ' + repr('expense'), company)})"
     )
-    change = _total("debit", f"a.code LIKE '1011%' OR (a.code LIKE '1012%' AND {posted})", False)
+    change = _total("debit", f"a.code LIKE '1011%' OR (a.code LIKE '1012%' AND {posted})", company)
+    own = " AND l.company_id = c.id" if company else ""
     first = f"""(SELECT l.debit - l.credit FROM account_move_line l
       JOIN account_account a ON a.id = l.account_id
-      WHERE (a.code LIKE '1011%' OR a.code LIKE '1012%') AND {posted}
+      WHERE (a.code LIKE '1011%' OR a.code LIKE '1012%') AND {posted}{own}
       ORDER BY l.date NULLS LAST, l.id LIMIT 1)"""
     columns = _cash_columns(
         net,
-        _total("debit", f"a.code LIKE '681%' OR (a.code LIKE '682%' AND {posted})", False),
-        _total("debit", f"a.code LIKE '16%' AND {posted}", False),
+        _total("debit", f"a.code LIKE '681%' OR (a.code LIKE '682%' AND {posted})", company),
+        _total("debit", f"a.code LIKE '16%' AND {posted}", company),
         change, first, change,
     )
-    header = _header(statements.CASH_FLOW_TITLE, f"DATE '{TODAY}' AS date_start, DATE '{TODAY}' AS date_end")
+    header = _header(CASH_FLOW_TITLE, f"DATE '{TODAY}' AS date_start, DATE '{TODAY}' AS date_end")
     return _sql(f"SELECT {header},\n  {columns}\nFROM res_company c")
 
 
@@ -227,12 +247,12 @@ def _cash_flow_period() -> str:
         _total("debit", f"{during} AND a.code LIKE '16%'", True),
         change, opening, f"{opening} + {change}",
     )
-    header = _header(statements.CASH_FLOW_TITLE, f"DATE '{start}' AS date_start, DATE '{end}' AS date_end")
+    header = _header(CASH_FLOW_TITLE, f"DATE '{start}' AS date_start, DATE '{end}' AS date_end")
     return _sql(f"SELECT {header},\n  {columns}\nFROM res_company c")
 
 
-def _list(statement: str, columns: list[str]) -> str:
-    return f"SELECT {', '.join(columns)} FROM (\n{statement}\n) AS statement"
+def _list(statement: str, columns: str) -> str:
+    return f"SELECT {columns} FROM (\n{statement}\n) AS statement"
 
 
 def _report_ctes(batch: list[tuple]) -> list[str]:
@@ -295,6 +315,13 @@ FROM report_definition r LEFT JOIN report_line l ON l.report_id = r.report_id
 GROUP BY r.report_id""", *_report_ctes(d.MIXED))
 
 
+def _report_headers() -> str:
+    sums = ", ".join(_money(f"sum(l.{c})", f"total_{c}") for c in ("debit", "credit", "balance"))
+    return _sql(f"""SELECT r.report_id, r.name, r.report_type, r.date_start, r.date_end, {sums}
+FROM report_definition r LEFT JOIN report_line l ON l.report_id = r.report_id
+GROUP BY ALL""", *_report_ctes(d.REFRESHED))
+
+
 VALIDATION = """
 WITH request AS (
   SELECT c_custkey + 1 AS report_id,
@@ -316,17 +343,23 @@ SELECT report_id, name, report_type, date_start, date_end,
 FROM request"""
 
 BALANCES = """
+label AS (
+  SELECT id, CASE WHEN code IS NULL THEN '#' || id
+    WHEN code LIKE '%#%' OR (SELECT count(*) FROM account_analytic_account o WHERE o.code = n.code) > 1
+    THEN code || '#' || id ELSE code END AS code
+  FROM account_analytic_account n),
 by_code AS (
-  SELECT l.company_id, l.account_id, n.code, sum(l.debit - l.credit) AS balance
-  FROM account_move_line l LEFT JOIN account_analytic_account n ON n.id = l.analytic_account_id
+  SELECT l.company_id, l.account_id, l.analytic_account_id AS analytic,
+    coalesce(n.code, '#' || l.analytic_account_id) AS code, sum(l.debit - l.credit) AS balance
+  FROM account_move_line l LEFT JOIN label n ON n.id = l.analytic_account_id
   WHERE l.parent_state = 'posted'
-  GROUP BY l.company_id, l.account_id, n.code)"""
+  GROUP BY l.company_id, l.account_id, l.analytic_account_id, n.code)"""
 
 
 def _pivot(columns: str) -> str:
     return _sql(f"""SELECT a.id AS account_id, a.code AS account_code, a.name AS account_name, b.company_id,
   {columns},
-  {_money('sum(b.balance) FILTER (WHERE b.code IS NULL)', 'balance_without_analytic')},
+  {_money('sum(b.balance) FILTER (WHERE b.analytic IS NULL)', 'balance_without_analytic')},
   {_money('sum(b.balance)', 'total_balance')}, c.currency_id
 FROM by_code b
 JOIN account_account a ON a.id = b.account_id
@@ -343,15 +376,13 @@ PIVOT_COLUMNS = ",\n  ".join(
     for code in ANALYTIC_CODES
 )
 
-_BASE_COLUMNS = ", ".join(c for c in ledger.LEDGER_COLUMNS if c != "balance")
-
 ORACLE: dict[str, str] = {
-    "ledger_base": _ledger(f"SELECT {_BASE_COLUMNS} FROM ledger"),
+    "ledger_base": _ledger(f"SELECT {BASE_COLUMNS} FROM ledger"),
     "general_ledger": _ledger("SELECT * FROM ledger"),
     "general_ledger_bucketed": _sql(
         "SELECT * FROM ledger", HOT_LINES, LEDGER.replace("account_move_line", "hot_line")
     ),
-    "ledger_list": _ledger(f"SELECT {', '.join(ledger.LIST_COLUMNS)} FROM ledger"),
+    "ledger_list": _ledger(f"SELECT {LIST_COLUMNS} FROM ledger"),
     "ledger_first_page": _ledger(
         f"SELECT * FROM ledger ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE}"
     ),
@@ -369,22 +400,45 @@ ORACLE: dict[str, str] = {
         [_level("account_id, journal_id", 2), _level("account_id", 1, "NULL AS journal_id"),
          _level("", 0, "NULL AS account_id, NULL AS journal_id")]
     )),
-    "ledger_drill_through": _ledger("""SELECT * FROM account_move_line
-WHERE move_id IN (SELECT move_id FROM ledger WHERE ref = 'RF')"""),
-    "ledger_views": _ledger("""SELECT account_id, max(date) AS last_date,
-  CAST(sum(debit) AS DECIMAL(28,2)) AS debit, count(*) AS line_count
+    "ledger_drill_through": _sql("""SELECT * FROM account_move_line WHERE move_id IN (
+  SELECT l.move_id FROM account_move_line l
+  JOIN account_move m ON m.id = l.move_id JOIN res_company c ON c.id = l.company_id
+  WHERE l.parent_state = 'posted' AND l.ref = 'RF')"""),
+    "ledger_views": _ledger("""SELECT account_id, count(*) AS line_count, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
+  last(balance ORDER BY date NULLS LAST, id) AS last_balance, CAST(sum(balance) AS DECIMAL(38,2)) AS balances
 FROM ledger GROUP BY account_id"""),
+    "income_view": _income(),
+    "balance_view": _balance(),
+    "cash_flow_view": _cash_flow(),
+    "report_lines_view": _report(d.FLAT),
+    "report_pivot_view": f"SELECT account_id, company_id, analytic_data, total_balance FROM ({_pivot(PIVOT_JSON)}) AS p",
+    "ledger_with_gaps": _sql("SELECT * FROM ledger", GAPS, LEDGER.replace("account_move_line", "gap_line")),
+    "ledger_groups_with_gaps": _sql("""SELECT account_id, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
+  CAST(sum(credit) AS DECIMAL(28,2)) AS credit, count(*) AS line_count
+FROM ledger GROUP BY account_id""", GAPS, LEDGER.replace("account_move_line", "gap_line")),
+    "balance_sheet_with_gaps": _balance(),
+    "ledger_next_page": _ledger(
+        f"""SELECT * FROM ledger WHERE account_id > 7
+   OR (account_id = 7 AND (date IS NULL OR date > DATE '{AS_OF}' OR (date = DATE '{AS_OF}' AND id > 0)))
+ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE}"""
+    ),
+    "ledger_search_account_text": _ledger("""SELECT ledger.* FROM ledger JOIN account_account a ON a.id = account_id
+WHERE a.code ILIKE '%10110000%' OR a.name ILIKE '%10110000%'"""),
     "income_statement": _income(),
     "income_statement_period": _income(PERIOD),
-    "income_statement_list": _list(_income(), statements.INCOME_LIST_COLUMNS),
+    "income_statement_list": _list(_income(), INCOME_LIST),
     "balance_sheet": _balance(),
     "balance_sheet_as_of": _balance(AS_OF),
-    "balance_sheet_list": _list(_balance(), statements.BALANCE_LIST_COLUMNS),
+    "balance_sheet_list": _list(_balance(), BALANCE_LIST),
     "balance_check": _check(company=False),
     "balance_check_by_company": _check(company=True),
     "cash_flow": _cash_flow(),
+    "cash_flow_by_company": _cash_flow(company=True),
+    "income_statement_of_company": f"SELECT * FROM ({_income()}) AS s WHERE company_id = 3",
+    "balance_sheet_of_company": f"SELECT * FROM ({_balance()}) AS s WHERE company_id = 3",
+    "cash_flow_of_company": f"SELECT * FROM ({_cash_flow(company=True)}) AS s WHERE company_id = 3",
     "cash_flow_period": _cash_flow_period(),
-    "cash_flow_list": _list(_cash_flow(), statements.CASH_FLOW_LIST_COLUMNS),
+    "cash_flow_list": _list(_cash_flow(), CASH_FLOW_LIST),
     "report_validation": VALIDATION,
     "report_lines": _report(d.MIXED),
     "report_income": _report(d.of_type("income")),
@@ -396,6 +450,8 @@ FROM ledger GROUP BY account_id"""),
     "report_totals": _report_totals(),
     "report_store": _report(d.MIXED),
     "report_refresh": _report(d.REFRESHED),
+    "report_headers": _report_headers(),
+    "report_lines_from_files": _report(d.MIXED),
     "report_pivot_json": _pivot(PIVOT_JSON),
     "report_pivot": _pivot(PIVOT_COLUMNS),
 }

@@ -33,19 +33,47 @@ STORED = T.StructType([
 ])
 
 
+HEADER = T.StructType([
+    T.StructField("report_id", T.LongType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("report_type", T.StringType()),
+    T.StructField("date_start", T.DateType()),
+    T.StructField("date_end", T.DateType()),
+    T.StructField("total_debit", MONEY),
+    T.StructField("total_credit", MONEY),
+    T.StructField("total_balance", MONEY),
+])
+
+
 class ReportRun(NamedTuple):
     lines: DataFrame
     totals: DataFrame
     rejected: DataFrame
+    headers: DataFrame
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); without
-    that setting, as in tests, in a new local folder."""
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``). A local
+    session without that setting, as in tests, gets a new local folder; on a cluster that
+    would be another folder on each machine, so there the setting is needed."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='ledgerloom-')}/{name}-{uuid.uuid4().hex}"
 
 
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write rows by report, each report's in place of those it had."""
+    (
+        rows.hint("rebalance", F.col("report_id"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("report_id")
+        .parquet(path)
+    )
+
+
 def write_report_lines(lines: DataFrame, reports: DataFrame, path: str) -> None:
     """Replace the stored lines of ``reports`` by ``lines``, in one write.
 
@@ -54,16 +82,27 @@ def write_report_lines(lines: DataFrame, reports: DataFrame, path: str) -> None:
     job commits, one after the other: on plain files a reader may see some of them new
     and some old in that moment.
     """
-    markers = reports.select(F.col("report_id").cast("long")).distinct()
-    (
-        lines.select(*STORED.names)
-        .unionByName(markers, allowMissingColumns=True)
-        .hint("rebalance", F.col("report_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report_id")
-        .parquet(path)
-    )
+    markers = _ids(reports)
+    _replace(lines.select(*STORED.names).unionByName(markers, allowMissingColumns=True), path)
+
+
+def _ids(reports: DataFrame) -> DataFrame:
+    return reports.select(F.col("report_id").cast("long")).where("report_id IS NOT NULL").distinct()
+
+
+def headers_path(path: str) -> str:
+    """Where the headers of the reports stored below ``path`` are."""
+    return f"{path.rstrip('/')}-headers"
+
+
+def write_report_headers(reports: DataFrame, totals: DataFrame, path: str) -> None:
+    """Replace the stored headers of ``reports``: what was asked for, and the totals."""
+    known = reports.where("report_id IS NOT NULL").select(*HEADER.names[:5]).dropDuplicates(["report_id"])
+    _replace(known.join(totals, "report_id").select(*HEADER.names), headers_path(path))
+
+
+def read_report_headers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HEADER).parquet(headers_path(path)).select(*HEADER.names)
 
 
 def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +115,16 @@ def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_reports(books: Books, reports: DataFrame, path: str) -> ReportRun:
-    """Check the definitions, replace the lines of the complete ones, and total them."""
+    """Check the definitions, replace the lines of all of them, total them and store the headers.
+
+    A definition that is rejected has no lines any more, and totals of zero."""
     complete, rejected = validate_reports(reports)
-    write_report_lines(report_lines(books, complete), complete, path)
-    batch = complete.agg(F.collect_set("report_id")).scalar()
-    mine = read_report_lines(books.spark, path).where(F.array_contains(batch, F.col("report_id")))
-    return ReportRun(mine, report_totals(mine, complete), rejected)
+    write_report_lines(report_lines(books, complete), reports, path)
+    mine = read_report_lines(books.spark, path).join(_ids(reports), "report_id", "left_semi")
+    totals = report_totals(mine, _ids(reports))
+    write_report_headers(reports, totals, path)
+    headers = read_report_headers(books.spark, path).join(_ids(reports), "report_id", "left_semi")
+    return ReportRun(mine, headers.select("report_id", *HEADER.names[5:]), rejected, headers)
 
 
 def refresh_reports(books: Books, reports: DataFrame, path: str, report_ids: list[int] | None = None) -> ReportRun:

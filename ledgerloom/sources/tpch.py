@@ -16,6 +16,10 @@ CODE_PREFIXES = ["1011", "1012", "12", "16", "3", "20", "27", "4",
                  "50", "70", "75", "51", "60", "681", "682", None]
 ACCOUNT_TYPES = ["asset"] * 5 + ["liability"] * 3 + ["equity"] + ["income"] * 2 + ["expense"] * 5
 
+# Line ids that an order may use, and what is added to the number of an unknown analytic account.
+IDS_PER_ORDER = 1 << 20
+UNKNOWN_ANALYTIC = 1_000_000_000
+
 # The columns read here, with the types of the files; stated, so that no job infers them.
 COLUMNS = {
     "region": "r_regionkey int, r_name string",
@@ -67,9 +71,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("s_suppkey") + 1
-    df = _read(spark, sf_dir, "supplier").where("s_suppkey < 7").select(
+    df = _read(spark, sf_dir, "supplier").select(
         number.alias("id"),
-        F.concat(F.lit("AN"), F.lpad(number.cast("string"), 3, "0")).alias("code"),
+        F.concat(F.lit("AN"), F.lpad(number.cast("string"), 9, "0")).alias("code"),
         F.col("s_name").alias("name"),
     )
     return schemas.conform(df, schemas.ANALYTICS)
@@ -88,9 +92,10 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two journal lines per line item.
 
-    The item number inside an order numbers the lines; the id leaves room for 499 items
-    per order, which bounds the groups of this window. It is pruned from every query that
-    does not read ``id``.
+    The item number inside an order numbers the lines; the id leaves room for half a
+    million items per order, and a longer order is an error. The window is pruned from every
+    query that does not read ``id``. Every supplier is an analytic account; the fifth items
+    of orders name one that does not exist.
     """
     in_order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
@@ -101,10 +106,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = items.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn(
         "side", F.explode(F.array(F.lit(0), F.lit(1)))
     )
+    number = F.when(F.col("rn") * 2 + 1 < IDS_PER_ORDER, F.col("rn") * 2).otherwise(
+        F.raise_error(F.lit("an order has more items than line ids"))
+    )
     price = F.col("l_extendedprice")
+    analytic = F.col("l_suppkey") + 1 + F.when(F.col("l_linenumber") == 5, F.lit(UNKNOWN_ANALYTIC)).otherwise(F.lit(0))
     own_account = (F.col("side") == 0) | (F.col("l_linenumber") == 7)
     df = sides.select(
-        (F.col("l_orderkey") * 1000 + F.col("rn") * 2 + F.col("side")).alias("id"),
+        (F.col("l_orderkey") * IDS_PER_ORDER + number + F.col("side")).alias("id"),
         (F.col("l_orderkey") + 1).alias("move_id"),
         F.when(own_account, F.col("l_partkey") + 1)
         .otherwise((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 200 + 1)
@@ -117,7 +126,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("side") == 0, price).otherwise(F.lit(0.0)).alias("debit"),
         F.when(F.col("side") == 1, price).otherwise(F.lit(0.0)).alias("credit"),
         _state().alias("parent_state"),
-        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_suppkey") % 7 + 1).alias("analytic_account_id"),
+        F.when(F.col("l_linenumber") % 3 != 0, analytic).alias("analytic_account_id"),
     )
     return schemas.conform(df, schemas.LINES)
 

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.operators import ledger, statements
+from ledgerloom.operators import ledger, pivot, statements
+from ledgerloom.operators.reports import report_lines
 from ledgerloom.sources.books import Books
 
 
-def register_views(books: Books, prefix: str = "", today=None) -> dict[str, DataFrame]:
-    """Publish (or replace) the four views; nothing is computed until one is queried."""
+def register_views(books: Books, prefix: str = "", today=None, reports: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Publish (or replace) the views; nothing is computed until one is queried. ``reports``, a
+    frame of definitions, adds their lines."""
     views = {
         "general_ledger": ledger.general_ledger(books),
         "income_statement": statements.income_statement(books, today=today),
         "balance_sheet": statements.balance_sheet(books, today=today),
         "cash_flow": statements.cash_flow(books, today=today),
+        "report_pivot": pivot.report_pivot_json(books),
     }
+    if reports is not None:
+        views["report_lines"] = report_lines(books, reports)
     for name, df in views.items():
         df.createOrReplaceTempView(prefix + name)
     return views

@@ -142,7 +142,7 @@ def test_pivot_rows_are_the_ledger_per_company_and_account(tpch):
     sums = posted.groupBy("company_id", "account_id").agg(
         F.sum(F.col("debit") - F.col("credit")).cast("decimal(28,2)").alias("total_balance")
     )
-    wide = pivot.report_pivot(tpch, [f"AN{n:03d}" for n in range(1, 8)])
+    wide = pivot.report_pivot(tpch, [f"AN{n:09d}" for n in range(1, 8)])
     assert wide.select(*sums.columns).exceptAll(sums).count() == 0
     parts = [c for c in wide.columns if c.startswith("AN")] + ["balance_without_analytic"]
     total = sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0)))

@@ -8,7 +8,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerloom.plans.catalog import QUERIES
+from ledgerloom.plans.oracle import ORACLE
 
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
@@ -22,15 +24,15 @@ def duck(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, sf_dir, duck, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     mine = sorted(tuple(str(row[c]) for c in columns) for row in df.collect())
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     types = {c[0]: str(c[1]) for c in cursor.description}
     position = [list(types).index(c) for c in columns]
     theirs = sorted(tuple(str(row[i]) for i in position) for row in cursor.fetchall())
@@ -49,5 +51,5 @@ def test_entry_is_the_whole_ledger(spark, sf_dir):
     ("report_pivot_json", ["account_code", "company_id", "account_name"]),
 ])
 def test_order_nulls_last(spark, sf_dir, name, order):
-    rows = [tuple((r[c] is None, r[c]) for c in order) for r in queries()[name](spark, sf_dir).collect()]
+    rows = [tuple((r[c] is None, r[c]) for c in order) for r in QUERIES[name](spark, sf_dir).collect()]
     assert rows == sorted(rows, key=lambda row: [(null, "" if null else value) for null, value in row])
