@@ -90,6 +90,13 @@ def _ids(reports: DataFrame) -> DataFrame:
     return reports.select(F.col("report_id").cast("long")).where("report_id IS NOT NULL").distinct()
 
 
+def _of(stored: DataFrame, reports: DataFrame) -> DataFrame:
+    """The stored rows of these reports. Their lowest and highest id leave other partitions unread."""
+    ids = _ids(reports)
+    low, high = ids.agg(F.min("report_id")).scalar(), ids.agg(F.max("report_id")).scalar()
+    return stored.where(F.col("report_id").between(low, high)).join(ids, "report_id", "left_semi")
+
+
 def headers_path(path: str) -> str:
     """Where the headers of the reports stored below ``path`` are."""
     return f"{path.rstrip('/')}-headers"
@@ -120,10 +127,10 @@ def run_reports(books: Books, reports: DataFrame, path: str) -> ReportRun:
     A definition that is rejected has no lines any more, and totals of zero."""
     complete, rejected = validate_reports(reports)
     write_report_lines(report_lines(books, complete), reports, path)
-    mine = read_report_lines(books.spark, path).join(_ids(reports), "report_id", "left_semi")
+    mine = _of(read_report_lines(books.spark, path), reports)
     totals = report_totals(mine, _ids(reports))
     write_report_headers(reports, totals, path)
-    headers = read_report_headers(books.spark, path).join(_ids(reports), "report_id", "left_semi")
+    headers = _of(read_report_headers(books.spark, path), reports)
     return ReportRun(mine, headers.select("report_id", *HEADER.names[5:]), rejected, headers)
 
 

@@ -181,12 +181,33 @@ def test_unknown_analytic_account(make_books, make_reports):
         None: ("SIN ANALÍTICA", "Sin Cuenta Analítica", D(-1)),
     }
     data = one(pivot.report_pivot_json(books))
-    assert data.analytic_data == '{"8":-5.00,"AN3":-2.00}'
+    assert data.analytic_data == '{"#8":-5.00,"AN3":-2.00}'
     assert (data.balance_without_analytic, data.total_balance) == (D(-1), D(-8))
     wide = one(pivot.report_pivot(books, ["AN3", "AN4"]))
     assert (wide.AN3, wide.AN4, wide.total_balance) == (D(-2), None, D(-8))
 
 
+def test_analytic_accounts_never_share_a_label(make_books):
+    books = make_books(
+        lines=[dict(id=n, debit=n, analytic_account_id=a) for n, a in enumerate([1, 2, 3, 4, 5, 6, None], 1)],
+        analytics=[dict(id=1, code="X"), dict(id=2, code="X"), dict(id=3, code="5"), dict(id=4, code=None), dict(id=6, code="#5")],
+    )
+    data = one(pivot.report_pivot_json(books))
+    assert data.analytic_data == '{"#4":4.00,"#5":5.00,"#5#6":6.00,"5":3.00,"X#1":1.00,"X#2":2.00}'
+    assert (data.balance_without_analytic, data.total_balance) == (D(7), D(28))
+
+
+def test_refresh_to_an_unknown_type_removes_the_lines(spark, make_books, make_reports, tmp_path):
+    path = str(tmp_path / "lines")
+    books = make_books(lines=[dict(id=1, credit=5)], accounts=[dict(id=1, internal_type="income")])
+    report_store.run_reports(books, make_reports(dict(report_id=1), dict(report_id=2)), path)
+    run = report_store.refresh_reports(books, make_reports(dict(report_id=1, report_type="tax"), dict(report_id=2)), path, [1])
+    assert [r.report_id for r in run.rejected.collect()] == [1] and run.lines.count() == 0
+    assert [r.report_id for r in report_store.read_report_lines(spark, path).collect()] == [2]
+    headers = {r.report_id: (r.report_type, r.total_balance) for r in report_store.read_report_headers(spark, path).collect()}
+    assert headers == {1: ("tax", D(0)), 2: ("income", D(-5))}
+
+
 def test_balance_color(spark):
     values = spark.createDataFrame([("-0.01",), ("0.00",), ("0.01",), (None,)], "b string").select(
         balance_color(F.col("b").cast("decimal(15,2)")).alias("c")

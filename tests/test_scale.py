@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import DataFrame, Window, functions as F
@@ -146,8 +147,10 @@ def test_period_reads_full_lines_of_the_period_only(stored_books):
 
 def test_search_shuffles_amounts_and_matches_only(stored_books, skewed):
     found = ledger.ledger_search(stored_books, partner_id=7)
+    # once for the matches with all their columns, once for their days; both by the term
     full = [x for x in scans(found, "account_id") if "partner_id#" in x]
-    assert len(full) == 1 and "partner_id#" in full[0].split("DataFilters")[1]
+    assert len(full) >= 2 and all("partner_id#" in x.split("DataFilters")[1] for x in full)
+    assert sum("ref#" in x for x in full) == 1
     for terms in (dict(partner_id=7), dict(journal_id=2, ref="f"), dict(account_id=HOT, ref="r")):
         rows = ledger.ledger_search(skewed, **terms)
         conditions = [f"{k} = {v}" if isinstance(v, int) else f"{k} ilike '%{v}%'" for k, v in terms.items()]
@@ -205,12 +208,72 @@ def test_no_cross_join_without_broadcast(spark, stored_books, no_broadcast):
         assert not re.search(r"Python|CartesianProduct|NestedLoop", text), text
 
 
-def test_reports_sum_lines_before_any_join(spark, stored_books, no_broadcast):
+def test_reports_meet_lines_of_the_asked_accounts_only(spark, stored_books):
     text = plan(reports.report_lines(stored_books, d.definitions(spark, d.MIXED)))
     above = text[: text.index("parent_state#")].split("\n")
-    order = [re.search(r"(HashAggregate|Exchange hashpartitioning|SortMergeJoin)", line) for line in above]
-    nearest = [m.group(1) for m in order if m][-1]
-    assert nearest == "HashAggregate"
+    order = [re.search(r"(HashAggregate|Exchange hashpartitioning|Join)", line) for line in above]
+    # a semi-join by account, then the sums ahead of the shuffle
+    assert [m.group(1) for m in order if m][-3:] == ["Exchange hashpartitioning", "HashAggregate", "Join"]
+
+
+def overlapping(n: int) -> list[tuple]:
+    return [(i, f"r{i}", "income", date(1994, 1, 1) + timedelta(days=600 * i // n), date(1998, 1, 1) + timedelta(days=400 * i // n), [1], [], False, True)
+            for i in range(1, n + 1)]
+
+
+def test_overlapping_reports_grow_in_proportion(spark, stored_books):
+    """Rows that enter the window: movements once, and two per report and series."""
+    sizes = []
+    for n in (50, 100, 200, 400):
+        batch = d.definitions(spark, overlapping(n))
+        asked = reports._report_accounts(stored_books, batch)
+        moved = reports._movements(stored_books, asked, batch)
+        series = moved.select(*reports.SERIES).distinct()
+        sizes.append(2 * asked.join(series, ["company_id", "account_id"]).count() / n)
+        execution = reports._in_periods(asked, moved)._jdf.queryExecution()
+        assert "NestedLoop" not in execution.executedPlan().toString()
+    assert max(sizes) <= 1.2 * min(sizes)
+
+
+def test_no_task_holds_an_account_with_many_analytics(spark, make_books, make_reports):
+    """The hot account's series are dealt out by analytic account too."""
+    lines = [dict(id=i, account_id=1, debit=i % 7, analytic_account_id=i % 900) for i in range(1800)]
+    lines += [dict(id=5000 + i, account_id=2, debit=1, analytic_account_id=i % 3) for i in range(900)]
+    books = make_books(lines=lines, accounts=[dict(id=1), dict(id=2)])
+    batch = make_reports(dict(report_id=1, report_type="balance"))
+    asked = reports._report_accounts(books, batch)
+    moved = reports._movements(books, asked, batch)
+    per_task = moved.repartition(16, *reports.SERIES).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) < 0.15 * moved.count()
+    text = plan(reports._in_periods(asked, moved))
+    windows = re.findall(r"Window \[.*?windowspecdefinition\((.*?), specifiedwindowframe", text)
+    assert windows and all("analytic_account_id" in w for w in windows)
+
+
+def test_search_windows_only_days_with_a_hit(spark, stored_books):
+    found = ledger.ledger_base(stored_books).where("partner_id = 7")
+    days = {(r.account_id, r.date) for r in found.select("account_id", "date").collect()}
+    execution = ledger.ledger_search(stored_books, partner_id=7)._jdf.queryExecution()
+    execution.toRdd().count()
+    final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftSemi" in final
+    base = ledger.ledger_base(stored_books)
+    near = sum((r.account_id, r.date) in days for r in base.select("account_id", "date").collect())
+    assert near < base.count() / 10
+
+
+@pytest.mark.parametrize("date_, size", [("1996-05-05", 30), (None, 30), ("1992-01-01", 400)])
+def test_next_page_follows_the_ledger(stored_books, date_, size):
+    rows = [tuple(r) for r in ledger.general_ledger(stored_books, ordered=True).collect()]
+    key = lambda r: (r[4] is None, r[4] or 0, r[1] is None, r[1] or date(1, 1, 1), r[0])
+    after = (False, 7, date_ is None, date.fromisoformat(date_) if date_ else date(1, 1, 1), 0)
+    expected = [r for r in rows if key(r) > after][:size]
+    assert [tuple(r) for r in ledger.ledger_next_page(stored_books, 7, date_, 0, size).collect()] == expected
+
+
+def test_ordered_ledger(stored_books):
+    rows = [(r.account_id is None, r.account_id, r.date is None, r.date or date(1, 1, 1), r.id) for r in ledger.general_ledger(stored_books, ordered=True).collect()]
+    assert rows == sorted(rows)
 
 
 def test_skewed_statements_and_reports(spark, skewed, no_broadcast):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,19 +95,22 @@ def test_store_reads_only_the_partitions_of_the_batch(spark, make_books, make_re
     run = report_store.refresh_reports(books, make_reports(*[dict(report_id=n) for n in range(1, 6)]), path, [4])
     assert [r.report_id for r in run.lines.collect()] == [4]
     text = run.lines._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(report_id" in text or "PartitionFilters: [array_contains" in text
+    assert "PartitionFilters: [isnotnull(report_id" in text and "report_id#" in text.split("PartitionFilters")[1]
     assert report_store.read_report_lines(spark, path).count() == 5
 
 
 def test_scratch_table_uses_the_shared_folder():
     class Session:
-        def __init__(self, **settings):
-            self.conf = settings
+        def __init__(self, master="local[2]", **settings):
+            self.conf, self.sparkContext = settings, SimpleNamespace(master=master)
 
     shared = Session(**{"spark.checkpoint.dir": "hdfs://shared/scratch"})
     first, second = report_store.scratch_table(shared, "t"), report_store.scratch_table(shared, "t")
     assert first != second and first.startswith("hdfs://shared/scratch/t-")
     assert "/t-" in report_store.scratch_table(Session(), "t")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            report_store.scratch_table(Session(master), "t")
 
 
 def test_scratch_table_reads_the_setting_of_a_session(spark):
