@@ -27,7 +27,7 @@ from ledgerloom.llm.storage import free_name, shared_table, with_row_key
 
 MIN_WORDS = 20
 
-UNITS = "row long, unit long, first long, last long, n_words long, h1 long, h2 long"
+UNITS = "row long, unit long, first long, last long, n_words long, h1 long, h2 long, again boolean"
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
@@ -47,7 +47,8 @@ def unit_ends(texts: W.Texts) -> np.ndarray:
 
 
 def units_of(texts: W.Texts) -> tuple[np.ndarray, ...]:
-    """Text, number, start and end in the text, words and digest of each unit that has a word."""
+    """Text, number, start and end in the text, words and digest of each unit that has a word, and
+    whether an earlier unit of the same text has that digest."""
     ends = unit_ends(texts)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     owner = texts.text_of(starts)
@@ -65,7 +66,9 @@ def units_of(texts: W.Texts) -> tuple[np.ndarray, ...]:
         each = W.mix(words ^ place) * (place | np.uint64(1))
         digests.append(W.mix(np.add.reduceat(each, first) if len(first) else np.empty(0, np.uint64)) + count[full].astype(np.uint64))
     at = texts.offsets[owner[full]]
-    return owner[full], number[full], starts[full] - at, ends[full] - at, count[full], *(d.view(np.int64) for d in digests)
+    again = np.ones(len(full), bool)
+    again[np.unique(np.stack([owner[full].astype(np.uint64), *digests], axis=1), axis=0, return_index=True)[1]] = False
+    return owner[full], number[full], starts[full] - at, ends[full] - at, count[full], *(d.view(np.int64) for d in digests), again
 
 
 def units(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -83,10 +86,11 @@ def units(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 def removals(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` and its removed ``spans`` (first, last), in order.
 
-    The earliest occurrence of a digest is a grouped minimum, made of partial minima, so a
-    digest of any number of units is one row; the join back may split such a digest's rows."""
-    earliest = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("row", "unit")).alias("kept")).where("n > 1").drop("n")
-    again = found.join(earliest, ["h1", "h2"]).where(F.struct("row", "unit") != F.col("kept"))
+    The earliest document of a digest is a grouped minimum, made of partial minima, so a digest
+    of any number of units is one row. It is stored before the units are joined with it, so that
+    the join alone decides how they are dealt out, and may split a frequent digest's rows."""
+    earliest = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row").alias("kept")).where("n > 1").drop("n")
+    again = found.join(shared_table(earliest), ["h1", "h2"]).where(F.col("again") | (F.col("row") != F.col("kept")))
     by_row = Window.partitionBy("row").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.row_number().over(by_row)).groupBy("row", "run")
     spans = runs.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_words").alias("words")).where(F.col("words") >= min_words)
