@@ -24,7 +24,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +140,9 @@ def _pieces(docs: DataFrame, tokenizer: str, end: int, tiers: tuple[int, ...], b
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            for first, column in W.slices(batch, "t", 4 << 20):
-                encode.room()
-                split = [subwords.chunks(t) for t in column.to_pylist()]
-                numbered = iter(encode.numbers(w for words in split for w in words))
-                for doc, words in zip(batch.column(0).slice(first, len(column)).to_pylist(), split):
-                    own, _ = encode.spread(np.fromiter(islice(numbered, len(words)), np.int64, len(words)))
+            for first, column in W.slices(batch, "t"):
+                found, _ = encode.texts([subwords.chunks(t) for t in column.to_pylist()])
+                for doc, own in zip(batch.column(0).slice(first, len(column)).to_pylist(), found):
                     ids = np.append(own, np.int32(end)).astype("<u4")
                     packer.add((doc, ids), len(ids))
                 if packer.tokens > buffer:
