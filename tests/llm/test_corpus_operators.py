@@ -1,0 +1,309 @@
+"""Quality rules, near-duplicates, substrings, decontamination and packing against plain loops."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import brute
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from ledgerloom.llm import decontaminate, packing, quality_rules, simhash, subwords, substring_dedup
+from ledgerloom.llm import words as W
+
+UNITS = st.text(alphabet="ab .!?\n\tÉ0", max_size=40)
+
+
+def column(texts):
+    import pyarrow as pa
+    return W.Texts.of(pa.array(list(texts), pa.large_string()))
+
+
+@pytest.mark.parametrize("module, query", [(quality_rules, "op4_quality_rules"), (decontaminate, "op1_decontaminate")])
+def test_same_as_sql(spark, sf_dir, duck, module, query):
+    df = getattr(module, query)(spark, sf_dir)
+    cursor = duck.execute(module.ORACLE)
+    assert df.columns == [c[0] for c in cursor.description]
+    assert sorted(map(tuple, df.collect())) == sorted(cursor.fetchall())
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet="ab \n#É", max_size=60), max_size=6))
+def test_measures(texts):
+    found = quality_rules.measure(column(texts))
+    assert [tuple(int(c[i]) for c in found) for i in range(len(texts))] == [brute.measures(t) for t in texts]
+
+
+def test_quality_of_edge_cases(edge, empty):
+    rows = quality_rules.judge(edge).collect()
+    assert len(rows) == edge.count()
+    texts = {(r.doc_id, r.text) for r in edge.collect()}
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r.doc_id].append(r)
+    for key, text in texts:
+        for r in by_id[key]:
+            if key is not None:
+                assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.measures(text)
+                assert r.base_failed == brute.base_failed(text)
+        assert all(not (r.kept and r.base_failed) for r in by_id[key])
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_bad_host_loses_its_documents(spark):
+    good = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, good if i % 50 == 0 else "bad", "bad.example" if i < 400 else f"host{i % 5}") for i in range(400)]
+    rows += [(400 + i, good, f"host{i % 5}") for i in range(400)] + [(900, good, None), (901, good, "sparse"), (902, "bad", "sparse")]
+    found = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(found[i].kept for i in range(400))
+    assert all(found[400 + i].kept for i in range(400)) and found[900].kept and found[901].kept and not found[902].kept
+    sparse = found[901].base_failed_rate
+    assert 0.05 < sparse < 0.95  # one failure of two, shrunk towards the other hosts
+
+
+# near-duplicates
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.text(alphabet="abAB \t\nÉ", max_size=40), max_size=5))
+def test_fingerprints(texts):
+    assert simhash.fingerprints_of(column(texts)).tolist() == [brute.fingerprint(t) for t in texts]
+
+
+def clustered(rng, n, centers):
+    """Fingerprints around some centers, so that many chains of links arise."""
+    middle = [rng.getrandbits(64) for _ in range(centers)]
+    out = set()
+    while len(out) < n:
+        x = rng.choice(middle) if rng.random() < 0.8 else rng.getrandbits(64)
+        for _ in range(rng.randint(0, 6)):
+            x ^= 1 << rng.randrange(64)
+        out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bits, block", [(4, simhash.BLOCK), (4, 40), (3, 50), (1, 64), (0, 64)])
+def test_components_of_fingerprints(spark, bits, block):
+    fps = clustered(random.Random(bits), 700, 3)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3), bits, block)
+    found = {r.fp: r.root for r in simhash.connected(links).collect()}
+    groups, expected = defaultdict(set), defaultdict(set)
+    for i, (x, root) in enumerate(zip(signed, brute.components(fps, bits))):
+        groups[found.get(x, x)].add(i)
+        expected[root].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_every_linked_pair_shares_a_key_and_passes_its_chain():
+    rng, rings = random.Random(1), simhash._rings(4)
+    for _ in range(300):
+        a = b = rng.getrandbits(64)
+        for k in rng.sample(range(64), rng.randint(0, 4)):
+            b ^= 1 << k
+        both = np.array([a, b], np.uint64)
+        keys = [k for k in simhash.group_keys(both) if k[0] == k[1] and len(simhash._linked(both[:1] ^ both[1:], k[0], 4, rings))]
+        assert keys
+
+
+def test_near_duplicates_of_edge_cases(edge, empty):
+    rows = simhash.components(edge).collect()
+    texts = {r.doc_id: r.text for r in edge.collect()}
+    assert len(rows) == edge.count()
+    for r in rows:
+        if r.doc_id is not None:
+            assert r.fingerprint == f"{brute.fingerprint(texts[r.doc_id]):016x}"
+    by_id = {r.doc_id: r.component_id for r in rows}
+    assert by_id[1] == by_id[2] == by_id[3] == 1 and by_id[5] == by_id[6] == 5
+    assert simhash.components(empty).count() == 0
+
+
+def test_near_duplicates_of_the_test_data(spark, sf_dir, texts):
+    found = {r.doc_id: r for r in simhash.op8_simhash(spark, sf_dir).collect()}
+    ids = sorted(texts)
+    for i, root in zip(ids, brute.components([brute.fingerprint(texts[i]) for i in ids])):
+        assert found[i].component_id == ids[root]
+
+
+# substrings
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(UNITS, max_size=4))
+def test_units_cover_the_texts(texts):
+    texts = [t for t in texts if t]
+    owner, _, first, last, count, *_ = substring_dedup.units_of(column(texts))
+    for i, text in enumerate(texts):
+        own = [text.encode()[a:b].decode() for o, a, b in zip(owner, first, last) if o == i]
+        assert sum((brute.alnum(u) for u in own), []) == brute.alnum(text)
+        assert [len(brute.alnum(u)) for u in own] == count[owner == i].tolist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_substrings(spark, seed):
+    rng = random.Random(seed)
+    parts = ["Aa b. ", "b A!\n", "c c c c? ", "\n", "d", "E e e. ", ".. "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans]) for r in substring_dedup.dedup(docs, min_words=3).collect()}
+    assert found == brute.deduplicated(enumerate(texts), 3)
+
+
+def test_substrings_of_edge_cases(edge, empty):
+    found = substring_dedup.dedup(edge)
+    assert set(edge.columns) <= set(found.columns) and len(found.columns) == len(edge.columns) + 1
+    rows = found.collect()
+    assert len(rows) == edge.count()
+    words = lambda rs: sum(r.text.count("epsilon") for r in rs if r.text)
+    assert words(edge.collect()) > 5 and words(rows) == 1
+    assert [r.text for r in rows if r.doc_id == 1] == [None]
+    assert [r.text for r in rows if r.doc_id == 7] == ["Before it came.\nAfter it went."]
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_substrings_of_the_test_data(spark, sf_dir, texts):
+    found = {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans]) for r in substring_dedup.op5_substring_dedup(spark, sf_dir).collect()}
+    assert found == brute.deduplicated(texts.items())
+    assert any(spans for _, spans in found.values())
+
+
+# decontamination
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.integers(0, 1 << 40), max_size=30))
+def test_postings_come_back(positions):
+    positions = sorted(set(positions))
+    data, _ = decontaminate.encode(np.diff(np.array(positions, np.int64), prepend=0))
+    assert decontaminate.decode(data.tobytes()).tolist() == positions
+
+
+ITEMS = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "Four Five"), ("b", "Four Five"), (None, "zero"),
+         ("c", None), ("d", ""), ("e", "!!"), ("10", "four five")]
+TEXTS = [(1, "zero one two three four five six seven eight nine ten eleven twelve"), (2, "four, FIVE; four"), (3, None), (4, ""), (5, "..."),
+         (6, "one two three four five six seven eight nine x ten eleven"), (7, "four"), (8, "five four five four five")]
+
+
+@pytest.mark.parametrize("block, segment", [(1 << 20, 1 << 20), (30, 40), (1, 1)])
+def test_search(spark, block, segment):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(2)
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    phrases = brute.windows(ITEMS)
+    index = decontaminate.build_index(docs, segment=segment)
+    for r in decontaminate.search(index, items, block=block).collect():
+        n, hit, found = brute.contaminated(dict(TEXTS)[r.doc], phrases)
+        assert (r.n_words, r.n_hit, set(r["items"])) == (n, hit, found - {None})
+
+
+def near(words, phrase, slop):
+    """Whether every word of the phrase is within ``slop`` of its place for some anchor, the phrase's rarest word."""
+    places = [[i - k for i, w in enumerate(words) if w == p] for k, p in enumerate(phrase)]
+    rarest = min(range(len(phrase)), key=lambda k: len(places[k]))
+    return any(all(any(abs(x - a) <= slop for x in own) for own in places) for a in places[rarest])
+
+
+def test_proximity(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    items = [(str(i), " ".join(rng.sample("abcdef", 4))) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    # one document per segment, so that the rarest word is that of the document
+    index = decontaminate.build_index(frame, segment=1)
+    found = {r.doc: r for r in decontaminate.search(index, spark.createDataFrame(items, "item_id string, text string"), slop=2).collect()}
+    for i, text in docs:
+        words = text.split()
+        assert set(found[i].near_items) == {k for k, p in items if near(words, p.split(), 2)}
+        assert set(found[i]["items"]) == {k for k, p in items if f" {p} " in f" {text} "} <= set(found[i].near_items)
+
+
+def test_decontamination_of_edge_cases(spark, edge, empty):
+    items = spark.createDataFrame([("x", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), ("y", "中文")], "item_id string, text string")
+    rows = decontaminate.decontaminate(edge, items).collect()
+    assert len(rows) == edge.count()
+    assert {r.doc_id for r in rows if r.n_hit} == {5, 6, 7, 9, None}
+    assert decontaminate.decontaminate(empty, items).count() == 0
+    assert decontaminate.decontaminate(edge, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_items_are_hashed_in_order(spark):
+    docs = spark.createDataFrame([(1, "four five four")], "doc_id long, text string")
+    row = decontaminate.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id string, text string")).first()
+    assert row["items"] == ["10", "b"]
+    assert hashlib.sha256(b"10,b").hexdigest() == "".join(hashlib.sha256(",".join(row["items"]).encode()).hexdigest())
+
+
+# packing
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    t.encode_special_tokens = True
+    return t
+
+
+def check_packing(rows, texts, tokenizer, tiers=packing.TIERS):
+    """``texts``: pairs of id and text. Returns the sequences' lengths."""
+    ids = defaultdict(list)
+    for key, text in texts:
+        ids[key].append(np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END], "<u4"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r.doc_id][0]
+        assert r.doc_tokens == len(own) and zlib.crc32(own[r.start:r.start + r.length].tobytes()) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(ids)
+    for key, own in pieces.items():
+        covered = np.zeros(len(ids[key][0]), int)
+        for start, length in own:
+            assert length > 0
+            covered[start:start + length] += 1
+        assert (covered == len(ids[key])).all()
+    lengths = []
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == own[0].tier <= tiers[-1] and len({r.step_group for r in own}) == 1
+        lengths.append(at)
+    assert all(n & (n - 1) == 0 for n in lengths)
+    return lengths
+
+
+def test_packing_of_the_test_data(spark, sf_dir, texts, tokenizer):
+    lengths = check_packing(packing.op6_packing(spark, sf_dir).collect(), texts.items(), tokenizer)
+    assert sum(n in packing.TIERS for n in lengths) > 0.9 * len(lengths)
+
+
+def test_packing_of_edge_cases(edge, empty, tokenizer):
+    check_packing(packing.pack(edge).collect(), [(r.doc_id, r.text) for r in edge.collect()], tokenizer)
+    assert packing.pack(empty).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(edge, tiers=(100, 200))
+
+
+def test_step_groups_are_balanced(spark, tokenizer):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["to", "be", "or", "not"]) for _ in range(rng.randint(0, 900)))) for i in range(400)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tiers=(64, 128, 256), step_tokens=8192).collect()
+    check_packing(found, rows, tokenizer, (64, 128, 256))
+    groups = {r.step_group for r in found}
+    assert len(groups) > 5
+    for tier in {r.tier for r in found}:
+        sizes = [len({r.sequence_id for r in found if r.tier == tier and r.step_group == g}) for g in groups]
+        assert max(sizes) - min(sizes) <= 1
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text(alphabet=st.sampled_from("abcXYZ'sdtlmrv,.!?-_0123456789éÉßÿÀ×÷ªµ\x00\x1c\x85\xa0́Σσἀ中🙂İ \n"), max_size=60))
+def test_subwords_are_the_tokenizers(text):
+    import public_tokenizers
+    for name, before in (("word_bpe_49k.json", ""), ("byte_bpe_50k.json", " ")):
+        own = subwords.loaded(name, before)
+        assert public_tokenizers.path(name)
+        joined = text if not before else "".join(before + c for c in subwords.chunks(text))
+        assert own.spread(own.numbers(subwords.chunks(text)))[0].tolist() == own.tokenizer.encode(joined, add_special_tokens=False).ids
