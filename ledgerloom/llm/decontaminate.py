@@ -36,8 +36,8 @@ from ledgerloom.llm.storage import shared_table
 
 SIZE = 10
 #: Bytes of text in a segment; a longer document is a segment of its own.
-SEGMENT = 16 << 20
-#: Free positions between two documents of a segment; the slop must stay below.
+SEGMENT = 8 << 20
+#: Free positions between two documents of a segment; slop and window size together must stay below.
 GAP = 64
 #: Bytes of benchmark text that are searched for at once.
 PHRASES = 4 << 20
@@ -63,10 +63,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def decode(data: bytes) -> np.ndarray:
     """The positions of a posting list."""
     raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     shift = (np.arange(len(raw)) - np.repeat(first, last - first + 1)) * 7
-    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << shift, first)) if len(raw) else np.empty(0, np.int64)
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << shift, first))
 
 
 def _segment(number: int, docs: pa.Array, texts: W.Texts) -> Iterator[pa.RecordBatch]:
@@ -124,8 +126,9 @@ class Phrases:
         self.length = np.minimum(count, size)[self.item]
         self.vocabulary, self.word = np.unique(terms, return_inverse=True)
 
-    def matches(self, terms: np.ndarray, postings: list[bytes], slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Number of a phrase, first positions of its proximity matches, and which of them are exact."""
+    def matches(self, terms: np.ndarray, postings: list[bytes], slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Number of a phrase, first positions of its proximity matches, where its rarest word is in
+        them, and which of them are exact."""
         at = np.minimum(np.searchsorted(terms, self.vocabulary), max(len(terms) - 1, 0))
         here = terms[at] == self.vocabulary if len(terms) else np.zeros(len(self.vocabulary), bool)
         lacking = np.concatenate([[0], np.cumsum(~here[self.word])])
@@ -147,7 +150,7 @@ class Phrases:
                 there = other[np.minimum(np.searchsorted(other, found), len(other) - 1)] == found
                 found, exact = found[good], (exact & there)[good]
             if len(found):
-                yield int(p), found, exact
+                yield int(p), found, found + order[0], exact
 
 
 def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
@@ -161,8 +164,8 @@ def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         terms = segment.filter(pa.array(~is_doc)).sort_by("term")
         base, n = docs.column("base").to_numpy(), docs.num_rows
         items, near, spans = {}, {}, {}
-        for p, found, exact in phrases.matches(terms.column("term").to_numpy(), terms.column("postings").to_pylist(), slop):
-            owner = np.searchsorted(base, found, side="right") - 1
+        for p, found, anchor, exact in phrases.matches(terms.column("term").to_numpy(), terms.column("postings").to_pylist(), slop):
+            owner = np.searchsorted(base, anchor, side="right") - 1
             name, length = phrases.names[phrases.item[p]], int(phrases.length[p])
             for doc, position, same in zip(owner.tolist(), found.tolist(), exact.tolist()):
                 near.setdefault(doc, set()).add(name)
@@ -199,8 +202,8 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int =
 
     The phrases of a block of the benchmark, at most about ``block`` bytes of text, are sent to
     the tasks; a larger benchmark takes several passes over the index's matching lists."""
-    if not 0 <= slop < GAP:
-        raise ValueError(f"slop must be from 0 to {GAP - 1}")
+    if not 0 <= slop < GAP - size:
+        raise ValueError(f"slop and size together must stay below {GAP}")
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block) or 1
