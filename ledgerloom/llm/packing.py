@@ -141,7 +141,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end: int, tiers: tuple[int, ...], b
 
         for batch in batches:
             for first, column in W.slices(batch, "t"):
-                found, _ = encode.texts([subwords.chunks(t) for t in column.to_pylist()])
+                found, _, _ = encode.texts([subwords.chunks(t) for t in column.to_pylist()])
                 for doc, own in zip(batch.column(0).slice(first, len(column)).to_pylist(), found):
                     ids = np.append(own, np.int32(end)).astype("<u4")
                     packer.add((doc, ids), len(ids))

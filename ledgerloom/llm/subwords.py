@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -20,7 +20,8 @@ KNOWN, KEPT = 400_000, 100_000
 #: Bytes of the longest piece that is merged in numpy.
 LONGEST = 48
 
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x80-\U0010ffff]")
+#: What str.split takes for white space beside the six of ASCII.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Chunks whose form is unchanged by composition, and whose letters lower-case one to one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
@@ -33,8 +34,8 @@ _SPLIT = {
 
 
 def chunks(text: str) -> list[str]:
-    """The text's chunks; str.split also cuts at other white space, so it serves only plain texts."""
-    return text.split() if text.isascii() and not _ODD_SPACE.search(text) else _CHUNK.findall(text)
+    """The text's chunks; str.split also cuts at other white space, so it serves only texts without that."""
+    return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
 def _spread(ids: np.ndarray, first: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +150,7 @@ class Subwords:
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.first = np.zeros(1, np.int64)
+        self.source, self.values = None, np.empty(0, np.int64)
 
     def _encode_plain(self, fresh: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The chunks that can be merged here, their ids, and where each chunk's begin."""
@@ -167,15 +169,19 @@ class Subwords:
     def numbers(self, words: Iterable[str]) -> np.ndarray:
         """The number of each chunk in ``first`` and ``ids``, valid until the next call of ``room``."""
         number, words = self.number, list(words)
-        fresh = [w for w in dict.fromkeys(words) if w not in number]
-        if fresh:
+        found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            lacking = [words[i] for i in missing]
+            fresh = list(dict.fromkeys(lacking))
             done, flat, first = self._encode_plain(fresh)
             self._add(done, flat, first)
             rest = [w for w in fresh if w not in number]
             if rest:
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + w for w in rest], add_special_tokens=False)]
-                self._add(rest, np.array([i for ids in found for i in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])]))
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.before + w for w in rest], add_special_tokens=False)]
+                self._add(rest, np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
+            found[missing] = np.fromiter(map(number.__getitem__, lacking), np.int64, len(lacking))
+        return found
 
     def _add(self, done: list[str], flat: np.ndarray, first: np.ndarray) -> None:
         at, used = len(self.first) - 1, int(self.first[-1])
@@ -189,20 +195,31 @@ class Subwords:
         """Forget the later chunks if the dictionary is full."""
         if len(self.number) > self.known:
             self.number = dict(islice(self.number.items(), KEPT))
-            self.first = self.first[:KEPT + 1].copy()
+            self.first, self.values = self.first[:KEPT + 1].copy(), self.values[:KEPT]
             self.ids = self.ids[:max(1 << 16, int(self.first[-1]))].copy()
 
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered chunks one after the other, and how many each has."""
         return _spread(self.ids, self.first, numbers)
 
-    def texts(self, words: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of texts given as their chunks, and how many ids each chunk of a text has."""
+    def texts(self, words: list[list[str]], looked_up: dict[str, int] | None = None) -> tuple[list[np.ndarray], ...]:
+        """The ids of texts given as their chunks, how many ids each chunk of a text has, and what
+        ``looked_up`` has for it (0 if nothing). Each chunk is looked up once while it is remembered."""
         self.room()
-        ids, size = self.spread(self.numbers([w for own in words for w in own]))
+        numbers = self.numbers([w for own in words for w in own])
+        ids, size = self.spread(numbers)
         cuts = np.cumsum([len(own) for own in words])
         upto = np.concatenate([[0], np.cumsum(size)])
-        return np.split(ids, upto[cuts[:-1]]) if len(words) else [], np.split(size, cuts[:-1]) if len(words) else []
+        if not words:
+            return [], [], []
+        values = np.zeros(len(size), np.int64)
+        if looked_up is not None:
+            if self.source is not looked_up:
+                self.source, self.values = looked_up, np.empty(0, np.int64)
+            new = islice(self.number, len(self.values), None)
+            self.values = np.concatenate([self.values, np.fromiter(map(looked_up.get, new, repeat(0)), np.int64)])
+            values = self.values[numbers]
+        return np.split(ids, upto[cuts[:-1]]), np.split(size, cuts[:-1]), np.split(values, cuts[:-1])
 
 
 _loaded: dict[tuple[str, str], Subwords] = {}
