@@ -191,31 +191,42 @@ def cut(texts: W.Texts, batch: int, window: int = WINDOW) -> Iterator[tuple[np.n
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """About ``per_language`` documents (a tenth more at most, but for chance) of each of the most frequent ``languages``,
-    by a hash of their ids. Rows with null text, language or id are left out."""
+    """About ``per_language`` documents of each of the most frequent ``languages``, by a hash of their
+    ids. Rows with null text, language or id are left out."""
     rows = docs.where("id IS NOT NULL AND lang IS NOT NULL AND t != ''")
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     share = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 40)) / F.lit(1 << 40)
-    return rows.join(F.broadcast(most), "lang").where(share * F.col("n") < per_language).select("id", "t", "lang").orderBy("id", "lang", "t").limit(2 * per_language * languages)
+    return rows.join(F.broadcast(most), "lang").where(share * F.col("n") < per_language).select(F.col("id").cast("long"), "t", "lang")
+
+
+def windows_of(rows: DataFrame, windows: int) -> DataFrame:
+    """At most ``windows`` windows of each sampled text, from places drawn by its id; so the driver
+    gets some bytes of a text, however long it is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                data = text.encode()
+                places = np.random.default_rng(abs(key)).integers(0, max(1, len(data) - WINDOW + 1), min(windows, -(-len(data) // WINDOW)))
+                out += [(key, lang, nth, data[start:start + WINDOW]) for nth, start in enumerate(places.tolist())]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["id", "lang", "nth", "data"])
+
+    return rows.mapInArrow(run, "id long, lang string, nth int, data binary").orderBy("id", "lang", "nth", "data")
 
 
 def learn(docs: DataFrame, state: int = STATE, per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> Network | None:
     """A network trained on a sample of ``docs`` (id, t, lang), or None if that is empty."""
-    rows = sample(docs, per_language).toArrow()
+    rows = windows_of(sample(docs, per_language), windows).toArrow()
     if not rows.num_rows:
         return None
-    names = sorted(set(rows.column("lang").to_pylist()))
-    texts = W.Texts.of(pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("t").chunks]))
-    label = np.array([names.index(x) for x in rows.column("lang").to_pylist()])
-    rng = np.random.default_rng(2)
-    x, y = [], []
-    for i in range(len(texts)):
-        data = texts.data[texts.offsets[i]:texts.offsets[i + 1]]
-        for start in rng.integers(0, max(1, len(data) - WINDOW + 1), min(windows, -(-len(data) // WINDOW))):
-            piece = data[start:start + WINDOW]
-            x.append(np.concatenate([piece, np.full(WINDOW - len(piece), PAD)]))
-            y.append(label[i])
-    return Network(names, state).train(np.array(x), np.array(y))
+    languages = rows.column("lang").to_pylist()
+    names = sorted(set(languages))
+    number = {name: i for i, name in enumerate(names)}
+    x = np.full((len(languages), WINDOW), PAD)
+    for row, data in zip(x, rows.column("data").to_pylist()):
+        row[:len(data)] = np.frombuffer(data, np.uint8)
+    return Network(names, state).train(x, np.array([number[name] for name in languages]))
 
 
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ import subprocess
 import sys
 
 import brute
-import pytest
 from test_corpus_operators import check_packing, tokenizer  # noqa: F401
 
 import __spark_entry__
@@ -85,8 +84,3 @@ def test_the_rest_imports_without_this_folder(tmp_path):
     code = "import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()) and 'general_ledger' in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
 
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_lazy_results_have_the_ids(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert ("conv_id" if name.startswith("op7") else "doc_id") in df.columns
