@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; a longer document is a slice of its own.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Bytes that are hashed at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
