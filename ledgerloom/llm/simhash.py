@@ -334,9 +334,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = shared_table(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected(links(distinct, bits))
-    labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").select("fp", "component_id")
+    members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    # Stored before the join, so that the join may split a large component's fingerprints.
+    smallest = shared_table(members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("smallest")))
+    linked = members.join(smallest, "root").select("fp", "smallest")
+    labelled = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return rows.join(labelled, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
