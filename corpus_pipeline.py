@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those of which nothing is left go."""
     span_col = substring_dedup.free_name(docs, "removed_spans")
-    found = substring_dedup.dedup(docs)
+    found = substring_dedup.dedup(docs, over_blanks=True)
     left = found.where((F.size(span_col) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(span_col)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 

@@ -5,7 +5,10 @@ words (lower-cased A-Z, digits, all beyond ASCII; punctuation and spacing do not
 reduced to a 128-bit digest. Digests are grouped over all documents. The earliest unit of a
 digest, by row key and then place in the text, stays. The others are removed where they stand in
 a run of consecutive repeated units with ``min_words`` words in all, so that short sentences that
-documents share by chance remain. Offsets are bytes of the original UTF-8 text.
+documents share by chance remain. Offsets are bytes of the original UTF-8 text. Units without a
+word (blank lines, rules, indents) are never repeats themselves. With ``over_blanks``, as in the
+registered query and the pipeline, a run goes on over them and takes them with it, so that a
+passage in short paragraphs counts as a whole; without it they end a run.
 
 Repeats within one document count like those between documents. Null text stays null and empty
 text empty, both without units; a text may become empty. Ties cannot occur, since row keys
@@ -46,9 +49,10 @@ def unit_ends(texts: W.Texts) -> np.ndarray:
     return np.unique(np.concatenate([cuts, texts.offsets[1:][np.diff(texts.offsets) > 0]]))
 
 
-def units_of(texts: W.Texts) -> tuple[np.ndarray, ...]:
+def units_of(texts: W.Texts, over_blanks: bool = False) -> tuple[np.ndarray, ...]:
     """Text, number, start and end in the text, words and digest of each unit that has a word, and
-    whether an earlier unit of the same text has that digest."""
+    whether an earlier unit of the same text has that digest. With ``over_blanks``, units without
+    a word have no number."""
     ends = unit_ends(texts)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     owner = texts.text_of(starts)
@@ -57,6 +61,8 @@ def units_of(texts: W.Texts) -> tuple[np.ndarray, ...]:
     unit = np.searchsorted(ends, a, side="right")
     count = np.bincount(unit, minlength=len(starts))
     full = np.flatnonzero(count)
+    if over_blanks:
+        number[full] = np.arange(len(full)) - np.searchsorted(owner[full], owner[full])
     first = (np.cumsum(count) - count)[full]
     words = texts.hashes(a, b, W.LOWER)
     nth = np.arange(len(words)) - np.repeat(first, count[full])
@@ -71,12 +77,12 @@ def units_of(texts: W.Texts) -> tuple[np.ndarray, ...]:
     return owner[full], number[full], starts[full] - at, ends[full] - at, count[full], *(d.view(np.int64) for d in digests), again
 
 
-def units(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+def units(docs: DataFrame, key: str, text_col: str, over_blanks: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in UNITS.split(", ")]
         for batch in batches:
             for first, column in W.slices(batch, "t"):
-                owner, *rest = units_of(W.Texts.of(column))
+                owner, *rest = units_of(W.Texts.of(column), over_blanks)
                 rows = batch.column(0).slice(first, len(column)).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([rows, *map(pa.array, rest)], names)
 
@@ -105,11 +111,11 @@ def _cut(text: str, spans: list[dict]) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, over_blanks: bool = False) -> DataFrame:
     """The documents with repeated passages cut out of their text, and in ``removed_spans`` where they
     were (an array of first and last byte offset, empty where nothing was cut)."""
     keyed, key = with_row_key(docs, id_col)
-    found = shared_table(units(keyed, key, text_col))
+    found = shared_table(units(keyed, key, text_col, over_blanks))
     span_col = free_name(docs, "removed_spans")
     gone = removals(found, min_words).withColumnRenamed("row", key).withColumnRenamed("spans", span_col)
     joined = keyed.join(gone, key, "left").drop(key)
@@ -131,5 +137,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = dedup(docs)
+    found = dedup(docs, over_blanks=True)
     return found.select("doc_id", "text", "removed_spans", F.size("removed_spans").cast("long").alias("n_removed"))

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline
 from ledgerloom.llm import decontaminate, packing, quality_rules, simhash, subwords, substring_dedup
 from ledgerloom.llm import words as W
 
@@ -151,6 +152,26 @@ def test_substrings(spark, seed):
     assert found == brute.deduplicated(enumerate(texts), 3)
 
 
+@pytest.mark.parametrize("between", ["\n\n", "\n***\n", ".\n    ", "\n \t\n---\n\n"])
+def test_a_passage_in_short_paragraphs_goes_as_a_whole(spark, tmp_path, between):
+    passage = between.join(" ".join(f"w{k}x{i}" for i in range(9)) for k in range(6))  # 54 words, at most 9 a unit
+    rows = [(i, f"Own{i} start here.\n{passage}{between}Own{i} end.") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    query = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()}
+    stage = {r.doc_id: r.text for r in corpus_pipeline.substrings(spark, docs, str(tmp_path)).collect()}
+    assert query[0] == (rows[0][1], 0) and stage == {i: text for i, (text, _) in query.items()}
+    for i in (1, 2):
+        text, n = query[i]
+        assert n == 1 and "x" not in text and text.startswith(f"Own{i} start here.\n") and text.endswith(f"Own{i} end.")
+
+
+def test_short_repeats_do_not_join_over_words_of_their_own(spark):
+    rows = [(i, "".join(f"Common line number {k}.\n\nonly{i} {k}\n\n" for k in range(8))) for i in range(2)]
+    found = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), over_blanks=True).collect()
+    assert {r.doc_id: r.text for r in found} == dict(rows)
+
+
 def test_substrings_of_edge_cases(edge, empty):
     found = substring_dedup.dedup(edge)
     assert set(edge.columns) <= set(found.columns) and len(found.columns) == len(edge.columns) + 1
