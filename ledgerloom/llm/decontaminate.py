@@ -11,7 +11,7 @@ the lists of a phrase's words are shifted by the word's offset and intersected,
 first; a phrase with a word that the segment lacks costs nothing. With ``slop`` s, the words may
 each stray by up to s positions from where the rarest one puts them: a proximity match. Phrases
 come in blocks of bounded size, each searched against all documents; the blocks' matches are
-merged per document.
+merged per indexed document, told by its segment and place in it, whatever its id.
 
 Words are ``[0-9a-z]`` and everything beyond ASCII, after lower-casing A-Z. A benchmark item
 gives every ``size`` consecutive words, or all its words if it has fewer. Null and empty texts
@@ -155,7 +155,7 @@ class Phrases:
 
 def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     spark = index.sparkSession
-    kinds = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
+    kinds = pa.schema([("segment", pa.int64()), ("base", pa.int64()), ("doc", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
                        ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 
     def run(segment: pa.Table) -> pa.Table:
@@ -175,14 +175,14 @@ def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                     own.append((start, start + length))
         as_list = lambda held: [sorted(x for x in held.get(i, ()) if x is not None) for i in range(n)]
         ranges = [[{"first": a, "last": b} for a, b in _merged(spans.get(i, []))] for i in range(n)]
-        return pa.table([docs.column("doc"), docs.column("n_words"), pa.array(as_list(items), kinds.field("items").type),
+        return pa.table([docs.column("segment"), docs.column("base"), docs.column("doc"), docs.column("n_words"), pa.array(as_list(items), kinds.field("items").type),
                          pa.array(as_list(near), kinds.field("items").type), pa.array(ranges, kinds.field("spans").type)], schema=kinds)
 
     wanted = spark.createDataFrame(pa.table({"term": phrases.vocabulary}))
     terms = index.where("term IS NOT NULL").join(wanted, "term", "left_semi").select("segment", "term", "postings", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("n_words"))
     docs = index.where("term IS NULL").select("segment", F.lit(0).cast("long").alias("term"), F.lit(None).cast("binary").alias("postings"), "base", "doc", "n_words")
     both = docs.withColumn("doc_row", F.lit(True)).unionByName(terms.withColumn("doc_row", F.lit(False)))
-    return both.groupBy("segment").applyInArrow(run, "doc long, n_words long, items array<string>, near_items array<string>, spans array<struct<first: long, last: long>>")
+    return both.groupBy("segment").applyInArrow(run, "segment long, base long, doc long, n_words long, items array<string>, near_items array<string>, spans array<struct<first: long, last: long>>")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,19 +214,18 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int =
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-        found = found.groupBy("doc").agg(F.max("n_words").alias("n_words"), together("items").alias("items"), together("near_items").alias("near_items"), together("spans").alias("spans"))
+        found = found.groupBy("segment", "base").agg(F.max("doc").alias("doc"), F.max("n_words").alias("n_words"), together("items").alias("items"), together("near_items").alias("near_items"), together("spans").alias("spans"))
     hit = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
         lambda a, s: F.struct((a.n + F.greatest(s.last - F.greatest(s.first, a.upto), F.lit(0))).alias("n"), F.greatest(a.upto, s.last).alias("upto")),
         lambda a: a.n,
     )
-    return found.withColumn("n_hit", hit)
+    return found.drop("segment", "base").withColumn("n_hit", hit)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, slop: int = 0) -> DataFrame:
-    """Index the documents and search them for the benchmark. ``id_col`` must tell rows apart
-    if the benchmark takes several blocks."""
+    """Index the documents and search them for the benchmark: one row per document, also of repeated and null ids."""
     return search(build_index(docs, id_col, text_col), benchmark, size, slop).withColumnRenamed("doc", id_col)
 
 

@@ -217,6 +217,18 @@ def test_search(spark, block, segment):
         assert (r.n_words, r.n_hit, set(r["items"])) == (n, hit, found - {None})
 
 
+@pytest.mark.parametrize("block", [1 << 20, 30, 1])
+def test_repeated_and_null_ids_stay_apart_in_any_number_of_blocks(spark, monkeypatch, tmp_path, block):
+    rows = [(i, text) for i in (7, None) for _, text in TEXTS] + TEXTS[:2] + TEXTS[:2]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontaminate.search, "__defaults__", (*decontaminate.search.__defaults__[:-1], block))
+    phrases = brute.windows(ITEMS)
+    expected = [(i, *(lambda n, hit, found: (n, hit, len(found - {None})))(*brute.contaminated(text, phrases))) for i, text in rows]
+    found = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.op1_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def near(words, phrase, slop):
     """Whether every word of the phrase is within ``slop`` of its place for some anchor, the phrase's rarest word."""
     places = [[i - k for i, w in enumerate(words) if w == p] for k, p in enumerate(phrase)]
