@@ -252,6 +252,17 @@ def check_base(rows, texts):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
 
 
+def test_partitions_train_on_all_windows_of_all_documents(spark):
+    texts = [" ".join(f"word{i * k % 97}" for i in range(n)) for k, n in enumerate((3000, 1, 0, 40, 200, 700))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    encode = lm_scoring.subwords.loaded(lm_scoring.TOKENIZER, " ")
+    size = encode.tokenizer.get_vocab_size()
+    ids = lm_scoring._ids(texts, encode)
+    vocabulary = lm_scoring.Vocabulary(np.ones(size + 1), [encode.tokenizer.id_to_token(i) or "" for i in range(size)], ids)
+    found = lm_scoring.continued(docs, lm_scoring.Attention.fresh(), vocabulary, lm_scoring.TOKENIZER)
+    assert sum(found.column("n").to_pylist()) == sum(-(-(len(x) + 1) // lm_scoring.STRIDE) for x in ids)
+
+
 @pytest.mark.parametrize("head", [lm_scoring.HEAD, 3])
 def test_scores_of_edge_cases(edge, empty, head):
     once = edge.dropDuplicates(["doc_id"])
