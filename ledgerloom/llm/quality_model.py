@@ -7,6 +7,8 @@ with their probability. A host's rate is shrunk to the mean of all hosts, a path
 of its host, each with a beta prior whose strength comes from how much the hosts, or the paths
 around their hosts, differ; so sparse sites say little. A document's score is its own log odds
 plus the log odds by which the rest of its path and host (itself left out) differ from the mean.
+A second regression on the same features has toxicity as its target; a document is kept if its
+score reaches ``min_score`` and its probability of being toxic stays below ``max_toxic``.
 
 Null text is an empty text. Null hosts and null paths are each a group of their own. A label that
 is null is none; repeated labels of an id are averaged; repeated documents count each for itself.
@@ -31,7 +33,8 @@ SAMPLE = 4000
 #: Hashed words; steps, rate and penalties of the regression.
 BUCKETS, STEPS, RATE, PENALTY = 1 << 14, 300, 0.05, 3e-4
 STATS = 8
-MIN_SCORE = 0.5
+#: Few labelled documents are toxic, so a probability well over their share tells enough.
+MIN_SCORE, MAX_TOXIC = 0.5, 0.25
 
 _UPPER, _BANG, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91], _BANG[33], _DIGIT[48:58] = True, True, True
@@ -146,29 +149,34 @@ def combine(rows: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None,
-             good: Column | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per document: ``p`` from its text, the rates of its host and path, ``score``, and whether it is ``kept``.
+             good: Column | None = None, min_score: float = MIN_SCORE, toxic: Column | None = None, max_toxic: float = MAX_TOXIC) -> DataFrame:
+    """One row per document: ``p`` from its text, the rates of its host and path, ``score``, ``p_toxic`` and whether it is ``kept``.
 
     ``host`` and ``path`` are columns of the documents (by default ``source``, and ``lang`` as
-    its section), ``good`` one of the labels (quality 1 and not toxic). The texts are read once
+    its section), ``good`` and ``toxic`` of the labels (quality 1 and not toxic; toxic 1). The texts are read once
     for learning and once for the result, whose thin rows are stored in the shared folder."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)) if good is None else good
     truth = labels.select(F.col(id_col).cast("long").alias("id"), good.cast("double").alias("good")).where("id IS NOT NULL").groupBy("id").agg(F.avg("good").alias("good"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    model = learn(source.select("id", "t"), truth)
+    toxic = (F.col("toxic") == 1) if toxic is None else toxic
+    harm = labels.select(F.col(id_col).cast("long").alias("id"), toxic.cast("double").alias("good")).where("id IS NOT NULL").groupBy("id").agg(F.avg("good").alias("good"))
+    model, harmful = learn(source.select("id", "t"), truth), learn(source.select("id", "t"), harm)
+    told = bool(harmful.bias or harmful.dense.any())  # labels of both kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, column in W.slices(batch, "t"):
-                p = 1 / (1 + np.exp(-model.log_odds(*features(W.Texts.of(column)))))
+                found = features(W.Texts.of(column))
+                p = 1 / (1 + np.exp(-model.log_odds(*found)))
+                p_toxic = 1 / (1 + np.exp(-harmful.log_odds(*found))) if told else np.zeros(len(column))
                 same = [batch.column(i).slice(first, len(column)) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(p)], ["id", "host", "path", "p"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array(p_toxic)], ["id", "host", "path", "p", "p_toxic"])
 
-    rows = source.mapInArrow(run, "id long, host string, path string, p double").join(truth, "id", "left")
+    rows = source.mapInArrow(run, "id long, host string, path string, p double, p_toxic double").join(truth, "id", "left")
     rows = shared_table(rows.withColumn("evidence", F.coalesce("good", "p")).drop("good"))
-    return combine(rows).withColumn("kept", F.col("score") >= min_score).withColumnRenamed("id", id_col)
+    return combine(rows).withColumn("kept", (F.col("score") >= min_score) & (F.col("p_toxic") < max_toxic)).withColumnRenamed("id", id_col)
 
 
 def op3_quality_model(spark, sf_dir: str) -> DataFrame:

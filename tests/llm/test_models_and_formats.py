@@ -287,6 +287,22 @@ def test_quality_of_held_out_labels(spark):
     assert np.mean(clean) > 0.98 and np.mean(low) < 0.1
 
 
+def test_a_toxic_document_goes_whatever_its_quality_score(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{k}" for k in rng.integers(0, 300, 60)]
+        for word in ("scum", "moron", "clown") if i % 10 == 0 else ():
+            words[int(rng.integers(60))] = word
+        rows.append((i, " ".join(words), "s", "en"))
+        if i % 2 == 0 and i < 500:
+            labels.append((i, 1, int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.kept for r in quality_model.classify(docs, labels, min_score=0.0).collect()}
+    assert [i for i in range(500, 600) if not found[i]] == list(range(500, 600, 10))
+
+
 def test_rates_against_plain_loops(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice(["x", "y", None]), rng.uniform(0.05, 0.95)) for i in range(300)]
