@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
-    chat, decontaminate, language_id, lm_scoring, packing, quality_model, quality_rules, sharding, simhash, substring_dedup,
+    chat, decontaminate, language_id, lm_scoring, packing, periodic_runs, quality_model, quality_rules, sharding, simhash,
+    source_audit, substring_dedup, top_k,
 )
 from ledgerloom.llm.storage import on_workers
 
@@ -37,6 +38,9 @@ QUERIES: dict[str, Query] = {
         simhash.op8_simhash,
         lm_scoring.op9_lm_scoring,
         language_id.op10_language_id,
+        source_audit.op11_source_audit,
+        top_k.op12_top_k,
+        periodic_runs.op13_periodic_runs,
     )
 }
 
@@ -44,4 +48,6 @@ ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
+    "op12_top_k": top_k.ORACLE,
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
 
 import xxhash
 
@@ -104,3 +107,75 @@ def deduplicated(rows, least=20):
             kept, at = kept + data[at:a], b
         out[key] = (None if text is None else (kept + data[at:]).decode(), spans)
     return out
+
+
+def runs(words, least=24, times=3):
+    """(start, length, period) of every run, by each lag's stretches of equal words."""
+    out, n = [], len(words)
+    for q in range(1, n // times + 1):
+        i = q
+        while i < n:
+            j = i
+            while j < n and words[j] == words[j - q]:
+                j += 1
+            length = j - i + q
+            if length >= max(least, times * q):
+                part = words[i - q:j]
+                if not any(part[d:] == part[:-d] for d in range(1, q)):
+                    out.append((i - q, length, q))
+            i = j + 1
+    return sorted(out)
+
+
+def rewritten(words, key):
+    h, n = zlib.crc32(str(key).encode()), len(words)
+    if key is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def periodic(text, key):
+    """All columns of the run detection but the id."""
+    words = rewritten(solid(text), key)
+    found = runs(words)
+    gone = {i for s, l, p in found for i in range(s + p, s + l)}
+    best = min(found, key=lambda r: (Fraction(-r[1], r[2]), r[0], r[2])) if found else (None,) * 3
+    digests = ["".join(f"{s},{l},{p}\n" for s, l, p in found), " ".join(w for i, w in enumerate(words) if i not in gone)]
+    return len(found), *best, 1000 * best[1] // best[2] if found else None, *(hashlib.sha256(d.encode()).hexdigest() for d in digests)
+
+
+def audit(rows, least_docs, top):
+    """(lang, source, part, item, value, rank) from (text, lang, source)."""
+    words = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))) for text, lang, source in rows]
+    out = []
+    for lang in {x[0] for x in words}:
+        docs = Counter(t for l, _, ws in words if l == lang for t in set(ws))
+        kept = sorted((t for t, n in docs.items() if n >= least_docs), key=str.encode)
+        counts = {s: Counter() for l, s, _ in words if l == lang}
+        for l, s, ws in words:
+            if l == lang:
+                counts[s].update(t for t in ws if docs[t] >= least_docs)
+        price = {}
+        for s, c in [*counts.items(), (None, sum(counts.values(), Counter()))]:
+            total = sum(c.values()) + 5 * len(kept)
+            price[s] = {t: 1 + 10**9 * (c[t] + 5) // total for t in kept}
+        for s in counts:
+            pairs = [(o, sum(abs(price[s][t] - price[o][t]) for t in kept)) for o in counts if o != s]
+            terms = [(t, price[s][t] - price[None][t]) for t in kept if counts[s][t] and price[s][t] > price[None][t]]
+            for part, listed, most in (("pair", pairs, None), ("term", terms, top)):
+                listed.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(listed[:most])]
+    return out
+
+
+def nearest(rows, asked, k=5):
+    """(query id, rank, id, score) from different (id, whole components)."""
+    out = []
+    for key, vec in rows:
+        if asked(key):
+            found = sorted((-sum(a * b for a, b in zip(vec, other)), i) for i, other in rows if (i, other) != (key, vec))
+            out += [(key, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+    return out
