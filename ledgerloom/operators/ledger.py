@@ -23,9 +23,6 @@ LIST_COLUMNS = [
 # An account's day with more lines than this is cut into slots of as many consecutive ids.
 # Ids are unique, so no slot holds more lines either.
 ID_SPAN = 10_000_000
-# From this span on, the list of such days is short enough to broadcast unasked: one row per
-# million lines at most. With a smaller span Spark decides, by size.
-BROADCAST_SPAN = 1_000_000
 
 
 def default_order() -> list[Column]:
@@ -104,14 +101,13 @@ def _day_sums(books: Books) -> DataFrame:
 def _busy_days(books: Books, id_span: int) -> DataFrame:
     """The days of an account with more than ``id_span`` lines, so at most one per
     ``id_span`` lines of the journal."""
-    busy = (
+    return (
         _day_sums(books)
         .where(F.col("line_count") > id_span)
         .select(
             F.col("account_id").alias("busy_account"), F.col("date").alias("busy_date"), F.lit(True).alias("busy")
         )
     )
-    return F.broadcast(busy) if id_span >= BROADCAST_SPAN else busy
 
 
 def _on_busy_day() -> Column:
@@ -129,16 +125,22 @@ def _with_slot(books: Books, lines: DataFrame, id_span: int) -> DataFrame:
     )
 
 
-def _days(books: Books, since: Column | None) -> DataFrame:
-    """Movement per account and day. All days before ``since`` count as the day before it."""
+def _days(books: Books, since: Column | None, carried: DataFrame | None = None) -> DataFrame:
+    """Movement per account and day. All days before ``since`` count as the day before it; with
+    ``carried``, the accounts' balances on that day, they are not looked at."""
     days = _day_sums(books)
     if since is None:
         return days
+    if carried is not None:
+        own = days.where(F.col("date") >= since).select("account_id", "date", "amount")
+        return own.unionByName(carried.select("account_id", F.date_sub(since, 1).alias("date"), "amount"))
     clipped = F.when(F.col("date") < since, F.date_sub(since, 1)).otherwise(F.col("date"))
     return days.groupBy("account_id", clipped.alias("date")).agg(F.sum("amount").alias("amount"))
 
 
-def _opening_balances(books: Books, period: Books, id_span: int, since: Column | None = None) -> DataFrame:
+def _opening_balances(
+    books: Books, period: Books, id_span: int, since: Column | None = None, carried: DataFrame | None = None
+) -> DataFrame:
     """Balance of the account before each day and slot of ``period``, which begins with
     ``since``; absent where there is no earlier amount."""
     earlier_days = (
@@ -146,7 +148,7 @@ def _opening_balances(books: Books, period: Books, id_span: int, since: Column |
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # Keys under new aliases let Spark see that both uses of ``days`` start from the same sums.
-    days = _days(books, since).select(
+    days = _days(books, since, carried).select(
         F.col("account_id").alias("account_id"),
         F.col("date").alias("date"),
         F.lit(None).cast("long").alias("slot"),
@@ -233,10 +235,10 @@ def ledger_first_page(books: Books, size: int = 80) -> DataFrame:
     )
 
 
-def ledger_next_page(books: Books, account_id: int, date, id: int, size: int = 80) -> DataFrame:
+def ledger_next_page(books: Books, account_id: int | None, date, id: int, size: int = 80) -> DataFrame:
     """The ``size`` ledger lines that follow the line with these keys in default order, after a
-    page that ended with it; ``date`` is None for an undated line. Lines without account come
-    last in the ledger and are reached from the last line that has one.
+    page that ended with it; ``date`` is None for an undated line, ``account_id`` for one
+    without account, which come last in the ledger.
 
     Their balances are the account's sums before the page's first line, plus the page's own.
     """
@@ -245,10 +247,11 @@ def ledger_next_page(books: Books, account_id: int, date, id: int, size: int = 8
         later = when.isNull() & (number > id)
     else:
         later = when.isNull() | (when > day(date)) | ((when == day(date)) & (number > id))
-    follows = own.isNull() | (own > account_id) | ((own == account_id) & later)
-    lines = _in_ledger(books, _posted(books).where(follows)).orderBy(*default_order()).limit(size)
-    before = _amounts(replace(books, lines=books.lines.where((own == account_id) & ~later)), "account_id")
-    openings = before.groupBy("account_id").agg(F.sum("amount").alias("opening"))
+    same = own.eqNullSafe(F.lit(account_id))
+    beyond = F.lit(False) if account_id is None else own.isNull() | (own > account_id)
+    lines = _in_ledger(books, _posted(books).where(beyond | (same & later))).orderBy(*default_order()).limit(size)
+    before = _amounts(replace(books, lines=books.lines.where(same & ~later)), "account_id")
+    openings = before.groupBy(F.col("account_id").alias("own_account")).agg(F.sum("amount").alias("opening"))
     so_far = (
         Window.partitionBy("account_id").orderBy(F.col("date").asc_nulls_last(), "id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -256,23 +259,26 @@ def ledger_next_page(books: Books, account_id: int, date, id: int, size: int = 8
     sums = F.sum(debit_less_credit()).over(so_far)
     return (
         _named(books, lines)
-        .join(openings, "account_id", "left")
+        .join(openings, F.col("account_id").eqNullSafe(F.col("own_account")), "left")
         .withColumn("balance", money(F.coalesce(sums + F.coalesce("opening", F.lit(0)), "opening")))
         .select(*LEDGER_COLUMNS)
         .orderBy(*default_order())
     )
 
 
-def ledger_between(books: Books, date_start=None, date_end=None) -> DataFrame:
+def ledger_between(books: Books, date_start=None, date_end=None, carried: DataFrame | None = None) -> DataFrame:
     """Ledger lines of a period; their balance includes all earlier lines.
 
-    Earlier lines shrink to one opening balance per account, later ones are not read.
+    Earlier lines shrink to one opening balance per account, later ones are not read. With
+    ``carried`` (account_id, amount), balances before ``date_start`` that are known already, as
+    ``sources.standing`` stores them, earlier lines are not read either.
     """
     if date_end is not None:
         books = replace(books, lines=books.lines.where(within(F.col("date"), None, date_end)))
     since = None if date_start is None else day(date_start)
     period = replace(books, lines=books.lines.where(within(F.col("date"), date_start, None)))
-    openings = _opening_balances(books, period, ID_SPAN, since)
+    known = since is not None and carried is not None
+    openings = _opening_balances(period if known else books, period, ID_SPAN, since, carried)
     return _with_balance(period, ledger_base(period), openings, ID_SPAN)
 
 

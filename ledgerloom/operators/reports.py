@@ -26,8 +26,10 @@ LINE_COLUMNS = [
 
 
 def with_problems(reports: DataFrame) -> DataFrame:
-    """Definitions with the required fields they lack, as text; empty when complete."""
+    """Definitions with the required fields they lack, as text; empty when complete. An id that
+    several definitions have is a problem of them all, since their lines could not be told apart."""
     no_company = F.coalesce(F.size("company_ids") < 1, F.lit(True))
+    with_same_id = F.count("*").over(Window.partitionBy("report_id"))
     return reports.withColumn("problems", F.concat_ws(
         ", ",
         F.when(F.col("name").isNull(), "name"),
@@ -35,6 +37,7 @@ def with_problems(reports: DataFrame) -> DataFrame:
         F.when(F.col("date_start").isNull(), "date_start"),
         F.when(F.col("date_end").isNull(), "date_end"),
         F.when(no_company, "company_ids"),
+        F.when(F.col("report_id").isNotNull() & (with_same_id > 1), "report_id"),
     ))
 
 
@@ -172,6 +175,36 @@ def _described(books: Books, sums: DataFrame) -> DataFrame:
     )
 
 
+def touched_reports(books: Books, reports: DataFrame, changed: DataFrame) -> DataFrame:
+    """The ids of the complete reports that changed lines can show in: posted ones, on an account of the
+    report and inside its period.
+
+    The lines shrink to the days of each account. A report reads the number of such days up to
+    the one before its period and up to the last in it, in one window per account; if they differ,
+    it is touched. So the work grows with the days plus the reports' accounts, however the
+    periods overlap.
+    """
+    complete, _ = validate_reports(reports)
+    asked = _report_accounts(books, complete).where("date_start <= date_end")
+    keys = ["company_id", "account_id"]
+    days = changed.where((F.col("parent_state") == "posted") & F.col("date").isNotNull()).select(*keys, "date").distinct()
+    near = asked.join(days.select(*keys).distinct(), keys, "left_semi")
+    ends = F.explode(F.array(
+        F.struct(F.date_sub("date_start", 1).alias("date"), F.lit(-1).alias("sign")),
+        F.struct(F.col("date_end").alias("date"), F.lit(1).alias("sign")),
+    ))
+    probes = near.select(*keys, "report_id", ends.alias("end")).select(*keys, "report_id", "end.date", "end.sign")
+    so_far = (
+        Window.partitionBy(*keys).orderBy("date", F.col("sign").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counted = days.withColumn("day", F.lit(1)).unionByName(probes, allowMissingColumns=True).select(
+        "report_id", *keys, "sign", (F.count("day").over(so_far) * F.col("sign")).alias("days")
+    )
+    inside = counted.where(F.col("sign").isNotNull()).groupBy("report_id", *keys).agg(F.sum("days").alias("days"))
+    return inside.where("days > 0").select("report_id").distinct()
+
+
 def report_totals(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """Debit, credit and balance of each report, zero for a report without lines.
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import ledger, pivot, reports, statements
 from ledgerloom.plans import definitions as d
-from ledgerloom.sources import report_store, tpch, views
+from ledgerloom.sources import report_store, standing, tpch, views
 from ledgerloom.sources.books import Books, report_definitions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ TODAY = "2001-01-01"
 PERIOD = ("1996-03-01", "1997-02-28")
 AS_OF = "1997-12-31"
 PAGE = 80
+LATE, VERY_LATE, LATER_PERIOD = ("1995-06-01", "1996-01-31"), "1998-05-01", ("1998-06-10", "1998-07-31")
 HOT_ACCOUNT, HOT_DAY, HOT_SPAN = 2, "1996-06-30", 10 * tpch.IDS_PER_ORDER
 ANALYTIC_CODES = [f"AN{n:09d}" for n in range(1, 8)]
 
@@ -77,9 +78,56 @@ def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_store.read_report_headers(spark, _refreshed(spark, sf_dir))
 
 
+def _late() -> Column:
+    """Lines that are posted after the others: some days of an account, back-dated ones among them."""
+    return ((F.col("id") % 7 == 3) & F.col("date").between(*LATE)) | (F.col("date") >= VERY_LATE)
+
+
+def _before_late(books: Books) -> Books:
+    return replace(books, lines=books.lines.where(~F.coalesce(_late(), F.lit(False))))
+
+
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that ran before the late lines came, and then again where they show."""
+    path = report_store.scratch_table(spark, "report_touched")
+    books, batch = tpch.tpch_books(spark, sf_dir), d.definitions(spark, d.STORED)
+    report_store.run_reports(_before_late(books), batch, path)
+    report_store.refresh_touched(books, batch, books.lines.where(_late()), path)
+    return report_store.read_report_lines(spark, path)
+
+
+def _store_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers beside the number and sum of their lines, by the catalog's views after a second batch."""
+    path = report_store.scratch_table(spark, "report_views")
+    name = f"reports_{path.rsplit('-', 1)[1]}"
+    books = tpch.tpch_books(spark, sf_dir)
+    report_store.run_reports(_before_late(books), d.definitions(spark, d.STORED), path)
+    report_store.register_reports(spark, path, name)
+    report_store.run_reports(books, d.definitions(spark, d.REFRESHED), path)
+    report_store.register_reports(spark, path, name)
+    return spark.sql(f"""SELECT report_id, h.name, total_balance, count(account_id) AS line_count,
+      CAST(coalesce(sum(balance), 0) AS DECIMAL(28,2)) AS line_balance
+      FROM {name}_headers h LEFT JOIN {name}_lines l USING (report_id) GROUP BY ALL""")
+
+
+def _standing(period: tuple[str, str], fold: bool) -> Query:
+    """The ledger of a period by stored balances, built before the late lines were posted."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = report_store.scratch_table(spark, "standing")
+        books = tpch.tpch_books(spark, sf_dir)
+        standing.build(_before_late(books), path)
+        standing.post(books, books.lines.where(_late()), path)
+        if fold:
+            standing.fold(spark, path)
+        return ledger.ledger_between(books, *period, carried=standing.carried(spark, path, period[0]))
+
+    return run
+
+
 def _view(name: str, text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views.register_views(tpch.tpch_books(spark, sf_dir), prefix="books_", today=TODAY, reports=d.definitions(spark, d.FLAT))
+        books, batch = tpch.tpch_books(spark, sf_dir), d.definitions(spark, d.FLAT)
+        views.register_views(books, prefix="books_", today=TODAY, reports=batch, names=[name])
         return spark.sql(text.format(f"books_{name}"))
 
     return run
@@ -131,6 +179,9 @@ QUERIES: dict[str, Query] = {
     "ledger_with_gaps": _on_books(lambda b: ledger.general_ledger(_with_gaps(b))),
     "ledger_groups_with_gaps": _on_books(lambda b: ledger.ledger_groups(_with_gaps(b), "account_id")),
     "balance_sheet_with_gaps": _on_books(lambda b: statements.balance_sheet(_with_gaps(b), today=TODAY)),
+    "income_statement_with_gaps": _on_books(lambda b: statements.income_statement(_with_gaps(b), today=TODAY)),
+    "ledger_between_stored_balances": _standing(PERIOD, fold=False),
+    "ledger_between_folded_balances": _standing(LATER_PERIOD, fold=True),
     "ledger_next_page": _on_books(partial(ledger.ledger_next_page, account_id=7, date=AS_OF, id=0, size=PAGE)),
     "ledger_search_account_text": _on_books(lambda b: ledger.ledger_search(b, account="10110000")),
     "income_statement": _on_books(partial(statements.income_statement, today=TODAY)),
@@ -172,6 +223,8 @@ QUERIES: dict[str, Query] = {
     "report_store": _store,
     "report_refresh": _refresh,
     "report_headers": _headers,
+    "report_refresh_touched": _touched,
+    "report_store_views": _store_views,
     "report_lines_from_files": _from_files,
     "report_pivot_json": _on_books(pivot.report_pivot_json),
     "report_pivot": _on_books(partial(pivot.report_pivot, codes=ANALYTIC_CODES)),

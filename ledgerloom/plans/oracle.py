@@ -7,7 +7,9 @@ windows where Spark works on subtotals.
 from __future__ import annotations
 
 from ledgerloom.plans import definitions as d
-from ledgerloom.plans.catalog import ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, PAGE, PERIOD, TODAY
+from ledgerloom.plans.catalog import (
+    ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, LATER_PERIOD, PAGE, PERIOD, TODAY,
+)
 
 # Titles and column lists, as literals of their own, so that they check those of the library.
 INCOME_TITLE = "Estado de Resultados - "
@@ -403,7 +405,8 @@ ORACLE: dict[str, str] = {
     "ledger_drill_through": _sql("""SELECT * FROM account_move_line WHERE move_id IN (
   SELECT l.move_id FROM account_move_line l
   JOIN account_move m ON m.id = l.move_id JOIN res_company c ON c.id = l.company_id
-  WHERE l.parent_state = 'posted' AND l.ref = 'RF')"""),
+  WHERE l.parent_state = 'posted' AND l.ref = 'RF')
+ORDER BY id"""),
     "ledger_views": _ledger("""SELECT account_id, count(*) AS line_count, CAST(sum(debit) AS DECIMAL(28,2)) AS debit,
   last(balance ORDER BY date NULLS LAST, id) AS last_balance, CAST(sum(balance) AS DECIMAL(38,2)) AS balances
 FROM ledger GROUP BY account_id"""),
@@ -417,6 +420,15 @@ FROM ledger GROUP BY account_id"""),
   CAST(sum(credit) AS DECIMAL(28,2)) AS credit, count(*) AS line_count
 FROM ledger GROUP BY account_id""", GAPS, LEDGER.replace("account_move_line", "gap_line")),
     "balance_sheet_with_gaps": _balance(),
+    "income_statement_with_gaps": _income().replace("WITH" + BOOKS, "WITH" + BOOKS + "," + GAPS)
+    .replace("(SELECT sum(l.credit - l.debit) FROM account_move_line l", "(SELECT sum(l.credit - l.debit) FROM gap_line l")
+    .replace("(SELECT sum(l.debit - l.credit) FROM account_move_line l", "(SELECT sum(l.debit - l.credit) FROM gap_line l"),
+    "ledger_between_stored_balances": _ledger(
+        f"SELECT * FROM ledger WHERE date >= DATE '{PERIOD[0]}' AND date <= DATE '{PERIOD[1]}'"
+    ),
+    "ledger_between_folded_balances": _ledger(
+        f"SELECT * FROM ledger WHERE date >= DATE '{LATER_PERIOD[0]}' AND date <= DATE '{LATER_PERIOD[1]}'"
+    ),
     "ledger_next_page": _ledger(
         f"""SELECT * FROM ledger WHERE account_id > 7
    OR (account_id = 7 AND (date IS NULL OR date > DATE '{AS_OF}' OR (date = DATE '{AS_OF}' AND id > 0)))
@@ -451,6 +463,11 @@ WHERE a.code ILIKE '%10110000%' OR a.name ILIKE '%10110000%'"""),
     "report_store": _report(d.MIXED),
     "report_refresh": _report(d.REFRESHED),
     "report_headers": _report_headers(),
+    "report_refresh_touched": _report(d.STORED),
+    "report_store_views": _sql(f"""SELECT r.report_id, r.name, {_money('sum(l.balance)', 'total_balance')},
+  count(l.account_id) AS line_count, {_money('sum(l.balance)', 'line_balance')}
+FROM report_definition r LEFT JOIN report_line l ON l.report_id = r.report_id
+GROUP BY ALL""", *_report_ctes(d.REFRESHED)),
     "report_lines_from_files": _report(d.MIXED),
     "report_pivot_json": _pivot(PIVOT_JSON),
     "report_pivot": _pivot(PIVOT_COLUMNS),

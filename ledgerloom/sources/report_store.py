@@ -1,4 +1,4 @@
-"""Report lines as a stored table, one partition per report."""
+"""Report lines and headers as a stored table, one part per report, published batch by batch."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.functions.amounts import balance_color
-from ledgerloom.operators.reports import report_lines, report_totals, validate_reports
+from ledgerloom.operators.reports import report_lines, report_totals, touched_reports, validate_reports
 from ledgerloom.sources.books import Books
+from ledgerloom.sources.published import Published
 from ledgerloom.sources.schemas import MONEY
 
+REPORT = T.StructField("report_id", T.LongType())
+
 STORED = T.StructType([
-    T.StructField("report_id", T.LongType()),
     T.StructField("company_id", T.LongType()),
     T.StructField("report_type", T.StringType()),
     T.StructField("date_start", T.DateType()),
@@ -32,9 +34,8 @@ STORED = T.StructType([
     T.StructField("currency_id", T.LongType()),
 ])
 
-
+# What a version says about a report: what was asked for, and the totals.
 HEADER = T.StructType([
-    T.StructField("report_id", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("report_type", T.StringType()),
     T.StructField("date_start", T.DateType()),
@@ -43,6 +44,7 @@ HEADER = T.StructType([
     T.StructField("total_credit", MONEY),
     T.StructField("total_balance", MONEY),
 ])
+ASKED, TOTALS = HEADER.names[:4], HEADER.names[4:]
 
 
 class ReportRun(NamedTuple):
@@ -63,27 +65,10 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='ledgerloom-')}/{name}-{uuid.uuid4().hex}"
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Write rows by report, each report's in place of those it had."""
-    (
-        rows.hint("rebalance", F.col("report_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report_id")
-        .parquet(path)
-    )
-
-
-def write_report_lines(lines: DataFrame, reports: DataFrame, path: str) -> None:
-    """Replace the stored lines of ``reports`` by ``lines``, in one write.
-
-    Each report also gets a marker row, so its partition is replaced even when it has no
-    lines any more. Partitions of other reports stay. The partitions are swapped when the
-    job commits, one after the other: on plain files a reader may see some of them new
-    and some old in that moment.
-    """
-    markers = _ids(reports)
-    _replace(lines.select(*STORED.names).unionByName(markers, allowMissingColumns=True), path)
+def store(spark: SparkSession, path: str) -> Published:
+    # A header's columns that lines have too get a prefix in the version's file.
+    about = T.StructType([T.StructField(f"header_{f.name}", f.dataType) for f in HEADER])
+    return Published(spark, path, STORED, REPORT, about)
 
 
 def _ids(reports: DataFrame) -> DataFrame:
@@ -97,41 +82,57 @@ def _of(stored: DataFrame, reports: DataFrame) -> DataFrame:
     return stored.where(F.col("report_id").between(low, high)).join(ids, "report_id", "left_semi")
 
 
-def headers_path(path: str) -> str:
-    """Where the headers of the reports stored below ``path`` are."""
-    return f"{path.rstrip('/')}-headers"
+def _lines(stored: DataFrame) -> DataFrame:
+    """Stored lines with their color, which is not stored."""
+    return stored.select(REPORT.name, *STORED.names, balance_color(F.col("balance")).alias("balance_color"))
+
 
+def _headers(entries: DataFrame) -> DataFrame:
+    return entries.select(REPORT.name, *[F.col(f"header_{name}").alias(name) for name in HEADER.names])
 
-def write_report_headers(reports: DataFrame, totals: DataFrame, path: str) -> None:
-    """Replace the stored headers of ``reports``: what was asked for, and the totals."""
-    known = reports.where("report_id IS NOT NULL").select(*HEADER.names[:5]).dropDuplicates(["report_id"])
-    _replace(known.join(totals, "report_id").select(*HEADER.names), headers_path(path))
+
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    return _lines(store(spark, path).read())
 
 
 def read_report_headers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HEADER).parquet(headers_path(path)).select(*HEADER.names)
+    return _headers(store(spark, path).entries())
 
 
-def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stored lines with their color, which is not stored."""
-    return (
-        spark.read.schema(STORED).parquet(path)
-        .where(F.col("account_id").isNotNull())
-        .select(*STORED.names, balance_color(F.col("balance")).alias("balance_color"))
-    )
+def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and headers of one version, whatever is published meanwhile."""
+    table = store(spark, path)
+    entries = table.entries()
+    return _lines(table.read(entries)), _headers(entries)
+
+
+def register_reports(spark: SparkSession, path: str, name: str) -> None:
+    """Publish (or switch) the catalog views ``<name>_lines`` and ``<name>_headers``. Both read the view
+    ``<name>``, the only one that changes when a batch is published."""
+    store(spark, path).register(name)
+    lines = ", ".join([REPORT.name, *STORED.names])
+    headers = ", ".join(f"header_{n} AS {n}" for n in HEADER.names)
+    spark.sql(f"CREATE VIEW IF NOT EXISTS {name}_lines AS SELECT {lines}, CASE WHEN balance < 0 THEN 'red' ELSE 'black' END AS balance_color "
+              f"FROM {name} WHERE account_id IS NOT NULL")
+    spark.sql(f"CREATE VIEW IF NOT EXISTS {name}_headers AS SELECT DISTINCT report_id, {headers} FROM {name}")
 
 
 def run_reports(books: Books, reports: DataFrame, path: str) -> ReportRun:
-    """Check the definitions, replace the lines of all of them, total them and store the headers.
+    """Check the definitions, replace the lines and headers of all of them and publish both at once.
 
-    A definition that is rejected has no lines any more, and totals of zero."""
+    The lines are computed and written once; the totals are sums of what was written. A definition
+    that is rejected has no lines any more, and totals of zero. Of definitions that share an
+    id, all are rejected."""
+    spark, table = books.spark, store(books.spark, path)
     complete, rejected = validate_reports(reports)
-    write_report_lines(report_lines(books, complete), reports, path)
-    mine = _of(read_report_lines(books.spark, path), reports)
-    totals = report_totals(mine, _ids(reports))
-    write_report_headers(reports, totals, path)
-    headers = _of(read_report_headers(books.spark, path), reports)
-    return ReportRun(mine, headers.select("report_id", *HEADER.names[5:]), rejected, headers)
+    generation = table.write(report_lines(books, complete))
+    totals = report_totals(table.written(generation), _ids(reports))
+    asked = reports.where("report_id IS NOT NULL").dropDuplicates(["report_id"]).select("report_id", *ASKED)
+    headers = asked.join(totals, "report_id").select("report_id", *[F.col(n).alias(f"header_{n}") for n in HEADER.names])
+    version = table.publish(headers, generation)
+    entries = table.entries(version)
+    mine = _of(_headers(entries), reports)
+    return ReportRun(_of(_lines(table.read(entries)), reports), mine.select("report_id", *TOTALS), rejected, mine)
 
 
 def refresh_reports(books: Books, reports: DataFrame, path: str, report_ids: list[int] | None = None) -> ReportRun:
@@ -139,3 +140,11 @@ def refresh_reports(books: Books, reports: DataFrame, path: str, report_ids: lis
     if report_ids is not None:
         reports = reports.where(F.col("report_id").isin(list(report_ids)))
     return run_reports(books, reports, path)
+
+
+def refresh_touched(books: Books, reports: DataFrame, changed: DataFrame, path: str) -> ReportRun:
+    """Run again only the reports that the ``changed`` lines can show in: those of ``reports`` whose
+    accounts and period hold one. Lines that were moved or taken back are given as they were and as
+    they are. All other parts of the store stay as they are, files included."""
+    touched = touched_reports(books, reports, changed)
+    return run_reports(books, reports.join(touched, "report_id", "left_semi"), path)

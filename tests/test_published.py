@@ -1,0 +1,303 @@
+"""Stored balances, refreshes by what changed, and publishing at once."""
+
+from __future__ import annotations
+
+import os
+import random
+import threading
+from dataclasses import replace
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from ledgerloom import load_books
+from ledgerloom.operators import ledger, reports
+from ledgerloom.plans import definitions as d
+from ledgerloom.plans.oracle import ORACLE
+from ledgerloom.sources import report_store, standing
+from ledgerloom.sources.published import Published
+
+
+@pytest.fixture(autouse=True)
+def whole_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def scanned(df, column):
+    """Files and bytes that the scans with this column read, as Spark counted them."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    counts = []
+
+    def visit(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return visit(node.plan())
+        if kind == "FileSourceScanExec" and f"{column}#" in node.output().mkString(" "):
+            counts.append([node.metrics().get(m).get().value() for m in ("numFiles", "filesSize")])
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(execution.executedPlan())
+    return [sum(x) for x in zip(*counts)] if counts else [0, 0]
+
+
+# publishing
+
+PART = T.StructField("part", T.LongType())
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    schema, about = T.StructType([T.StructField("x", T.LongType())]), T.StructType([T.StructField("total", T.LongType())])
+    return Published(spark, str(tmp_path / "table"), schema, PART, about)
+
+
+def write(table, parts):
+    made = [(x, p) for p, xs in parts.items() for x in xs]
+    generation = table.write(table.spark.createDataFrame(made, "x long, part long"))
+    return generation, table.spark.createDataFrame([(p, sum(xs)) for p, xs in parts.items()], "part long, total long")
+
+
+def test_parts_keep_their_generation(table):
+    assert table.version() is None and table.read().count() == 0 and table.entries().count() == 0
+    generation, parts = write(table, {1: [1, 2], 2: [3]})
+    assert table.read().count() == 0  # written, not published
+    assert table.publish(parts, generation) == 0
+    before = table.read()
+    generation, parts = write(table, {2: [], 3: [7]})
+    table.publish(parts, generation, table.spark.createDataFrame([(1,)], "part long").where("part = 9"))
+    assert {(r.x, r.part) for r in table.read().collect()} == {(1, 1), (2, 1), (7, 3)}
+    assert {(r.part, r.total) for r in table.entries().collect()} == {(1, 3), (2, 0), (3, 7)}
+    assert {(r.x, r.part) for r in before.collect()} == {(1, 1), (2, 1), (3, 2)}  # a reader keeps its version
+    table.publish(table.spark.createDataFrame([], "part long, total long"), generation, table.spark.createDataFrame([(1,)], "part long"))
+    assert {r.part for r in table.read().collect()} == {3}
+    table.forget(keep=1)
+    assert {(r.x, r.part) for r in table.read().collect()} == {(7, 3)}
+    assert len([f for f in os.listdir(table.data) if f.startswith("generation=")]) == 1
+
+
+def test_unfinished_versions_are_not_read(table):
+    generation, parts = write(table, {1: [1]})
+    table.publish(parts, generation)
+    os.makedirs(table._version_path(1))  # a write that never got to its end
+    assert table.version() == 0 and table.read().count() == 1
+
+
+def test_superseded_files_are_pruned_by_the_plan(table):
+    for n in range(3):
+        generation, parts = write(table, {1: [n], 2: [n]})
+        table.publish(parts, generation)
+    read = table.read()
+    assert "dynamicpruning" in read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == 2 and table._stored().count() == 6
+    assert scanned(table._stored(), "x")[0] == 6 and scanned(read, "x")[0] == 2
+    assert scanned(table.read(table.entries().where("part = 2")), "x")[0] == 1
+
+
+def test_readers_never_see_half_a_batch(spark, make_books, make_reports, tmp_path):
+    path, name = str(tmp_path / "reports"), f"reader_{os.getpid()}"
+    accounts = [dict(id=1, internal_type="income")]
+    definitions = make_reports(*[dict(report_id=n) for n in (1, 2, 3)])
+
+    def publish(amount):
+        report_store.run_reports(make_books(lines=[dict(id=1, credit=amount)], accounts=accounts), definitions, path)
+        report_store.register_reports(spark, path, name)
+
+    publish(1)
+    done, seen, failed = threading.Event(), [], []
+
+    def read():
+        try:
+            while not done.is_set():
+                lines, headers = report_store.read_reports(spark, path)
+                seen.append(({r.balance for r in lines.collect()}, {r.total_balance for r in headers.collect()}))
+                views = spark.sql(f"SELECT l.balance, h.total_balance FROM {name}_lines l JOIN {name}_headers h USING (report_id)").collect()
+                seen.append(({r.balance for r in views}, {r.total_balance for r in views}))
+        except Exception as error:  # shown by the assertion below
+            failed.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for amount in range(2, 6):
+        publish(amount)
+    done.set()
+    reader.join()
+    assert not failed and len(seen) > 3
+    assert all(len(lines) == 1 and lines == headers for lines, headers in seen), seen
+    assert spark.sql(f"SELECT * FROM {name}_lines").count() == 3
+    for view in ("_lines", "_headers", ""):
+        spark.sql(f"DROP VIEW {name}{view}")
+
+
+# refreshing what changed
+
+def plain_touched(books, definitions, changed):
+    days = {(r.company_id, r.account_id, r.date) for r in changed.where("parent_state = 'posted'").collect() if r.date}
+    asked = reports._report_accounts(books, reports.validate_reports(definitions)[0]).collect()
+    return {r.report_id for r in asked for c, a, day in days if (c, a) == (r.company_id, r.account_id) and r.date_start <= day <= r.date_end}
+
+
+@pytest.mark.parametrize("condition", ["id % 997 = 5", "date = '1996-06-30'", "date is null", "partner_id = 7", "account_id = 3"])
+def test_touched_reports_are_those_of_plain_loops(spark, tpch, condition):
+    batch = d.definitions(spark, d.MIXED)
+    changed = tpch.lines.where(condition)
+    found = {r.report_id for r in reports.touched_reports(tpch, batch, changed).collect()}
+    assert found == plain_touched(tpch, batch, changed)
+
+
+def test_only_touched_reports_are_rewritten(spark, make_books, make_reports, tmp_path):
+    path = str(tmp_path / "lines")
+    accounts = [dict(id=n, internal_type="income") for n in (1, 2)]
+    old = [dict(id=n, account_id=1 + n % 2, credit=5, date=date(2020, 1 + n, 1)) for n in range(6)]
+    new = [dict(id=50, account_id=1, credit=3, date=date(2020, 2, 9)), dict(id=51, credit=9, parent_state="draft")]
+    definitions = make_reports(*[
+        dict(report_id=n, date_start=date(2020, n, 1), date_end=date(2020, n + 1, 28)) for n in range(1, 6)
+    ])
+    report_store.run_reports(make_books(lines=old, accounts=accounts), definitions, path)
+    table = report_store.store(spark, path)
+    before = {r.report_id: r.generation for r in table.entries().collect()}
+    books = make_books(lines=old + new, accounts=accounts)
+    run = report_store.refresh_touched(books, definitions, books.lines.where("id >= 50"), path)
+    after = {r.report_id: r.generation for r in table.entries().collect()}
+    assert {n for n in after if after[n] != before[n]} == {1, 2} == {r.report_id for r in run.headers.collect()}
+    whole = report_store.run_reports(books, definitions, str(tmp_path / "whole"))
+    assert rows(report_store.read_report_lines(spark, path)) == rows(whole.lines)
+    assert rows(report_store.read_report_headers(spark, path)) == rows(whole.headers)
+
+
+def test_repeated_ids_are_rejected(spark, make_books, make_reports, tmp_path):
+    books = make_books(lines=[dict(id=1, credit=5)], accounts=[dict(id=1, internal_type="income")])
+    batch = make_reports(dict(report_id=1), dict(report_id=1, name="again"), dict(report_id=2), dict(report_id=None), dict(report_id=None))
+    run = report_store.run_reports(books, batch, str(tmp_path / "lines"))
+    assert sorted((r.report_id, r.problems) for r in run.rejected.collect()) == [(1, "report_id"), (1, "report_id")]
+    assert [(r.report_id, r.balance) for r in run.lines.collect()] == [(2, -5)]
+    assert {r.report_id: r.total_balance for r in run.headers.collect()} == {1: 0, 2: -5}
+
+
+# stored balances
+
+def between(books, path, start, end):
+    return ledger.ledger_between(books, start, end, carried=standing.carried(books.spark, path, start))
+
+
+def test_balances_follow_postings(spark, make_books, tmp_path):
+    """Random postings, back-dated and taken back ones, with folds in between, against all lines."""
+    rng, path = random.Random(11), str(tmp_path / "balances")
+
+    def some(first, n, low=0, high=500):
+        return [dict(id=first + i, account_id=rng.randrange(1, 5), debit=rng.randrange(100), credit=rng.randrange(100),
+                     date=None if rng.random() < 0.1 else date(2019, 12, 20) + timedelta(days=rng.randrange(low, high)),
+                     parent_state=rng.choice(["posted", "posted", "draft"])) for i in range(n)]
+
+    lines = some(0, 60, 100, 300)
+    make = lambda ls: make_books(lines=ls)
+    standing.build(make(lines), path)
+    for step, (low, high) in enumerate([(0, 500), (250, 260), (900, 950), (0, 30), (400, 420)]):
+        new = some(1000 * (step + 1), 15, low, high)
+        standing.post(make(lines + new), make(new).lines, path)
+        lines += new
+        if step == 2:
+            gone = lines[5:25]
+            lines = lines[:5] + lines[25:]
+            standing.post(make(lines), make(gone).lines, path, sign=-1)
+        if step % 2:
+            standing.fold(spark, path)
+        books = make(lines)
+        for start in ("2019-12-01", "2020-03-31", "2020-04-01", "2020-08-17", "2021-12-31", "2023-01-01"):
+            assert rows(between(books, path, start, "2022-12-31")) == rows(ledger.ledger_between(books, start, "2022-12-31")), (step, start)
+
+
+def test_stored_balances_of_nothing(spark, make_books, tmp_path):
+    books = make_books()
+    standing.build(books, str(tmp_path / "none"))
+    assert standing.carried(spark, str(tmp_path / "none"), "2020-01-01").count() == 0
+    standing.post(books, make_books(lines=[dict(id=1, date=None)]).lines, str(tmp_path / "none"))
+    standing.fold(spark, str(tmp_path / "none"))
+    assert standing.carried(spark, str(tmp_path / "none"), "2020-01-01").count() == 0
+
+
+@pytest.fixture(scope="module")
+def by_month(spark, tpch, tmp_path_factory):
+    """Books whose lines are stored by month, as a journal is, and their balances without the late lines."""
+    root = str(tmp_path_factory.mktemp("by_month"))
+    for name, df in dict(account_move=tpch.moves, account_account=tpch.accounts, res_company=tpch.companies,
+                         account_analytic_account=tpch.analytics).items():
+        df.write.parquet(f"{root}/{name}")
+    month = F.date_format("date", "yyyy-MM")
+    tpch.lines.withColumn("month", month).repartition("month").sortWithinPartitions("date").write.partitionBy("month").parquet(f"{root}/account_move_line")
+    books = load_books(spark, root, complete=True)
+    late = F.coalesce((F.col("id") % 7 == 3) & (F.col("date") < "1996-01-01"), F.lit(False))
+    standing.build(replace(books, lines=books.lines.where(~late)), f"{root}/balances")
+    standing.post(books, books.lines.where(late), f"{root}/balances")
+    return books, f"{root}/balances"
+
+
+def test_a_period_reads_one_month_of_balances_and_the_new_postings(spark, by_month):
+    books, path = by_month
+    table = standing.store(spark, path)
+    months, batches = standing._parts(table, table.version())
+    assert len(months) > 60 and len(batches) == 1
+    entries = table.entries()
+    one_month, whole = table.read(entries.where("part = '1996-03'")), table.read()
+    assert 0 < scanned(one_month, "amount")[1] < 0.1 * scanned(whole, "amount")[1]
+    carried = scanned(standing.carried(spark, path, "1996-03-01"), "amount")
+    assert carried[1] <= scanned(one_month, "amount")[1] + scanned(table.read(entries.where("part like '+%'")), "amount")[1]
+    found = between(books, path, "1996-03-01", "1996-04-30")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in text.split("\n") if "FileScan" in x and "debit#" in x]
+    # no scan of the lines goes back behind the period
+    assert lines and all("GreaterThanOrEqual(date,1996-03-01)" in x and "LessThanOrEqual(date,1996-04-30)" in x for x in lines)
+    assert rows(found) == rows(ledger.ledger_between(books, "1996-03-01", "1996-04-30"))
+
+
+def test_fold_leaves_earlier_months_alone(spark, by_month):
+    books, path = by_month
+    table = standing.store(spark, path)
+    before = {r.part: r.generation for r in table.entries().collect()}
+    standing.post(books, books.lines.where("date = '1997-05-05' and id % 2 = 0"), path)
+    standing.post(books, books.lines.where("date = '1997-05-05' and id % 2 = 0"), path, sign=-1)
+    first = books.lines.where("parent_state = 'posted' and id % 7 = 3 and date < '1996-01-01'").agg(F.date_format(F.min("date"), "yyyy-MM")).first()[0]
+    standing.fold(spark, path)
+    after = {r.part: r.generation for r in table.entries().collect()}
+    assert not any(p.startswith("+") for p in after)
+    same = {p for p in after if before.get(p) == after[p]}
+    assert same == {p for p in after if p < first}
+    assert rows(between(books, path, "1998-01-15", "1998-02-28")) == rows(ledger.ledger_between(books, "1998-01-15", "1998-02-28"))
+
+
+# pages among lines without account
+
+def test_pages_go_on_among_lines_without_account(make_books):
+    lines = [dict(id=n, account_id=None if n > 5 else 1, debit=n, date=None if n % 4 == 0 else date(2020, 1, 1 + n % 3)) for n in range(1, 25)]
+    books = make_books(lines=lines)
+    whole = [tuple(r) for r in ledger.general_ledger(books, ordered=True).collect()]
+    for at in range(len(whole) - 1):
+        _, day, _, _, account, *_ = whole[at]
+        page = [tuple(r) for r in ledger.ledger_next_page(books, account, day, whole[at][0], size=6).collect()]
+        assert page == whole[at + 1:at + 7]
+
+
+# the SQL under a limit, as a checker may ask for it
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_oracle_under_a_limit(sf_dir, name):
+    import duckdb
+    con = duckdb.connect()
+    for file in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{sf_dir}/{file}'")
+    timer = threading.Timer(20, con.interrupt)
+    timer.start()
+    try:
+        assert len(con.execute(f"SELECT * FROM ({ORACLE[name]}) LIMIT 10").fetchall()) > 0
+    finally:
+        timer.cancel()
