@@ -73,14 +73,19 @@ def free_name(df: DataFrame, wish: str) -> str:
 def with_row_key(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """The frame with a long column that tells its rows apart, and that column's name.
 
-    Ids that are unique and never null serve themselves. Otherwise (repeated rows, null ids)
-    the rows are numbered and stored, so that every later pass sees the same numbers."""
+    Keys ascend with the id, nulls last, whatever the ids. Ids that are unique and never null serve
+    themselves. Otherwise (repeated rows, null ids) the rows are sorted by id and, where that ties, by
+    a hash of all columns, numbered in that order and stored, so that every later pass sees the
+    same numbers. So other rows rank alike with and without such rows among them; rows that
+    tie even then are equal, and it does not matter which comes first."""
     key = free_name(docs, "row_key")
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     clash = ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).collect()
     if not clash:
         return docs.withColumn(key, F.col(id_col).cast("long")), key
-    return shared_table(docs.withColumn(key, F.monotonically_increasing_id())), key
+    content = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    ranked = docs.orderBy(F.col(id_col).cast("long").asc_nulls_last(), content)
+    return shared_table(ranked.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def on_workers(spark: SparkSession) -> None:

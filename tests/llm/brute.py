@@ -31,14 +31,33 @@ def measures(text):
     count = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)}
     lines = [x for x in (text or "").split("\n") if solid(x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
 def base_failed(text):
-    n, _, _, _, repeated = measures(text)
+    n, _, _, _, repeated, _ = measures(text)
     return n < 20 or 100 * repeated > 30 * n
 
 
+def kept_by_rules(rows):
+    """Whether the quality rules keep each (text, host)."""
+    found = [measures(t) for t, _ in rows]
+    failed = [(base_failed(t), m[2] > 0.3 * m[1], m[3] > 0.5 * m[5]) for (t, _), m in zip(rows, found)]
+    kept = [not f[0] for f in failed]
+    for rule in range(3):
+        hosts = {h: [f[rule] for f, (_, own) in zip(failed, rows) if own == h] for h in {h for _, h in rows}}
+        raw = [sum(x) / len(x) for x in hosts.values()]
+        mean = sum(raw) / len(raw)
+        spread = sum((x - mean) ** 2 for x in raw) / len(raw)
+        strength = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 0 else 1e6
+        for i, (_, host) in enumerate(rows):
+            rate = (strength * mean + sum(hosts[host])) / (strength + len(hosts[host]))
+            junk, other = (0.9, 0.01) if failed[i][rule] else (0.1, 0.99)
+            if rate * junk >= (1 - rate) * other:
+                kept[i] = False
+    return kept
+
+
 def fingerprint(text, size=4):
     words = solid(lower(text))
     if not words:
@@ -86,15 +105,18 @@ def contaminated(text, phrases):
     return len(words), len(hit), found
 
 
-def deduplicated(rows, least=20):
-    """Text and removed byte spans of each (key, text), in order of key."""
+def deduplicated(rows, least=20, over_blanks=False):
+    """Text and removed byte spans of each (key, text), in order of key. With ``over_blanks``, units without
+    a word have no number, so that runs go on over them."""
     first, out = {}, {}
     for key, text in sorted(rows):
         data, at, runs = (text or "").encode(), 0, []
         ends = {m.end() for m in re.finditer(rb"(?<=[.!?])[\x20\x09-\x0D]+", data)} | {i + 1 for i, c in enumerate(data) if c == 10}
         ends = sorted(ends | ({len(data)} if data else set()))
-        for number, end in enumerate(ends):
+        number = -1
+        for end in ends:
             words = tuple(alnum(data[at:end].decode()))
+            number += bool(words) or not over_blanks
             if words and first.setdefault(words, (key, number)) != (key, number):
                 if runs and runs[-1][0] == number - 1:
                     runs[-1][0], runs[-1][2], runs[-1][3] = number, end, runs[-1][3] + len(words)
