@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,20 @@ from ledgerloom.llm.storage import on_workers, release, scope, shared_table, wit
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: What the stage before the current one stored for itself: of no use once its result is written.
-_left: list[str] = []
+#: What a run's stage before the current one stored for itself: of no use once its result is written.
+#: A run is told by its thread and input, so that runs beside each other leave each other's tables alone.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def _stage(step: Stage) -> Stage:
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         on_workers(spark)
-        release(spark, _left)
+        left = _left.setdefault((get_ident(), sf_dir), [])
+        release(spark, left)
         with scope() as tables:
             result = step(spark, docs, sf_dir)
-        _left.extend(tables)
+        left.extend(tables)
         return result
 
     return run_stage
@@ -38,7 +41,7 @@ def _stage(step: Stage) -> Stage:
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, and whose host does."""
+    """Documents that the quality rules and their host's record leave."""
     keyed, key = with_row_key(docs, "doc_id")
     kept = quality_rules.judge(keyed, id_col=key).where("kept").select(key)
     return keyed.join(kept, key, "left_semi").drop(key)
@@ -46,8 +49,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest key, which is
-    the smallest doc_id where ids are unique."""
+    """One document of each group of near-duplicates: the one with the smallest key, and so with
+    the smallest doc_id."""
     keyed, key = with_row_key(docs, "doc_id")
     kept = simhash.components(keyed, id_col=key).where(F.col(key) == F.col("component_id")).select(key)
     return keyed.join(kept, key, "left_semi").drop(key)
@@ -94,4 +97,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = shared_table(stage(spark, docs, sf_dir))
+    release(spark, _left.pop((get_ident(), sf_dir), []))
     return docs
