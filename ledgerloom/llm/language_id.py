@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into windows. In each window a forward and a backwa
 layer (gated: update and reset) read the bytes, and a softmax over both states labels every
 position with language probabilities. A document's probabilities are the means over its
 positions. The network is trained here in numpy, by backpropagation through time, on windows from
-a bounded sample of labelled documents: about ``PER_LANGUAGE`` documents of each of at most
+a bounded sample of labelled documents: ``PER_LANGUAGE`` documents of each of at most
 ``LANGUAGES`` languages, ``WINDOWS`` windows of each, drawn from anywhere in the text. Both the
 sample and the training are deterministic.
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
@@ -191,12 +191,16 @@ def cut(texts: W.Texts, batch: int, window: int = WINDOW) -> Iterator[tuple[np.n
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """About ``per_language`` documents of each of the most frequent ``languages``, by a hash of their
-    ids. Rows with null text, language or id are left out."""
-    rows = docs.where("id IS NOT NULL AND lang IS NOT NULL AND t != ''")
+    """``per_language`` documents (all, if fewer) of each of the most frequent ``languages``, drawn row by
+    row by a hash of id and text. Rows with null text, language or id are left out; equal rows are
+    one. The hashes are chosen first, without the texts: those of a language by their partial ranks."""
+    drawn = F.xxhash64(F.lit("language"), "id", "t")
+    rows = docs.where("id IS NOT NULL AND lang IS NOT NULL AND t != ''").select(F.col("id").cast("long"), "t", "lang", drawn.alias("drawn"))
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    share = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 40)) / F.lit(1 << 40)
-    return rows.join(F.broadcast(most), "lang").where(share * F.col("n") < per_language).select(F.col("id").cast("long"), "t", "lang")
+    hashes = rows.join(F.broadcast(most.select("lang")), "lang").select("lang", "drawn").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    chosen = hashes.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "drawn")
+    return rows.join(F.broadcast(chosen), ["lang", "drawn"]).dropDuplicates(["lang", "drawn"]).select("id", "t", "lang")
 
 
 def windows_of(rows: DataFrame, windows: int) -> DataFrame:

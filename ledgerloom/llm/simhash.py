@@ -34,6 +34,8 @@ from ledgerloom.llm.storage import shared_table
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints that are compared with each other at once.
 BLOCK = 16384
+#: Rows of sorted groups that a task holds before it compares them.
+HELD = 1 << 17
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -209,7 +211,7 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, bits: int, rings: np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK, held_rows: int = HELD) -> DataFrame:
     """Links ``a``, ``b`` (a < b) between distinct fingerprints, enough to connect all that are within ``bits``."""
     rings, small = _rings(bits), 32
 
@@ -226,37 +228,48 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFram
             a, b = _stars(a, b)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), x)) for x in (kind, key)] + [pa.array(a), pa.array(b)], ["kind", "key", "a", "b"])
 
-    def large_group(key: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        blocks = [fps[i:i + block] for i in range(0, len(fps), block)]
-        for i, own in enumerate(blocks):
+    def blocks_of(key: int, fps: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
+        """Links within each block of a large group, and its rows with their block's number, once."""
+        for i in range(0, len(fps), block):
+            own = fps[i:i + block]
             yield edges(0, *_compare(own, None, key, bits, rings))
-            for j in range(i + 1, len(blocks)):  # for other tasks: the pair of blocks, as rows of either side
-                pair = i * len(blocks) + j
-                for side, rows in enumerate((own, blocks[j])):
-                    yield edges(1, rows, np.full(len(rows), 2 * pair + side, np.int64), key)
+            yield edges(1, own, np.full(len(own), number + i // block, np.int64), key)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        """Links within groups of one key; of a group beyond a block, block by block as its rows come."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = passed = 0  # rows held, and blocks of their first group that are gone already
 
         def compared(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.append(cuts, len(keys)))
-            for i in np.flatnonzero(sizes > small):
-                yield from large_group(int(keys[cuts[i]]), fps[cuts[i]:cuts[i] + sizes[i]])
-            few = np.repeat((sizes <= small) & (sizes > 1), sizes)
+            begun = np.zeros(len(sizes), np.int64)
+            begun[0] = passed
+            for i in np.flatnonzero((sizes > small) | (begun > 0)):
+                key, own = int(keys[cuts[i]]), fps[cuts[i]:cuts[i] + sizes[i]]
+                if begun[i] or len(own) > block:
+                    yield from blocks_of(key, own, int(begun[i]))
+                else:
+                    yield edges(0, *_compare(own, None, key, bits, rings))
+            few = np.repeat((sizes <= small) & (sizes > 1) & (begun == 0), sizes)
             yield edges(0, *_small_groups(keys[few], fps[few], bits, rings, small))
 
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys) < 1 << 17:
+            held.append(tuple(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
+            size += batch.num_rows
+            if size < max(held_rows, 2 * block):
                 continue
+            keys, fps = (np.concatenate(x) for x in zip(*held))
             last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0  # the last group may go on
             if last:
                 yield from compared(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield from compared(keys, fps)
+                keys, fps, passed = keys[last:], fps[last:], 0
+            if full := (len(keys) - 1) // block * block if len(keys) > 2 * block else 0:
+                yield from blocks_of(int(keys[0]), fps[:full], passed)
+                keys, fps, passed = keys[full:], fps[full:], passed + full // block
+            held, size = [(keys, fps)], len(keys)
+        if size:
+            yield from compared(*(np.concatenate(x) for x in zip(*held)))
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -287,7 +300,14 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFram
     schema = "kind long, key long, a long, b long"
     rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     found = shared_table(rows.mapInArrow(grouped, schema))
-    rest = found.where("kind = 1").select("key", "a", "b").repartition("key", F.shiftright("b", 1)).sortWithinPartitions("key", F.shiftright("b", 1))
+    # Pairs of a large group's blocks: each block's rows once per other block, made and compared by many tasks.
+    parts = found.where("kind = 1").select("key", "a", F.col("b").alias("own"))
+    count = parts.groupBy("key").agg((F.max("own") + 1).alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pairs = parts.join(count, "key").select("key", "a", "own", "blocks", other).where("own != other").select(
+        "key", "a", (2 * (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")) + (F.col("own") > F.col("other")).cast("long")).alias("b")
+    )
+    rest = pairs.repartition("key", F.shiftright("b", 1)).sortWithinPartitions("key", F.shiftright("b", 1))
     rest = rest.mapInArrow(crossed, schema)
     return found.where("kind = 0").unionByName(rest).select("a", "b").distinct()
 

@@ -128,6 +128,23 @@ def clustered(rng, n, centers):
     return sorted(out)
 
 
+def test_a_hot_group_goes_through_in_blocks(spark):
+    """Fingerprints that agree in their first 40 bits: one group of 30 blocks, read block by block as it comes."""
+    rng = random.Random(4)
+    fps = sorted({(0xABCDEF0123 << 24) | rng.getrandbits(24) for _ in range(900)} | {rng.getrandbits(64) for _ in range(300)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5)
+    found = simhash.links(df, 4, 30, 64)
+    roots = {r.fp % (1 << 64): r.root % (1 << 64) for r in simhash.connected(found).collect()}
+    want = brute.components(fps)
+    groups = lambda pairs: sorted(sorted(x) for x in pairs.values())
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for k, x in enumerate(fps):
+        mine[roots.get(x, x)].add(x)
+        theirs[want[k]].add(x)
+    assert groups(mine) == groups(theirs) and max(map(len, theirs.values())) > 10
+
+
 @pytest.mark.parametrize("bits, block", [(4, simhash.BLOCK), (4, 40), (3, 50), (1, 64), (0, 64)])
 def test_components_of_fingerprints(spark, bits, block):
     fps = clustered(random.Random(bits), 700, 3)

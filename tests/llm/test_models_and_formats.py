@@ -346,3 +346,13 @@ def test_words_and_hashes(texts):
         assert text.tolist() == [i for i, t in enumerate(texts) for _ in words(t)]
         hashes = own.hashes(a, b, W.LOWER)
         assert len(set(zip(hashes.tolist(), map(brute.lower, found)))) == len(set(hashes.tolist())) == len(set(map(brute.lower, found)))
+
+
+def test_sample_has_its_number_of_rows_whatever_the_ids(spark):
+    """Many rows that share an id, and a language with fewer rows than asked for."""
+    rows = [(9, f"text {i}", "en") for i in range(3000)] + [(i, "same text", "de") for i in range(50)] + [(7, "équal", "fr")] * 400 + [(None, "x", "en"), (1, None, "en"), (2, "x", None), (3, "", "en")]
+    df = spark.createDataFrame(rows, "id long, t string, lang string").repartition(4)
+    found = language_id.sample(df, 100, 3).collect()
+    assert sorted((lang, sum(r.lang == lang for r in found)) for lang in ("en", "de", "fr")) == [("de", 50), ("en", 100), ("fr", 1)]
+    assert {r.lang for r in language_id.sample(df, 100, 1).collect()} == {"en"}
+    assert sorted(map(tuple, found)) == sorted(map(tuple, language_id.sample(df.repartition(2), 100, 3).collect()))
