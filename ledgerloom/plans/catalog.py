@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import ledger, pivot, reports, statements
 from ledgerloom.plans import definitions as d
-from ledgerloom.sources import report_store, standing, tpch, views
+from ledgerloom.sources import report_store, standing, text_index, tpch, views
 from ledgerloom.sources.books import Books, report_definitions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,20 @@ def _standing(period: tuple[str, str], fold: bool) -> Query:
     return run
 
 
+def _indexed(**terms) -> Query:
+    """A search by an index built before the late lines came, which were added to it."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = report_store.scratch_table(spark, "text_index")
+        books = tpch.tpch_books(spark, sf_dir)
+        early = _before_late(books)
+        entries = early.lines.select(F.col("move_id").alias("id")).distinct()
+        text_index.build(replace(early, moves=books.moves.join(entries, "id", "left_semi")), path)
+        text_index.add(books, books.lines.where(_late()), path)
+        return text_index.ledger_search(books, path, **terms)
+
+    return run
+
+
 def _view(name: str, text: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         books, batch = tpch.tpch_books(spark, sf_dir), d.definitions(spark, d.FLAT)
@@ -159,6 +173,8 @@ QUERIES: dict[str, Query] = {
     "ledger_search": _on_books(lambda b: ledger.ledger_search(b, journal_id=3, ref="n")),
     "ledger_search_account": _on_books(lambda b: ledger.ledger_search(b, account_id=7)),
     "ledger_search_entry": _on_books(lambda b: ledger.ledger_search(b, move_name="move/7")),
+    "ledger_search_indexed": _indexed(move_name="move/77"),
+    "ledger_search_indexed_ref": _indexed(journal_id=3, ref="n"),
     "ledger_by_account": _on_books(partial(ledger.ledger_groups, by="account_id")),
     "ledger_by_journal": _on_books(partial(ledger.ledger_groups, by="journal_id")),
     "ledger_by_partner": _on_books(partial(ledger.ledger_groups, by="partner_id")),

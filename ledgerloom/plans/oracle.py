@@ -394,6 +394,8 @@ ORACLE: dict[str, str] = {
     "ledger_search": _ledger("SELECT * FROM ledger WHERE journal_id = 3 AND ref ILIKE '%n%'"),
     "ledger_search_account": _ledger("SELECT * FROM ledger WHERE account_id = 7"),
     "ledger_search_entry": _ledger("SELECT * FROM ledger WHERE move_name ILIKE '%move/7%'"),
+    "ledger_search_indexed": _ledger("SELECT * FROM ledger WHERE move_name ILIKE '%move/77%'"),
+    "ledger_search_indexed_ref": _ledger("SELECT * FROM ledger WHERE journal_id = 3 AND ref ILIKE '%n%'"),
     "ledger_by_account": _groups("account_id"),
     "ledger_by_journal": _groups("journal_id"),
     "ledger_by_partner": _groups("partner_id"),
