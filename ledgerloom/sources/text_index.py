@@ -24,7 +24,7 @@ from ledgerloom.sources.published import Published
 
 NAME, REF = "move_name", "ref"
 GRAM = 3
-BUCKETS = 256
+BUCKETS = 64
 #: Up to this many found values go to the scan of the lines as literals, which Parquet's bloom filters prune by.
 LITERALS = 1000
 
