@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import words as W
 
 PER_LANGUAGE, LANGUAGES, WINDOWS = 500, 256, 4
+#: Times the sample whose hashes are ranked.
+SPARE = 4
 #: Bytes of a window, state size per direction, windows that are read at once.
 WINDOW, STATE, BATCH = 128, 8, 2048
 EPOCHS, MINIBATCH, RATE = 6, 128, 0.01
@@ -193,13 +195,18 @@ def cut(texts: W.Texts, batch: int, window: int = WINDOW) -> Iterator[tuple[np.n
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
     """``per_language`` documents (all, if fewer) of each of the most frequent ``languages``, drawn row by
     row by a hash of id and text. Rows with null text, language or id are left out; equal rows are
-    one. The hashes are chosen first, without the texts: those of a language by their partial ranks."""
+    one. The hashes are chosen first, without the texts."""
     drawn = F.xxhash64(F.lit("language"), "id", "t")
     rows = docs.where("id IS NOT NULL AND lang IS NOT NULL AND t != ''").select(F.col("id").cast("long"), "t", "lang", drawn.alias("drawn"))
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     hashes = rows.join(F.broadcast(most.select("lang")), "lang").select("lang", "drawn").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
-    chosen = hashes.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "drawn")
+    # A hash is a number between 0 and 1. Some ``SPARE * per_language`` are below SPARE * per_language / count, so
+    # only these are ranked; that fewer than ``per_language`` are does not happen.
+    share = F.pmod("drawn", F.lit(1 << 40)) / F.lit(1 << 40)
+    low = hashes.join(F.broadcast(hashes.groupBy("lang").count()), "lang").withColumn("share", share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("share", "drawn"))
+    low = low.where(F.col("share") * F.col("count") < SPARE * per_language).withColumn("place", place)
+    chosen = low.where(F.col("place") <= per_language).select("lang", "drawn")
     return rows.join(F.broadcast(chosen), ["lang", "drawn"]).dropDuplicates(["lang", "drawn"]).select("id", "t", "lang")
 
 
