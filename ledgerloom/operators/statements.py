@@ -8,7 +8,7 @@ lines has zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ledgerloom.functions.amounts import day, day_or_today, debit_less_credit, or_zero, within
 from ledgerloom.operators import measures as m
@@ -75,21 +75,42 @@ def income_statement(
 
 
 def balance_sheet(
-    books: Books, as_of=None, company_id: int | None = None, scope: str = GLOBAL, today=None
+    books: Books, as_of=None, company_id: int | None = None, scope: str = GLOBAL, today=None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Balance sheet, over all time or up to and including ``as_of``.
 
     In the ``global`` scope every company shows the totals of all lines, also of lines
     without company; in the ``company`` scope each shows its own.
+
+    With an ``observation``, which the company scope allows, whoever runs the sheet also gets the global
+    figures of ``balance_check`` and the number of lines behind them, from the same pass. Spark may drop it from
+    the plan of books without any line; waiting for it then never ends.
     """
+    if observation is not None and scope != COMPANY:
+        raise ValueError("only the company scope can be observed: Spark does not report from within a subquery")
     measures = m.balance_measures()
-    totals = _measure_totals(_balance_accounts(books, as_of, scope), measures, scope)
+    accounts = _balance_accounts(books, as_of, scope)
+    if observation is not None:
+        accounts = accounts.observe(observation, *_checks())
+    totals = _measure_totals(accounts, measures, scope)
     header = _header(books, BALANCE_TITLE, company_id, {"date": day_or_today(as_of or today)})
     return _attach(header, totals, scope).select(
         *header.columns, *_amounts(**{name: F.col(name) for name in measures})
     )
 
 
+def _checks() -> list[Column]:
+    """What is observed on account totals: both sides, the result, and what is between them."""
+    sheet = m.balance_measures()
+    assets, claims = (or_zero(sheet[name].total()) for name in ("total_assets", "total_liabilities_equity"))
+    result = or_zero(m.result_measure().total())
+    return [
+        F.sum("line_count").alias("lines"), assets.alias("total_assets"), claims.alias("total_liabilities_equity"),
+        or_zero(assets - claims).alias("difference"), result.alias("period_result"), or_zero(assets - claims - result).alias("unexplained"),
+    ]
+
+
 def balance_check(books: Books, as_of=None, company_id: int | None = None, scope: str = GLOBAL) -> DataFrame:
     """Both sides of the balance sheet and what is between them.
 
@@ -167,7 +188,7 @@ def _account_totals(books: Books, lines: DataFrame, keys: list[str], **amounts:
     accounts = books.accounts.select(F.col("id").alias("account_id"), "code", "internal_type")
     return (
         lines.groupBy("account_id", *keys)
-        .agg(*[F.sum(amount).alias(name) for name, amount in amounts.items()])
+        .agg(*[F.sum(amount).alias(name) for name, amount in amounts.items()], F.count("*").alias("line_count"))
         .join(accounts, "account_id")
     )
 

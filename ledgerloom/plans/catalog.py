@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from ledgerloom.functions.amounts import money
 from ledgerloom.operators import ledger, pivot, reports, statements
 from ledgerloom.plans import definitions as d
 from ledgerloom.sources import report_store, standing, text_index, tpch, views
 from ledgerloom.sources.books import Books, report_definitions
+from ledgerloom.sources.schemas import MONEY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +126,27 @@ def _standing(period: tuple[str, str], fold: bool) -> Query:
     return run
 
 
+def _variant(books: Books) -> DataFrame:
+    rows = pivot.report_pivot_variant(books)
+    return rows.select(
+        "account_id", "account_code", "account_name", "company_id", *[pivot.balance_of(code) for code in ANALYTIC_CODES],
+        "balance_without_analytic", "total_balance", "currency_id",
+    )
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of the balance, observed while the sheet of each company is written, beside the sheet's totals."""
+    check = Observation("balance")
+    path = report_store.scratch_table(spark, "balance_sheet")
+    statements.balance_sheet(tpch.tpch_books(spark, sf_dir), scope="company", today=TODAY, observation=check).write.parquet(path)
+    found = check.get
+    return spark.read.parquet(path).agg(
+        money(F.sum("total_assets")).alias("sheet_assets"), money(F.sum("total_liabilities_equity")).alias("sheet_claims"),
+        *[F.lit(found[name]).cast("long" if name == "lines" else MONEY).alias(name) for name in
+          ("lines", "total_assets", "total_liabilities_equity", "difference", "period_result", "unexplained")],
+    )
+
+
 def _indexed(**terms) -> Query:
     """A search by an index built before the late lines came, which were added to it."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,5 +266,7 @@ QUERIES: dict[str, Query] = {
     "report_store_views": _store_views,
     "report_lines_from_files": _from_files,
     "report_pivot_json": _on_books(pivot.report_pivot_json),
+    "report_pivot_variant": _on_books(_variant),
+    "balance_sheet_observed": _observed,
     "report_pivot": _on_books(partial(pivot.report_pivot, codes=ANALYTIC_CODES)),
 }

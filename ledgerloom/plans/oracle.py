@@ -473,4 +473,9 @@ GROUP BY ALL""", *_report_ctes(d.REFRESHED)),
     "report_lines_from_files": _report(d.MIXED),
     "report_pivot_json": _pivot(PIVOT_JSON),
     "report_pivot": _pivot(PIVOT_COLUMNS),
+    "report_pivot_variant": _pivot(PIVOT_COLUMNS),
+    "balance_sheet_observed": f"""SELECT total_assets AS sheet_assets, total_liabilities_equity AS sheet_claims, lines,
+  total_assets, total_liabilities_equity, difference, period_result, unexplained
+FROM ({_check(company=False)} LIMIT 1) AS c, (
+  {_sql("SELECT count(*) AS lines FROM account_move_line l JOIN account_account a ON a.id = l.account_id WHERE l.parent_state = 'posted'")}) AS n""",
 }
