@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.amounts import balance_color, or_zero
 from ledgerloom.operators.measures import ASSET, EQUITY, EXPENSE, INCOME, LIABILITY
-from ledgerloom.sources.books import Books
+from ledgerloom.sources.books import Books, month_of
 
 # Report types, the accounts of each, and the label of "no analytic account".
 INCOME_REPORT = "income"
@@ -77,15 +77,26 @@ def _movements(books: Books, asked: DataFrame, reports: DataFrame) -> DataFrame:
     first = reports.agg(F.min("date_start")).scalar()
     last = reports.agg(F.max("date_end")).scalar()
     accounts = asked.select("company_id", "account_id").distinct()
+    lines = books.lines.where((F.col("parent_state") == "posted") & F.col("date").between(first, last))
+    if books.month is not None:
+        # The files of other months are pruned by this side, also those between two periods.
+        lines = lines.join(_asked_months(reports, books.month), books.month, "left_semi")
     return (
-        books.lines.where((F.col("parent_state") == "posted") & F.col("date").between(first, last))
-        .select("company_id", "account_id", "analytic_account_id", "date", "debit", "credit")
+        lines.select("company_id", "account_id", "analytic_account_id", "date", "debit", "credit")
         .join(accounts, ["company_id", "account_id"], "left_semi")
         .groupBy("company_id", "account_id", "analytic_account_id", "date")
         .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("moves"))
     )
 
 
+def _asked_months(reports: DataFrame, name: str) -> DataFrame:
+    """The months in which some report's period lies, at most those of the calendar."""
+    first, last = F.trunc("date_start", "month"), F.trunc("date_end", "month")
+    periods = reports.where("date_start <= date_end").select(first.alias("first"), last.alias("last")).distinct()
+    months = periods.select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("first"))
+    return months.distinct().select(month_of("first").alias(name))
+
+
 SERIES = ["company_id", "account_id", "analytic_account_id"]
 AMOUNTS = ["debit", "credit", "moves"]
 

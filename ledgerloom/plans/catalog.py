@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ledgerloom.functions.amounts import money
 from ledgerloom.operators import ledger, pivot, reports, statements
 from ledgerloom.plans import definitions as d
-from ledgerloom.sources import report_store, standing, text_index, tpch, views
-from ledgerloom.sources.books import Books, report_definitions
+from ledgerloom.sources import pages, report_store, sql_functions, standing, text_index, tpch, views
+from ledgerloom.sources.books import Books, by_month, report_definitions
 from ledgerloom.sources.schemas import MONEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ AS_OF = "1997-12-31"
 PAGE = 80
 LATE, VERY_LATE, LATER_PERIOD = ("1995-06-01", "1996-01-31"), "1998-05-01", ("1998-06-10", "1998-07-31")
 HOT_ACCOUNT, HOT_DAY, HOT_SPAN = 2, "1996-06-30", 10 * tpch.IDS_PER_ORDER
+PAGE_NUMBER, PAGE_RANGE = 57, 5_000
 ANALYTIC_CODES = [f"AN{n:09d}" for n in range(1, 8)]
 
 
@@ -186,6 +187,42 @@ def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_lines(tpch.tpch_books(spark, sf_dir), report_definitions(spark, path))
 
 
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by its number from the stored ledger."""
+    path = report_store.scratch_table(spark, "pages")
+    pages.build(tpch.tpch_books(spark, sf_dir), path, PAGE_RANGE)
+    return pages.page(spark, path, PAGE_NUMBER, PAGE)
+
+
+def _page_on_hot_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page where the day with a third of all lines begins, from the stored ledger."""
+    path = report_store.scratch_table(spark, "pages")
+    pages.build(_with_hot_day(tpch.tpch_books(spark, sf_dir)), path, PAGE_RANGE)
+    return pages.page_after(spark, path, HOT_ACCOUNT, HOT_DAY, 0, PAGE)
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on periods far apart, from lines stored by month."""
+    books = by_month(tpch.tpch_books(spark, sf_dir), report_store.scratch_table(spark, "by_month"))
+    return reports.report_lines(books, d.definitions(spark, d.SPARSE))
+
+
+def _all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pivot with a column for each label in the data, from blocks of 64."""
+    return pivot.pivot_blocks(tpch.tpch_books(spark, sf_dir), report_store.scratch_table(spark, "pivot"), 64).whole()
+
+
+def _function(call: str, company: int | None = None) -> Query:
+    """A statement by its SQL function, after the session's company was set."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql_functions.register_functions(tpch.tpch_books(spark, sf_dir), "books_")
+        if company is not None:
+            spark.sql(f"SET VARIABLE books_default_company = {company}")
+        return spark.sql(f"SELECT * FROM books_{call}")
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "ledger_base": _on_books(ledger.ledger_base),
     "general_ledger": _on_books(ledger.general_ledger),
@@ -222,6 +259,8 @@ QUERIES: dict[str, Query] = {
     "ledger_between_stored_balances": _standing(PERIOD, fold=False),
     "ledger_between_folded_balances": _standing(LATER_PERIOD, fold=True),
     "ledger_next_page": _on_books(partial(ledger.ledger_next_page, account_id=7, date=AS_OF, id=0, size=PAGE)),
+    "ledger_page_stored": _page,
+    "ledger_page_on_hot_day": _page_on_hot_day,
     "ledger_search_account_text": _on_books(lambda b: ledger.ledger_search(b, account="10110000")),
     "income_statement": _on_books(partial(statements.income_statement, today=TODAY)),
     "income_statement_period": _on_books(
@@ -250,6 +289,9 @@ QUERIES: dict[str, Query] = {
     "cash_flow_list": _on_books(
         lambda b: statements.list_view(statements.cash_flow(b, today=TODAY), statements.CASH_FLOW_LIST_COLUMNS)
     ),
+    "income_statement_function": _function(f"income_statement(NULL, DATE '{PERIOD[0]}', DATE '{PERIOD[1]}')"),
+    "balance_sheet_function": _function(f"balance_sheet(as_of => DATE '{AS_OF}', scope => 'company')"),
+    "cash_flow_function": _function(f"cash_flow(date_start => DATE '{PERIOD[0]}', date_end => DATE '{PERIOD[1]}')", company=3),
     "report_validation": _validation,
     "report_lines": partial(_batch, d.MIXED),
     "report_income": partial(_batch, d.of_type("income")),
@@ -258,6 +300,7 @@ QUERIES: dict[str, Query] = {
     "report_lines_flat": partial(_batch, d.FLAT),
     "report_lines_zero": partial(_batch, d.ZERO),
     "report_lines_analytic_filter": partial(_batch, d.ANALYTIC),
+    "report_lines_sparse": _sparse,
     "report_totals": _totals,
     "report_store": _store,
     "report_refresh": _refresh,
@@ -267,6 +310,7 @@ QUERIES: dict[str, Query] = {
     "report_lines_from_files": _from_files,
     "report_pivot_json": _on_books(pivot.report_pivot_json),
     "report_pivot_variant": _on_books(_variant),
+    "report_pivot_all_labels": _all_labels,
     "balance_sheet_observed": _observed,
     "report_pivot": _on_books(partial(pivot.report_pivot, codes=ANALYTIC_CODES)),
 }

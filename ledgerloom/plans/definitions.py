@@ -52,6 +52,13 @@ ANALYTIC = [
     (2, "Two analytic accounts, flat", "balance", *_year(1996, 1998), [1, 2, 3, 4, 5], [1, 6], True, False),
     (3, "All analytic accounts", "cashflow", *_year(1996, 1998), [1, 2, 3, 4, 5], [], False, True),
 ]
+# Periods far apart, with years in between that no report asks for.
+SPARSE = [
+    (1, "Early income", "income", date(1994, 2, 10), date(1994, 4, 5), [1, 2, 3, 4, 5], [], False, True),
+    (2, "Late balance", "balance", date(1998, 3, 1), date(1998, 3, 31), [2, 4], [], True, False),
+    (3, "Late cash", "cashflow", date(1998, 3, 20), date(1998, 5, 2), [1, 3], [], False, True),
+    (4, "Period that ends before it starts", "income", date(1997, 5, 1), date(1996, 1, 1), [1], [], True, False),
+]
 STORED = [one for one in MIXED if one[2] != "tax"]
 # The same reports after a change: 1 and 4 move, 2 becomes empty, 5 gets an unknown type.
 CHANGED = {1: ("income", *_year(1997)), 2: ("balance", *_year(1950)), 4: ("income", *_year(1998)), 5: ("tax", *_year(1998))}

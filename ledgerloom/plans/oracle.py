@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ledgerloom.plans import definitions as d
 from ledgerloom.plans.catalog import (
-    ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, LATER_PERIOD, PAGE, PERIOD, TODAY,
+    ANALYTIC_CODES, AS_OF, HOT_ACCOUNT, HOT_DAY, LATER_PERIOD, PAGE, PAGE_NUMBER, PERIOD, TODAY,
 )
 
 # Titles and column lists, as literals of their own, so that they check those of the library.
@@ -378,6 +378,20 @@ PIVOT_COLUMNS = ",\n  ".join(
     for code in ANALYTIC_CODES
 )
 
+PIVOT_ALL = _sql(f"""SELECT a.id AS account_id, a.code AS account_code, a.name AS account_name, t.company_id,
+  p.* EXCLUDE (account_id, company_id), t.balance_without_analytic, t.total_balance, c.currency_id
+FROM (
+  SELECT account_id, company_id, {_money('sum(balance) FILTER (WHERE analytic IS NULL)', 'balance_without_analytic')},
+    {_money('sum(balance)', 'total_balance')}
+  FROM by_code GROUP BY account_id, company_id) t
+JOIN account_account a ON a.id = t.account_id
+JOIN res_company c ON c.id = t.company_id
+LEFT JOIN (PIVOT coded ON code USING any_value(amount) GROUP BY account_id, company_id) p
+  ON p.account_id = t.account_id AND p.company_id = t.company_id""", BALANCES, """
+coded AS (
+  SELECT account_id, company_id, code, CAST(sum(balance) AS DECIMAL(28,2)) AS amount
+  FROM by_code WHERE code IS NOT NULL GROUP BY account_id, company_id, code)""")
+
 ORACLE: dict[str, str] = {
     "ledger_base": _ledger(f"SELECT {BASE_COLUMNS} FROM ledger"),
     "general_ledger": _ledger("SELECT * FROM ledger"),
@@ -436,6 +450,12 @@ FROM ledger GROUP BY account_id""", GAPS, LEDGER.replace("account_move_line", "g
    OR (account_id = 7 AND (date IS NULL OR date > DATE '{AS_OF}' OR (date = DATE '{AS_OF}' AND id > 0)))
 ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE}"""
     ),
+    "ledger_page_stored": _ledger(
+        f"SELECT * FROM ledger ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE} OFFSET {PAGE * PAGE_NUMBER}"
+    ),
+    "ledger_page_on_hot_day": _sql(f"""SELECT * FROM ledger WHERE account_id > {HOT_ACCOUNT}
+   OR (account_id = {HOT_ACCOUNT} AND (date IS NULL OR date >= DATE '{HOT_DAY}'))
+ORDER BY account_id NULLS LAST, date NULLS LAST, id LIMIT {PAGE}""", HOT_LINES, LEDGER.replace("account_move_line", "hot_line")),
     "ledger_search_account_text": _ledger("""SELECT ledger.* FROM ledger JOIN account_account a ON a.id = account_id
 WHERE a.code ILIKE '%10110000%' OR a.name ILIKE '%10110000%'"""),
     "income_statement": _income(),
@@ -453,6 +473,9 @@ WHERE a.code ILIKE '%10110000%' OR a.name ILIKE '%10110000%'"""),
     "cash_flow_of_company": f"SELECT * FROM ({_cash_flow(company=True)}) AS s WHERE company_id = 3",
     "cash_flow_period": _cash_flow_period(),
     "cash_flow_list": _list(_cash_flow(), CASH_FLOW_LIST),
+    "income_statement_function": _income(PERIOD),
+    "balance_sheet_function": _balance(AS_OF),
+    "cash_flow_function": f"SELECT * FROM ({_cash_flow_period()}) AS s WHERE company_id = 3",
     "report_validation": VALIDATION,
     "report_lines": _report(d.MIXED),
     "report_income": _report(d.of_type("income")),
@@ -461,6 +484,7 @@ WHERE a.code ILIKE '%10110000%' OR a.name ILIKE '%10110000%'"""),
     "report_lines_flat": _report(d.FLAT),
     "report_lines_zero": _report(d.ZERO),
     "report_lines_analytic_filter": _report(d.ANALYTIC),
+    "report_lines_sparse": _report(d.SPARSE),
     "report_totals": _report_totals(),
     "report_store": _report(d.MIXED),
     "report_refresh": _report(d.REFRESHED),
@@ -473,6 +497,7 @@ GROUP BY ALL""", *_report_ctes(d.REFRESHED)),
     "report_lines_from_files": _report(d.MIXED),
     "report_pivot_json": _pivot(PIVOT_JSON),
     "report_pivot": _pivot(PIVOT_COLUMNS),
+    "report_pivot_all_labels": PIVOT_ALL,
     "report_pivot_variant": _pivot(PIVOT_COLUMNS),
     "balance_sheet_observed": f"""SELECT total_assets AS sheet_assets, total_liabilities_equity AS sheet_claims, lines,
   total_assets, total_liabilities_equity, difference, period_result, unexplained

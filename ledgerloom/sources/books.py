@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.sources import schemas
 
@@ -17,6 +17,9 @@ class Books:
     ``complete`` says that every line has an existing entry and an existing company, as
     where foreign keys enforce it. Joins that only check this are then left out. Without
     it they are made, and lines that lack either are not in the ledger.
+
+    ``month`` names a further column of ``lines`` by which their files are partitioned, with the month
+    of their date as ``month_of`` writes it. Reports read the months that they ask for, and no other.
     """
 
     lines: DataFrame
@@ -25,6 +28,7 @@ class Books:
     companies: DataFrame
     analytics: DataFrame
     complete: bool = False
+    month: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -41,8 +45,15 @@ TABLES = {
 REPORT_DEFINITIONS = ("report_definition", schemas.REPORTS)
 
 
-def _scan(spark: SparkSession, directory: str, table: tuple, fmt: str) -> DataFrame:
+def month_of(date: str | Column) -> Column:
+    """A month as the files are partitioned by it: ``yyyy-MM``."""
+    return F.date_format(date, "yyyy-MM")
+
+
+def _scan(spark: SparkSession, directory: str, table: tuple, fmt: str, *also: str) -> DataFrame:
+    """``also`` names columns that partition the files, as text."""
     name, schema = table
+    schema = schemas.T.StructType([*schema, *(schemas.T.StructField(one, schemas.T.StringType()) for one in also)])
     return schemas.conform(spark.read.format(fmt).load(f"{directory}/{name}"), schema)
 
 
@@ -71,11 +82,22 @@ def report_definitions(spark: SparkSession, directory: str, fmt: str = "parquet"
 
 
 def load_books(
-    spark: SparkSession, directory: str, fmt: str = "parquet", complete: bool = False
+    spark: SparkSession, directory: str, fmt: str = "parquet", complete: bool = False, month: str | None = None
 ) -> Books:
-    """Books from the files under ``<directory>/account_move_line`` and its four siblings."""
-    tables = {kind: _scan(spark, directory, table, fmt) for kind, table in TABLES.items()}
-    return Books(**tables, complete=complete)
+    """Books from the files under ``<directory>/account_move_line`` and its four siblings; ``month`` names
+    the column that partitions the lines by month, if one does."""
+    tables = {kind: _scan(spark, directory, table, fmt) for kind, table in TABLES.items() if kind != "lines"}
+    journal = _scan(spark, directory, TABLES["lines"], fmt, *([month] if month else []))
+    return Books(lines=journal, **tables, complete=complete, month=month)
+
+
+def by_month(books: Books, directory: str, month: str = "month") -> Books:
+    """The same books with their lines written below ``directory``, partitioned by month; lines without date
+    have a partition of their own. A month's lines may take several files."""
+    name = TABLES["lines"][0]
+    rows = books.lines.select(*schemas.LINES.names, month_of("date").alias(month))
+    rows.hint("rebalance", F.col(month)).write.partitionBy(month).parquet(f"{directory}/{name}")
+    return replace(books, lines=_scan(books.spark, directory, TABLES["lines"], "parquet", month), month=month)
 
 
 def table_books(spark: SparkSession, database: str = "default", complete: bool = False) -> Books:

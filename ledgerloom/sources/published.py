@@ -73,12 +73,14 @@ class Published:
         holding = (self.entries() if entries is None else entries).select(GENERATION, self.part.name)
         return self._stored().join(holding, [GENERATION, self.part.name]).drop(GENERATION)
 
-    def write(self, rows: DataFrame) -> str:
-        """Add the rows as a generation of its own, which no version names yet."""
+    def write(self, rows: DataFrame, arranged: bool = False) -> str:
+        """Add the rows as a generation of its own, which no version names yet. Rows that are ``arranged``
+        by part already are not shuffled for it."""
         generation = f"g{uuid.uuid4().hex}"
         name = self.part.name
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in [*self.schema, self.part]])
-        typed.hint("rebalance", F.col(name)).write.partitionBy(name).parquet(f"{self.data}/{GENERATION}={generation}")
+        placed = typed if arranged else typed.hint("rebalance", F.col(name))
+        placed.write.partitionBy(name).parquet(f"{self.data}/{GENERATION}={generation}")
         return generation
 
     def written(self, generation: str) -> DataFrame:
