@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.amounts import (
-    contains_ignoring_case, day, debit_less_credit, money, within,
+    contains_ignoring_case, day, debit_less_credit, money,
 )
 from ledgerloom.sources.books import Books
 
@@ -274,9 +274,9 @@ def ledger_between(books: Books, date_start=None, date_end=None, carried: DataFr
     ``sources.standing`` stores them, earlier lines are not read either.
     """
     if date_end is not None:
-        books = replace(books, lines=books.lines.where(within(F.col("date"), None, date_end)))
+        books = replace(books, lines=books.between(None, date_end))
     since = None if date_start is None else day(date_start)
-    period = replace(books, lines=books.lines.where(within(F.col("date"), date_start, None)))
+    period = replace(books, lines=books.between(date_start, None))
     known = since is not None and carried is not None
     openings = _opening_balances(period if known else books, period, ID_SPAN, since, carried)
     return _with_balance(period, ledger_base(period), openings, ID_SPAN)
@@ -354,4 +354,4 @@ def move_of_line(books: Books, chosen: DataFrame | Column | Iterable[int]) -> Da
         lines = lines.where(F.col("id").isin(list(chosen)))
     # An entry is wanted once, however many of its lines were chosen.
     entries = lines.select("move_id").distinct()
-    return books.lines.join(entries, "move_id", "left_semi").select(books.lines.columns)
+    return books.lines.join(entries, "move_id", "left_semi").select(*[c for c in books.lines.columns if c != books.month])

@@ -90,11 +90,14 @@ def _movements(books: Books, asked: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def _asked_months(reports: DataFrame, name: str) -> DataFrame:
-    """The months in which some report's period lies, at most those of the calendar."""
+    """The months in which some report's period lies. They are sent to all tasks, as Spark prunes files only by
+    what it broadcasts: at most the 120,000 months that dates can name, a few megabytes, however many reports.
+    """
     first, last = F.trunc("date_start", "month"), F.trunc("date_end", "month")
     periods = reports.where("date_start <= date_end").select(first.alias("first"), last.alias("last")).distinct()
     months = periods.select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("first"))
-    return months.distinct().select(month_of("first").alias(name))
+    # The last filter holds for every row; it tells Spark that this side may prune files.
+    return F.broadcast(months.distinct().select(month_of("first").alias(name)).where(F.col(name) >= ""))
 
 
 SERIES = ["company_id", "account_id", "analytic_account_id"]

@@ -49,7 +49,7 @@ def income_statement(
     relevant = books.accounts.where(m.is_type(m.INCOME, m.EXPENSE)).select(F.col("id").alias("account_id"))
     # Only lines of these accounts, and four columns of them, go to meet the entries.
     lines = (
-        books.lines.where(within(F.col("date"), date_start, date_end))
+        books.between(date_start, date_end)
         .select("move_id", "account_id", COMPANY_KEY, debit_less_credit().alias("amount"))
         .join(relevant, "account_id", "left_semi")
         .join(posted, "move_id", "left_semi")
@@ -201,7 +201,7 @@ def _measure_totals(accounts: DataFrame, measures: dict[str, m.Measure], scope:
 def _balance_accounts(books: Books, as_of, scope: str) -> DataFrame:
     if scope not in (GLOBAL, COMPANY):
         raise ValueError(f"unknown scope {scope!r}")
-    lines = books.lines.where((F.col("parent_state") == "posted") & within(F.col("date"), None, as_of))
+    lines = books.between(None, as_of).where(F.col("parent_state") == "posted")
     keys = [COMPANY_KEY] if scope == COMPANY else []
     return _account_totals(books, lines, keys, amount=debit_less_credit())
 
@@ -243,7 +243,7 @@ def _cash_flow_all_time(books: Books, scope: str = GLOBAL) -> DataFrame:
 
 
 def _cash_flow_period(books: Books, date_start, date_end) -> DataFrame:
-    lines = books.lines.where((F.col("parent_state") == "posted") & within(F.col("date"), None, date_end))
+    lines = books.between(None, date_end).where(F.col("parent_state") == "posted")
     inside = within(F.col("date"), date_start, date_end)
     accounts = _account_totals(
         books, lines, [COMPANY_KEY],

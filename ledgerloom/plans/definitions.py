@@ -54,7 +54,7 @@ ANALYTIC = [
 ]
 # Periods far apart, with years in between that no report asks for.
 SPARSE = [
-    (1, "Early income", "income", date(1994, 2, 10), date(1994, 4, 5), [1, 2, 3, 4, 5], [], False, True),
+    (1, "Early income", "income", date(1995, 2, 10), date(1995, 4, 5), [1, 2, 3, 4, 5], [], False, True),
     (2, "Late balance", "balance", date(1998, 3, 1), date(1998, 3, 31), [2, 4], [], True, False),
     (3, "Late cash", "cashflow", date(1998, 3, 20), date(1998, 5, 2), [1, 3], [], False, True),
     (4, "Period that ends before it starts", "income", date(1997, 5, 1), date(1996, 1, 1), [1], [], True, False),

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.functions.amounts import day, within
 from ledgerloom.sources import schemas
 
 
@@ -19,7 +20,7 @@ class Books:
     it they are made, and lines that lack either are not in the ledger.
 
     ``month`` names a further column of ``lines`` by which their files are partitioned, with the month
-    of their date as ``month_of`` writes it. Reports read the months that they ask for, and no other.
+    of their date as ``month_of`` writes it. Then reports and periods read the files of their months, and no others.
     """
 
     lines: DataFrame
@@ -34,6 +35,15 @@ class Books:
     def spark(self) -> SparkSession:
         return self.lines.sparkSession
 
+    def between(self, date_start=None, date_end=None) -> DataFrame:
+        """The lines of a period, both ends included and optional; with any end given, undated lines are out."""
+        lines = self.lines.where(within(F.col("date"), date_start, date_end))
+        if self.month is None:
+            return lines
+        first, last = (None if end is None else month_of(day(end)) for end in (date_start, date_end))
+        lines = lines if first is None else lines.where(F.col(self.month) >= first)
+        return lines if last is None else lines.where(F.col(self.month) <= last)
+
 
 TABLES = {
     "lines": ("account_move_line", schemas.LINES),
