@@ -35,9 +35,11 @@ from ledgerloom.llm import words as W
 from ledgerloom.llm.storage import shared_table
 
 SIZE = 10
+#: Positions by which the words of a window may stray in the query's proximity matches.
+SLOP = 2
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT = 8 << 20
-#: Free positions between two documents of a segment; slop and window size together must stay below.
+#: Free positions between two documents of a segment; twice the slop and the window size together must stay below.
 GAP = 64
 #: Bytes of benchmark text that are searched for at once.
 PHRASES = 4 << 20
@@ -127,8 +129,8 @@ class Phrases:
         self.vocabulary, self.word = np.unique(terms, return_inverse=True)
 
     def matches(self, terms: np.ndarray, postings: list[bytes], slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Number of a phrase, first positions of its proximity matches, where its rarest word is in
-        them, and which of them are exact."""
+        """Number of a phrase, first positions of its proximity matches, a position by which each one's
+        document is told, and which of them are exact."""
         at = np.minimum(np.searchsorted(terms, self.vocabulary), max(len(terms) - 1, 0))
         here = terms[at] == self.vocabulary if len(terms) else np.zeros(len(self.vocabulary), bool)
         lacking = np.concatenate([[0], np.cumsum(~here[self.word])])
@@ -140,8 +142,10 @@ class Phrases:
                     lists[word] = decode(postings[at[word]])
             order = sorted(range(len(own)), key=lambda k: len(lists[own[k]]))
             found = lists[own[order[0]]] - order[0]
+            if slop:
+                found = np.unique(found[:, None] + np.arange(-slop, slop + 1))
             exact = np.ones(len(found), bool)
-            for k in order[1:]:
+            for k in order if slop else order[1:]:
                 if not len(found):
                     break
                 other = lists[own[k]] - k
@@ -150,7 +154,7 @@ class Phrases:
                 there = other[np.minimum(np.searchsorted(other, found), len(other) - 1)] == found
                 found, exact = found[good], (exact & there)[good]
             if len(found):
-                yield int(p), found, found + order[0], exact
+                yield int(p), found, found + order[0] + slop, exact
 
 
 def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
@@ -167,12 +171,12 @@ def _search_block(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         for p, found, anchor, exact in phrases.matches(terms.column("term").to_numpy(), terms.column("postings").to_pylist(), slop):
             owner = np.searchsorted(base, anchor, side="right") - 1
             name, length = phrases.names[phrases.item[p]], int(phrases.length[p])
-            for doc, position, same in zip(owner.tolist(), found.tolist(), exact.tolist()):
+            for doc in np.unique(owner).tolist():
                 near.setdefault(doc, set()).add(name)
-                if same:
-                    items.setdefault(doc, set()).add(name)
-                    own, start = spans.setdefault(doc, []), position - int(base[doc])
-                    own.append((start, start + length))
+            for doc, position in zip(owner[exact].tolist(), found[exact].tolist()):
+                items.setdefault(doc, set()).add(name)
+                own, start = spans.setdefault(doc, []), position - int(base[doc])
+                own.append((start, start + length))
         as_list = lambda held: [sorted(x for x in held.get(i, ()) if x is not None) for i in range(n)]
         ranges = [[{"first": a, "last": b} for a, b in _merged(spans.get(i, []))] for i in range(n)]
         return pa.table([docs.column("segment"), docs.column("base"), docs.column("doc"), docs.column("n_words"), pa.array(as_list(items), kinds.field("items").type),
@@ -202,8 +206,8 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int =
 
     The phrases of a block of the benchmark, at most about ``block`` bytes of text, are sent to
     the tasks; a larger benchmark takes several passes over the index's matching lists."""
-    if not 0 <= slop < GAP - size:
-        raise ValueError(f"slop and size together must stay below {GAP}")
+    if not 0 <= 2 * slop < GAP - size:
+        raise ValueError(f"twice the slop and size together must stay below {GAP}")
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block) or 1
@@ -231,16 +235,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.concat_ws(",", "near_items"), 256).alias("near_items_sha256"),
     )
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# Proximity: the places that a phrase's rarest word allows, each held against all the other words.
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
@@ -249,8 +255,19 @@ n AS (SELECT DISTINCT len(phrase) AS n FROM p),
 w AS (SELECT r, n, k, ws[k:k + n - 1] AS phrase FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, n WHERE len(ws) >= n)),
 hit AS (SELECT r, n, k, item FROM w JOIN p USING (phrase)),
 words AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(k, k + n)) AS i FROM hit) GROUP BY r),
-items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY r)
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY r),
+o AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM d),
+f AS (SELECT word, count(*) AS n FROM o GROUP BY word),
+a AS (SELECT item, phrase, arg_min(k, n) AS k, arg_min(word, n) AS word
+    FROM (SELECT item, phrase, generate_subscripts(phrase, 1) AS k, unnest(phrase) AS word FROM p) JOIN f USING (word)
+    GROUP BY item, phrase HAVING count(*) = len(phrase)),
+c AS (SELECT DISTINCT r, item, phrase, i - k + unnest(range(-{SLOP}, {SLOP + 1})) AS place FROM a JOIN o USING (word)),
+g AS (SELECT r, item, phrase, place, ws[greatest(1, place + 1 - {SLOP}):greatest(0, place + len(phrase) + {SLOP})] AS own FROM c JOIN d USING (r)),
+m AS (SELECT r, item, place, phrase, ws FROM g JOIN d USING (r) WHERE list_has_all(own, phrase)),
+near AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM m
+    WHERE len(list_filter(range(1, len(phrase) + 1), lambda k: NOT list_contains(ws[greatest(1, place + k - {SLOP}):greatest(0, place + k + {SLOP})], phrase[k]))) = 0 GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
-    sha256(coalesce(s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+    sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated,
+    CAST(coalesce(near.n, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near.s, '')) AS near_items_sha256
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
 """

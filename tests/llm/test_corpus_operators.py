@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import brute
 import conftest
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -289,26 +290,44 @@ def test_repeated_and_null_ids_stay_apart_in_any_number_of_blocks(spark, monkeyp
 
 
 def near(words, phrase, slop):
-    """Whether every word of the phrase is within ``slop`` of its place for some anchor, the phrase's rarest word."""
-    places = [[i - k for i, w in enumerate(words) if w == p] for k, p in enumerate(phrase)]
-    rarest = min(range(len(phrase)), key=lambda k: len(places[k]))
-    return any(all(any(abs(x - a) <= slop for x in own) for own in places) for a in places[rarest])
+    """Whether at some place every word of the phrase is within ``slop`` of where the place puts it."""
+    return any(
+        all(p in words[max(0, at + k - slop):max(0, at + k + slop + 1)] for k, p in enumerate(phrase))
+        for at in range(-slop, len(words) + slop)
+    )
 
 
-def test_proximity(spark):
+@pytest.mark.parametrize("segment, slop", [(1, 2), (200, 2), (1 << 20, 2), (1 << 20, 1)])
+def test_proximity(spark, segment, slop):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 14)))) for i in range(60)]
-    items = [(str(i), " ".join(rng.sample("abcdef", 4))) for i in range(12)]
+    items = [(str(i), " ".join(rng.sample("abcdef", 4))) for i in range(12)] + [("twice", "a b a"), ("short", "c")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    # one document per segment, so that the rarest word is that of the document
-    index = decontaminate.build_index(frame, segment=1)
-    found = {r.doc: r for r in decontaminate.search(index, spark.createDataFrame(items, "item_id string, text string"), slop=2).collect()}
+    index = decontaminate.build_index(frame, segment=segment)
+    found = {r.doc: r for r in decontaminate.search(index, spark.createDataFrame(items, "item_id string, text string"), slop=slop).collect()}
     for i, text in docs:
         words = text.split()
-        assert set(found[i].near_items) == {k for k, p in items if near(words, p.split(), 2)}
+        assert set(found[i].near_items) == {k for k, p in items if near(words, p.split(), slop)}
         assert set(found[i]["items"]) == {k for k, p in items if f" {p} " in f" {text} "} <= set(found[i].near_items)
 
 
+def test_near_items_of_the_query_same_as_sql(spark, tmp_path):
+    phrase = "one two three four five six seven eight nine ten".split()
+    swapped, gap, far = phrase.copy(), [*phrase[:5], "x", "y", *phrase[5:]], [*phrase[:5], "v", "w", "x", "y", "z", *phrase[5:]]
+    swapped[2], swapped[4] = swapped[4], swapped[2]
+    docs = [(i, None if words is None else " ".join(words)) for i, words in enumerate([phrase, swapped, gap, far, phrase[1:], None, [], swapped + phrase])]
+    spark.createDataFrame([*docs, docs[1], (None, docs[1][1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("p", " ".join(phrase)), ("q", "ten ONE"), (None, "nine"), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = decontaminate.op1_decontaminate(spark, str(tmp_path))
+    found = sorted(map(tuple, df.collect()), key=str)
+    assert found == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({decontaminate.ORACLE})").fetchall(), key=str)
+    near_items = {r[0]: r[6] for r in found}
+    assert [near_items[i] for i in range(8)] == [1, 1, 1, 0, 0, 0, 0, 2]
+
+
 def test_decontamination_of_edge_cases(spark, edge, empty):
     items = spark.createDataFrame([("x", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), ("y", "中文")], "item_id string, text string")
     rows = decontaminate.decontaminate(edge, items).collect()
