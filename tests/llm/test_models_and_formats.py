@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, language_id, lm_scoring, quality_model, sharding
 from ledgerloom.llm import words as W
@@ -113,6 +114,46 @@ def test_conversations_of_edge_cases(spark):
     assert chat.digests(chat.format_records(records.limit(0))).count() == 0
 
 
+TOLERANT = [
+    # record, layout, turns, paths left aside
+    ({"messages": []}, "no messages", [], []),
+    ({"conversations": None, "id": 5}, "no shared turns", [], ["id"]),
+    ({"messages": [{"role": "user", "content": "q", "name": "Ann"}], "id": 3, "meta": {"a": [1]}}, "messages", [("user", "q")], ["id", "messages[].name", "meta", "meta.a", "meta.a[]"]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a<"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]},
+     "messages in parts", [("user", "a<b"), ("assistant", "c")], []),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}]}]}, None, [], []),
+    ([{"role": "user", "content": "q"}, {"role": "assistant", "content": None}], "bare messages", [("user", "q"), ("assistant", "")], []),
+    ([{"from": "human", "value": "q", "weight": 0}], "bare shared turns", [("user", "q")], ["[].weight"]),
+    ([], None, [], []), ({}, None, [], []), ([1], None, [], []), ({"messages": "text"}, None, [], []), ({"messages": {"role": "user"}}, None, [], []),
+    ({"prompt": "p", "response": "r", "id": 1}, "response", [("user", "p"), ("assistant", "r")], ["id"]),
+    ({"prompt": "p", "response": "r", "output": "o"}, None, [], []),
+]
+
+
+def test_layouts_with_more_or_fewer_fields(spark):
+    rows = [(i, json.dumps(r), "own", "mine") for i, (r, *_) in enumerate(TOLERANT)]
+    turns = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string, first string, last string")).withColumn("turn", F.lit(0)).cache()
+    found = defaultdict(list)
+    for r in turns.orderBy("conv_id", "nth").collect():
+        assert (r["first"], r["last"]) == ("own", "mine")
+        found[r.conv_id].append(r)
+    for i, (_, layout, expected, ignored) in enumerate(TOLERANT):
+        assert {r.layout for r in found[i]} == {layout} and all(r.ignored == ignored for r in found[i])
+        assert chat.read_back("".join(r.formatted or "" for r in found[i])) == expected
+    for r in chat.digests(turns).collect():
+        _, layout, expected, ignored = TOLERANT[r.conv_id]
+        assert (r.n_turns, r.n_unknown, r.n_ignoring) == (len(expected), layout is None, bool(ignored))
+    turns.unpersist()
+
+
+def test_the_query_meets_several_layouts(spark, sf_dir, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(chat, "digests", lambda turns: seen.setdefault("turns", turns).withColumn("n_ignoring", F.lit(0)))
+    chat.op7_chat_format(spark, sf_dir)
+    layouts = {r.layout: r.n for r in seen["turns"].groupBy("layout").agg(F.count("*").alias("n")).collect()}
+    assert set(layouts) == {"turn row", "messages", "shared turns", "messages in parts", "bare messages"}
+
+
 # language identification
 
 def slopes(weights, loss, grads, rng, pick=None, step=1e-4):
