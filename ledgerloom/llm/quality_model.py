@@ -7,8 +7,10 @@ with their probability. A host's rate is shrunk to the mean of all hosts, a path
 of its host, each with a beta prior whose strength comes from how much the hosts, or the paths
 around their hosts, differ; so sparse sites say little. A document's score is its own log odds
 plus the log odds by which the rest of its path and host (itself left out) differ from the mean.
-A second regression on the same features has toxicity as its target; a document is kept if its
-score reaches ``min_score`` and its probability of being toxic stays below ``max_toxic``.
+A second regression on the same features has toxicity as its target. What is toxic is a few rare
+words, so there a word's weight is a multiple of its own log odds, shrunk towards those of all
+documents (``PRIOR``): a word that only toxic documents hold counts at once, one seen once or twice
+hardly does. A document is kept if its score reaches ``min_score`` and its probability of being toxic stays below ``max_toxic``.
 
 Null text is an empty text. Null hosts and null paths are each a group of their own. A label that
 is null is none; repeated labels of an id are averaged; repeated documents count each for itself.
@@ -33,6 +35,8 @@ SAMPLE = 4000
 #: Hashed words; steps, rate and penalties of the regression.
 BUCKETS, STEPS, RATE, PENALTY = 1 << 14, 300, 0.05, 3e-4
 STATS = 8
+#: Documents of the mean rate that are added to those with a word when its log odds of toxicity are taken.
+PRIOR = 5.0
 #: Few labelled documents are toxic, so a probability well over their share tells enough.
 MIN_SCORE, MAX_TOXIC = 0.5, 0.25
 
@@ -67,29 +71,35 @@ class Classifier:
         dense = np.clip((stats - self.mean) / self.scale, -5, 5) @ self.dense
         return self.bias + dense + np.bincount(owner, self.words[bucket], len(stats))
 
-    def fit(self, stats: np.ndarray, owner: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Classifier:
-        """Adam on the penalised mean log loss, over all examples in each step."""
+    def fit(self, stats: np.ndarray, owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, prior: float | None = None) -> Classifier:
+        """Adam on the penalised mean log loss, over all examples in each step. With ``prior``, the
+        weights of words are multiples of their shrunken log odds."""
         if len(np.unique(y)) < 2:
             return self
         self.mean, self.scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6)
         x = np.clip((stats - self.mean) / self.scale, -5, 5)
         self.bias = float(np.log(y.mean() / (1 - y.mean())))
+        unit = 1.0
+        if prior is not None:
+            rate = (np.bincount(bucket, y[owner], BUCKETS) + prior * y.mean()) / (np.bincount(bucket, minlength=BUCKETS) + prior)
+            unit = np.log(rate / (1 - rate)) - self.bias
         theta = np.concatenate([[self.bias], self.dense, self.words])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
-            self.bias, self.dense, self.words = theta[0], theta[1:STATS + 1], theta[STATS + 1:]
+            self.bias, self.dense, self.words = theta[0], theta[1:STATS + 1], theta[STATS + 1:] * unit
             error = (1 / (1 + np.exp(-self.log_odds(stats, owner, bucket))) - y) / len(y)
-            grad = np.concatenate([[error.sum()], x.T @ error, np.bincount(bucket, error[owner], BUCKETS)])
+            grad = np.concatenate([[error.sum()], x.T @ error, np.bincount(bucket, error[owner], BUCKETS) * unit])
             grad[1:] += PENALTY * theta[1:]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.bias, self.dense, self.words = float(theta[0]), theta[1:STATS + 1], theta[STATS + 1:]
+        self.bias, self.dense, self.words = float(theta[0]), theta[1:STATS + 1], theta[STATS + 1:] * unit
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifier:
-    """A classifier from at most ``most`` of the labelled documents, by a hash of their ids. ``docs``: id, t; ``labels``: id, good (0 to 1)."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, prior: float | None = None) -> Classifier:
+    """A classifier from at most ``most`` of the labelled documents, by a hash of their ids; of rows that
+    repeat such an id, only as many as make twice that number. ``docs``: id, t; ``labels``: id, good (0 to 1)."""
     chosen = labels.where("good IS NOT NULL").orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)
     rows = docs.join(F.broadcast(chosen), "id")
 
@@ -100,16 +110,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Classifier:
                 cuts = np.searchsorted(owner, np.arange(1, len(column)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, len(column)), batch.column(2).slice(first, len(column)), pa.array(list(stats), pa.list_(pa.float64())),
-                    pa.array(np.split(bucket, cuts), pa.list_(pa.int64()))], ["id", "good", "stats", "words"])
+                    pa.array(np.split(bucket.astype(np.int32), cuts), pa.list_(pa.int32()))], ["id", "good", "stats", "words"])
 
-    found = rows.select("id", "t", F.col("good").cast("double")).mapInArrow(run, "id long, good double, stats array<double>, words array<long>")
+    found = rows.select("id", "t", F.col("good").cast("double")).mapInArrow(run, "id long, good double, stats array<double>, words array<int>")
     found = found.orderBy("id", "good", "stats").limit(2 * most).toArrow()
     if not found.num_rows:
         return Classifier()
-    words = found.column("words").to_pylist()
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    bucket = np.array([b for w in words for b in w], np.int64)
-    return Classifier().fit(np.array(found.column("stats").to_pylist()), owner, bucket, (found.column("good").to_numpy() >= 0.5).astype(float))
+    words, stats = found.column("words").combine_chunks(), found.column("stats").combine_chunks()
+    owner = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+    good = (found.column("good").to_numpy() >= 0.5).astype(float)
+    return Classifier().fit(stats.flatten().to_numpy().reshape(-1, STATS), owner, words.flatten().to_numpy(), good, prior)
 
 
 def _odds(rate: Column) -> Column:
@@ -162,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     toxic = (F.col("toxic") == 1) if toxic is None else toxic
     harm = labels.select(F.col(id_col).cast("long").alias("id"), toxic.cast("double").alias("good")).where("id IS NOT NULL").groupBy("id").agg(F.avg("good").alias("good"))
-    model, harmful = learn(source.select("id", "t"), truth), learn(source.select("id", "t"), harm)
+    model, harmful = learn(source.select("id", "t"), truth), learn(source.select("id", "t"), harm, prior=PRIOR)
     told = bool(harmful.bias or harmful.dense.any())  # labels of both kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +191,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def op3_quality_model(spark, sf_dir: str) -> DataFrame:
     found = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select("doc_id", "p", "host_rate", "path_rate", "score", "kept")
+    return found.select("doc_id", "p", "host_rate", "path_rate", "score", "p_toxic", "kept")

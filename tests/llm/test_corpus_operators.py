@@ -202,14 +202,15 @@ def test_units_cover_the_texts(texts):
         assert [len(brute.alnum(u)) for u in own] == count[owner == i].tolist()
 
 
+@pytest.mark.parametrize("over_blanks", [False, True])
 @pytest.mark.parametrize("seed", range(6))
-def test_substrings(spark, seed):
+def test_substrings(spark, seed, over_blanks):
     rng = random.Random(seed)
     parts = ["Aa b. ", "b A!\n", "c c c c? ", "\n", "d", "E e e. ", ".. "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(12)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans]) for r in substring_dedup.dedup(docs, min_words=3).collect()}
-    assert found == brute.deduplicated(enumerate(texts), 3)
+    found = {r.doc_id: (r.text, [tuple(s) for s in r.removed_spans]) for r in substring_dedup.dedup(docs, min_words=3, over_blanks=over_blanks).collect()}
+    assert found == brute.deduplicated(enumerate(texts), 3, over_blanks)
 
 
 @pytest.mark.parametrize("between", ["\n\n", "\n***\n", ".\n    ", "\n \t\n---\n\n"])

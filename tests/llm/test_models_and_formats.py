@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def check_shards(rows, texts):
         assert sorted(own) == list(range(len(own)))
 
 
+def winner(key, weights):
+    """The shard of a key by a plain loop over all shards."""
+    def score(shard):
+        h = xxhash.xxh64_intdigest(sharding.SEED.encode(), 42)
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), h) >> 11
+        return -math.log((bits + 0.5) / 2**53) / weights[shard]
+    return min(range(len(weights)), key=score)
+
+
+@pytest.mark.parametrize("weights, grown", [((1.0,) * sharding.SHARDS, 1.0), ((0.5, 3.0, 1.0), 2.0)])
+def test_the_winner_against_a_plain_loop(docs, edge, weights, grown):
+    for r in sharding.assign(docs.select("doc_id", "text").union(edge.select("doc_id", "text")), weights=weights, grown_weight=grown).collect():
+        assert (r.shard, r.grown_shard) == (winner(r.doc_id, weights), winner(r.doc_id, (*weights, grown)))
+
+
 @pytest.mark.parametrize("block", [sharding.BLOCK, 3])
 def test_shards(docs, texts, edge, empty, block):
     check_shards(sharding.assign(docs, block=block).collect(), texts)
@@ -328,6 +346,21 @@ def test_quality_of_held_out_labels(spark):
     assert np.mean(clean) > 0.98 and np.mean(low) < 0.1
 
 
+def test_toxic_documents_with_held_out_labels(spark):
+    """The cutoff was looked at with other labels than these (ids of remainder 1) held out."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r.doc_id: r for r in labels.collect()}
+    rows = [r for r in quality_model.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 3 != 2")).collect() if r.doc_id in truth and r.doc_id % 3 == 2]
+    toxic = [r for r in rows if truth[r.doc_id].toxic == 1]
+    fine = [r for r in toxic if truth[r.doc_id].quality == 1]
+    clean = [r for r in rows if truth[r.doc_id].quality == 1 and truth[r.doc_id].toxic == 0]
+    told = lambda rows: np.mean([r.p_toxic >= quality_model.MAX_TOXIC for r in rows])
+    gone = lambda rows: np.mean([not r.kept for r in rows])
+    print(len(toxic), told(toxic), gone(toxic), len(fine), told(fine), gone(fine), len(clean), told(clean), gone(clean))
+    assert told(fine) > 0.6 and gone(toxic) > 0.6 and gone(clean) < 0.02
+
+
 def test_a_toxic_document_goes_whatever_its_quality_score(spark):
     rng = np.random.default_rng(4)
     rows, labels = [], []
