@@ -184,6 +184,16 @@ def test_blocks_read_their_own_partition(spark, tpch, tmp_path):
     assert listed(blocks.block(2)) == listed(pivot.report_pivot(tpch, codes))
 
 
+def test_blocks_side_by_side_take_no_join_each(tpch, tmp_path):
+    plans = []
+    for width in (5, 500):
+        blocks = pivot.pivot_blocks(tpch, f"{tmp_path}/{width}", width)
+        plans.append((len(blocks.labels), blocks.whole()._jdf.queryExecution().optimizedPlan().toString()))
+    (many, narrow), (one, wide) = plans
+    assert many > 3 and one == 1
+    assert narrow.count("Join ") == wide.count("Join ") <= 4
+
+
 def test_blocks_of_nothing(make_books, tmp_path):
     for name, books in dict(empty=make_books(), plain=make_books(lines=[dict(id=1, debit=5)])).items():
         blocks = pivot.pivot_blocks(books, f"{tmp_path}/{name}")
