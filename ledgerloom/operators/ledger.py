@@ -91,22 +91,33 @@ def _amounts(books: Books, *columns: str, busy: DataFrame | None = None) -> Data
     return _in_ledger(books, lines).select(*columns, "amount")
 
 
-def _day_sums(books: Books) -> DataFrame:
+def _days_of(books: Books) -> DataFrame:
     """Movement and number of lines per account and day of the ledger: the one narrow pass over
-    the journal that opening balances and busy days both start from."""
+    the journal that opening balances and busy days both start from.
+
+    Both come as one value, and both uses filter by the number, so that Spark sees the same sums
+    in them and makes them once."""
     lines = _amounts(books, "account_id", "date")
-    return lines.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"), F.count("*").alias("line_count"))
+    of_day = F.struct(F.sum("amount").alias("amount"), F.count("*").alias("line_count"))
+    return lines.groupBy("account_id", "date").agg(of_day.alias("of_day"))
+
+
+def _day_sums(books: Books) -> DataFrame:
+    """Movement per account and day of the ledger."""
+    days = _days_of(books).where(F.col("of_day.line_count") > 0)
+    return days.select("account_id", "date", F.col("of_day.amount").alias("amount"))
 
 
 def _busy_days(books: Books, id_span: int) -> DataFrame:
     """The days of an account with more than ``id_span`` lines, so at most one per
-    ``id_span`` lines of the journal."""
+    ``id_span`` lines of the journal: few enough to go to every task, ahead of the full lines."""
     return (
-        _day_sums(books)
-        .where(F.col("line_count") > id_span)
+        _days_of(books)
+        .where(F.col("of_day.line_count") > id_span)
         .select(
             F.col("account_id").alias("busy_account"), F.col("date").alias("busy_date"), F.lit(True).alias("busy")
         )
+        .hint("broadcast")
     )
 
 
@@ -181,8 +192,7 @@ def _with_balance(books: Books, base: DataFrame, openings: DataFrame, id_span: i
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        _with_slot(books, base, id_span)
-        .unionByName(openings, allowMissingColumns=True)
+        openings.unionByName(_with_slot(books, base, id_span), allowMissingColumns=True)
         .withColumn("balance", money(F.sum(F.coalesce("opening", debit_less_credit())).over(so_far)))
         .where(F.col("id").isNotNull())
         .select(*LEDGER_COLUMNS)
@@ -207,8 +217,7 @@ def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> Data
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        _with_slot(books, amounts.unionByName(readers, allowMissingColumns=True), id_span)
-        .unionByName(openings, allowMissingColumns=True)
+        openings.unionByName(_with_slot(books, amounts.unionByName(readers, allowMissingColumns=True), id_span), allowMissingColumns=True)
         .withColumn("balance", money(F.sum(F.coalesce("opening", "amount")).over(so_far)))
         .where(F.col("line").isNotNull())
         .select("line.*", "balance")

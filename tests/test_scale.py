@@ -353,3 +353,14 @@ def test_reports_read_the_days_of_the_batch(spark, stored_books):
     lines = [x for x in text.split("\n") if "FileScan" in x and "debit#" in x]
     assert len(lines) == 1 and "date#" in lines[0].split("DataFilters")[1].split("Format")[0]
     assert "ReadSchema: struct<account_id:bigint,company_id:bigint,date:date,debit:decimal(15,2)," in lines[0]
+
+
+def test_derived_lines_are_shuffled_once_each(spark, tpch, small_skew_limits):
+    text = plan(ledger.general_ledger(tpch))
+    # the lines lie by entry when they meet their entries, and meet the busy days where they are
+    assert not re.search(r"Exchange hashpartitioning\(move_id#", text) and text.count("BroadcastHashJoin") >= 2
+    # opening balances and busy days start from the same sums
+    sums = ledger.general_ledger(tpch)._jdf.queryExecution()
+    sums.toRdd().count()
+    final = sums.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"partial_count\(1\)", final)) == len(re.findall(r"partial_sum\(amount", final)) == 1
