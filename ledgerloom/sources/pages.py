@@ -1,10 +1,11 @@
 """The ledger stored in its own order, so that any page of it is read from the files that hold it.
 
-Ledger lines, balances included, lie in ranges of (account, date, id), nulls last, about
-``RANGE`` lines each; a busy account has many. Each line has its place in its range, and a version says for
+Ledger lines, balances included, lie in ranges of (account, date, id), nulls last, of
+``RANGE`` lines each, but for the last of a file; a busy account has many. A file holds the ranges of one task that
+wrote it, so there are as many files as tasks, however short the ranges. Each line has its place in its range, and a version says for
 each range its number of lines, the lines ahead of it, and its last key. So page 7 and page 7 million alike
-read the ranges that the page touches, two at most where it is shorter than a range, and of these the row
-groups that hold its places.
+read the ranges that the page touches, two at most where it is shorter than a range, and of these the pages
+of Parquet that hold its places.
 
 A stored ledger is that of the moment it was built; building it again publishes the new one at once,
 and whoever has a frame of the old one may still read it until ``forget``.
@@ -20,23 +21,25 @@ from ledgerloom.sources.books import Books
 from ledgerloom.sources.published import Published
 from ledgerloom.sources.schemas import AMOUNT, MONEY
 
-#: Lines of a range, about: its bounds are drawn from a sample of the keys.
+#: Lines of a range.
 RANGE = 1_000_000
 
 PART = T.StructField("range", T.LongType())
 PLACE = T.StructField("place", T.LongType())
+CHUNK = T.StructField("chunk", T.LongType())
 _TYPES = {"date": T.DateType(), "move_name": T.StringType(), "ref": T.StringType(), "debit": AMOUNT, "credit": AMOUNT, "balance": MONEY}
 ROWS = T.StructType([*(T.StructField(name, _TYPES.get(name, T.LongType())) for name in ledger.LEDGER_COLUMNS), PLACE])
 ABOUT = T.StructType([
     T.StructField("lines", T.LongType()), T.StructField("ahead", T.LongType()),
     T.StructField("last_account", T.LongType()), T.StructField("last_date", T.DateType()), T.StructField("last_id", T.LongType()),
+    CHUNK,
 ])
 # The number of a row is its partition's, shifted by so many bits, plus its place in the partition.
 _SHIFT = 33
 
 
 def store(spark: SparkSession, path: str) -> Published:
-    return Published(spark, path, ROWS, PART, ABOUT)
+    return Published(spark, path, ROWS, PART, ABOUT, CHUNK)
 
 
 def _key(account: Column, when: Column, number: Column) -> Column:
@@ -52,24 +55,26 @@ def build(books: Books, path: str, lines_per_range: int = RANGE) -> Published:
     if lines_per_range < 1:
         raise ValueError("a range holds at least one line")
     table = store(books.spark, path)
-    ranges = -(-ledger._amounts(books, "id").count() // lines_per_range) or 1
+    # As many tasks as the session's shuffles have, fewer where they are small.
+    place = F.col("number").bitwiseAND((1 << _SHIFT) - 1)
     numbered = (
-        ledger.general_ledger(books).repartitionByRange(ranges, *ledger.default_order())
+        ledger.general_ledger(books).repartitionByRange(*ledger.default_order())
         .sortWithinPartitions(*ledger.default_order())
         .withColumn("number", F.monotonically_increasing_id())
-        .withColumn(PART.name, F.shiftright("number", _SHIFT))
-        .withColumn(PLACE.name, F.col("number").bitwiseAND((1 << _SHIFT) - 1))
+        .withColumn(CHUNK.name, F.shiftright("number", _SHIFT))
+        .withColumn(PART.name, F.col("number") - place + F.floor(place / lines_per_range))
+        .withColumn(PLACE.name, place % lines_per_range)
     )
     generation = table.write(numbered, arranged=True)
     own = _key(F.col("account_id"), F.col("date"), F.col("id"))
-    found = table.written(generation).groupBy(PART.name).agg(
+    found = table.written(generation).groupBy(PART.name, CHUNK.name).agg(
         F.count("*").alias("lines"), F.max_by(F.struct("account_id", "date", "id"), own).alias("last")
     )
-    # One row per range: a million of them at 10^12 lines.
+    # One row per range: a million of them at 10^12 lines, with a million lines each.
     before = Window.orderBy(PART.name).rowsBetween(Window.unboundedPreceding, -1)
     parts = found.select(
         PART.name, "lines", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"),
-        F.col("last.account_id").alias("last_account"), F.col("last.date").alias("last_date"), F.col("last.id").alias("last_id"),
+        F.col("last.account_id").alias("last_account"), F.col("last.date").alias("last_date"), F.col("last.id").alias("last_id"), CHUNK.name,
     )
     table.publish(parts, generation, gone=table.entries().select(PART.name))
     return table

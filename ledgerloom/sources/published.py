@@ -21,13 +21,21 @@ GENERATION = "generation"
 
 @dataclass(frozen=True)
 class Published:
-    """``schema`` without the part's column, ``part`` that column, ``about`` what a version says of a part."""
+    """``schema`` without the part's column, ``part`` that column, ``about`` what a version says of a part.
+
+    Where parts are small and many, ``folder`` names a further column by which rows lie in folders, each of many
+    parts, and ``about`` has it too; otherwise each part has a folder."""
 
     spark: SparkSession
     path: str
     schema: T.StructType
     part: T.StructField
     about: T.StructType = T.StructType()
+    folder: T.StructField | None = None
+
+    @property
+    def _place(self) -> list[T.StructField]:
+        return [self.part] if self.folder is None else [self.part, self.folder]
 
     @property
     def data(self) -> str:
@@ -62,7 +70,7 @@ class Published:
         return self.spark.read.schema(self._entry).parquet(self._version_path(number)).where(F.col(VERSION) == number)
 
     def _stored(self) -> DataFrame:
-        schema = T.StructType([*self.schema, T.StructField(GENERATION, T.StringType()), self.part])
+        schema = T.StructType([*self.schema, T.StructField(GENERATION, T.StringType()), *self._place])
         where, files = self._hadoop(self.data)
         if not files.exists(where):
             return self.spark.createDataFrame([], schema)
@@ -70,15 +78,16 @@ class Published:
 
     def read(self, entries: DataFrame | None = None) -> DataFrame:
         """The rows of the newest version, or of the given ``entries``; superseded files are pruned."""
-        holding = (self.entries() if entries is None else entries).select(GENERATION, self.part.name)
-        return self._stored().join(holding, [GENERATION, self.part.name]).drop(GENERATION)
+        keys = [GENERATION, *(f.name for f in self._place)]
+        holding = (self.entries() if entries is None else entries).select(*keys)
+        return self._stored().join(holding, keys).drop(GENERATION, *(f.name for f in self._place[1:]))
 
     def write(self, rows: DataFrame, arranged: bool = False) -> str:
         """Add the rows as a generation of its own, which no version names yet. Rows that are ``arranged``
         by part already are not shuffled for it."""
         generation = f"g{uuid.uuid4().hex}"
-        name = self.part.name
-        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in [*self.schema, self.part]])
+        name = self._place[-1].name
+        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in [*self.schema, *self._place]])
         placed = typed if arranged else typed.hint("rebalance", F.col(name))
         placed.write.partitionBy(name).parquet(f"{self.data}/{GENERATION}={generation}")
         return generation

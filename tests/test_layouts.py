@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def test_pages_after_keys_that_no_line_has(spark, make_books, tmp_path):
         assert listed(pages.page_after(spark, str(tmp_path), *key, size=9)) == listed(ledger.ledger_next_page(books, *key, size=9))
 
 
+def test_short_ranges_share_files(spark, stored, tmp_path, make_books):
+    path, whole = stored
+    table = pages.store(spark, path)
+    files = len(list(Path(path).glob("data/*/*/*.parquet")))
+    assert 0 < files <= int(spark.conf.get("spark.sql.shuffle.partitions")) < len(table.entries().collect())
+    # and each is full but for the last of its file
+    pages.build(make_books(lines=[dict(id=i, debit=i) for i in range(1, 41)]), str(tmp_path), 3)
+    sizes = [r.lines for r in pages.store(spark, str(tmp_path)).entries().orderBy("range").collect()]
+    assert sum(sizes) == 40 and max(sizes) == 3 and sum(n < 3 for n in sizes) <= 8
+
+
 def test_building_again_publishes_at_once(spark, make_books, tmp_path):
     def books(n):
         return make_books(lines=[dict(id=i, debit=i) for i in range(1, n + 1)])
