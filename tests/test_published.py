@@ -14,8 +14,10 @@ from pyspark.sql import functions as F, types as T
 from ledgerloom import load_books
 from ledgerloom.operators import ledger, reports
 from ledgerloom.plans import definitions as d
+from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.plans.oracle import ORACLE
-from ledgerloom.sources import report_store, standing
+from ledgerloom.sources import report_store, standing, text_index
+from ledgerloom.sources.books import by_month as by_month_of, stored
 from ledgerloom.sources.published import Published
 
 
@@ -301,3 +303,32 @@ def test_oracle_under_a_limit(sf_dir, name):
         assert len(con.execute(f"SELECT * FROM ({ORACLE[name]}) LIMIT 10").fetchall()) > 0
     finally:
         timer.cancel()
+
+
+# lines that are derived once
+
+def test_queries_that_read_the_lines_again_derive_them_once(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    def spied(module, name):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *given: (seen.setdefault(name, []).append(given[0].lines), made(*given))[1])
+
+    for module, name in ((report_store, "run_reports"), (standing, "build"), (standing, "post"), (text_index, "build"), (text_index, "add")):
+        spied(module, name)
+    found = [QUERIES[name](spark, sf_dir) for name in ("report_refresh_touched", "ledger_between_folded_balances", "ledger_search_indexed_ref")]
+    assert {name: len(lines) for name, lines in seen.items()} == {"run_reports": 2, "build": 2, "post": 1, "add": 1}
+    for df in [*found, *(lines for own in seen.values() for lines in own)]:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "row_number" not in text and "l_partkey" not in text
+
+
+def test_stored_lines_are_the_same_lines(spark, make_books, tpch, tmp_path):
+    edge = make_books(lines=[dict(id=1, date=None, account_id=None, ref=""), dict(id=2, move_id=None, debit=-3, parent_state=None)])
+    for n, books in enumerate((tpch, edge, make_books())):
+        kept = stored(books, str(tmp_path / str(n)))
+        assert kept.lines.dtypes == books.lines.dtypes and rows(kept.lines) == rows(books.lines)
+        assert kept.complete == books.complete and kept.month is None
+    months = stored(by_month_of(tpch, str(tmp_path / "months")), str(tmp_path / "again"))
+    assert months.month is None and rows(months.lines) == rows(tpch.lines)
+    assert rows(ledger.ledger_between(months, "1996-03-01", "1996-03-31")) == rows(ledger.ledger_between(tpch, "1996-03-01", "1996-03-31"))
