@@ -52,7 +52,8 @@ def _closings(movements: DataFrame, first: str, last: str) -> DataFrame:
     """Rows of the months from ``first`` to ``last`` from all movements in them, and earlier ones in
     whatever pieces."""
     account = Window.partitionBy("account_id").orderBy("date")
-    summed = movements.groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
+    # Dealt by account once, rows lie as the sums and the window want them.
+    summed = movements.repartition("account_id").groupBy("account_id", "date").agg(F.sum("amount").alias("amount"))
     start = F.lit(f"{first}-01").cast("date")
     days = summed.select(
         "account_id", "date",
@@ -95,7 +96,7 @@ def _parts(table: Published, version: int | None) -> tuple[list[str], list[str]]
 def build(books: Books, path: str) -> Published:
     """Store the balances of all ledger lines; one pass over the journal."""
     table, movements = store(books.spark, path), _movements(books)
-    table_of_days = table.written(table.write(movements.withColumn(PART.name, F.lit(BATCH))))
+    table_of_days = table.written(table.write(movements.withColumn(PART.name, F.lit(BATCH)), arranged=True))
     span = _span(table_of_days)
     months = _months(*span) if span else []
     rows = _closings(table_of_days.drop(PART.name), *span) if span else table_of_days.limit(0)
@@ -109,7 +110,7 @@ def post(books: Books, lines: DataFrame, path: str, sign: int = 1) -> Published:
     """Add lines that were posted (or with ``sign`` -1 taken back) since, whatever their dates."""
     table, part = store(books.spark, path), f"{BATCH}{uuid.uuid4().hex}"
     rows = _movements(books, lines).withColumn("amount", F.col("amount") * sign)
-    table.publish(_part_frame(books.spark, [part]), table.write(rows.withColumn(PART.name, F.lit(part))))
+    table.publish(_part_frame(books.spark, [part]), table.write(rows.withColumn(PART.name, F.lit(part)), arranged=True))
     return table
 
 
@@ -149,10 +150,11 @@ def fold(spark: SparkSession, path: str) -> Published:
         return table
     first, last = span[0], max([span[1], *months])
     opening = _brought_forward(table, entries, months, f"{first}-01").withColumn("date", F.date_sub(F.lit(f"{first}-01").cast("date"), 1))
-    # A closing less the one before it is the day's movement; balances brought forward give zeros.
+    # A closing less the one before it is the day's movement. Balances brought forward, dated ahead of their
+    # month, repeat a closing, so only days of their own month are read.
     by_account = Window.partitionBy("account_id").orderBy("date")
-    later = table.read(entries.where((F.col(PART.name) >= first) & ~F.col(PART.name).startswith(BATCH))).drop(PART.name).distinct()
-    closings = later.where(F.col("date") >= F.lit(f"{first}-01").cast("date")).unionByName(opening)
+    later = table.read(entries.where((F.col(PART.name) >= first) & ~F.col(PART.name).startswith(BATCH)))
+    closings = later.where(_month("date") == F.col(PART.name)).drop(PART.name).unionByName(opening)
     moved = closings.select("account_id", "date", (F.col("amount") - F.coalesce(F.lag("amount").over(by_account), F.lit(0))).alias("amount"))
     movements = moved.where("amount <> 0").unionByName(posted)
     table.publish(_part_frame(spark, _months(first, last)), table.write(_closings(movements, first, last)), _part_frame(spark, batches))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import threading
 from dataclasses import replace
 from datetime import date, timedelta
@@ -277,6 +278,22 @@ def test_fold_leaves_earlier_months_alone(spark, by_month):
     assert rows(between(books, path, "1998-01-15", "1998-02-28")) == rows(ledger.ledger_between(books, "1998-01-15", "1998-02-28"))
 
 
+def test_fold_deals_days_by_account_only(spark, make_books, tmp_path, monkeypatch):
+    lines = [dict(id=i, account_id=i % 3, debit=i, date=date(2020, 1, 1) + timedelta(days=17 * i)) for i in range(40)]
+    books, path = make_books(lines=lines), str(tmp_path / "balances")
+    plans, write = [], Published.write
+    monkeypatch.setattr(Published, "write", lambda table, rows, *a, **k: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(table, rows, *a, **k))[1])
+    standing.build(replace(books, lines=books.lines.where("id % 4 > 0 or id <= 8")), path)
+    standing.post(books, books.lines.where("id % 4 = 0 and id > 8"), path)
+    standing.fold(spark, path)
+    for stored_days in (plans[1], plans[3]):
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", stored_days.split("== Initial Plan ==")[-1])
+        # the movements of each day come back from the closings of its own month, once
+        assert dealt and all(re.fullmatch(r"account_id#\d+L?", keys) for keys in dealt), dealt
+    for start in ("2020-01-01", "2020-06-15", "2021-02-01", "2022-01-01"):
+        assert rows(between(books, path, start, "2023-01-01")) == rows(ledger.ledger_between(books, start, "2023-01-01"))
+
+
 # pages among lines without account
 
 def test_pages_go_on_among_lines_without_account(make_books):
