@@ -178,6 +178,22 @@ def test_only_touched_reports_are_rewritten(spark, make_books, make_reports, tmp
     assert rows(report_store.read_report_headers(spark, path)) == rows(whole.headers)
 
 
+def test_a_refresh_looks_its_reports_up_once(spark, make_books, make_reports, tmp_path, monkeypatch):
+    lines = [dict(id=1, account_id=1, debit=5, date=date(2020, 2, 1)), dict(id=2, account_id=1, debit=7, date=date(2021, 2, 1))]
+    books = make_books(lines=lines, accounts=[dict(id=1, code="70", internal_type="income")])
+    batch = make_reports(dict(report_id=1), dict(report_id=2, date_start=date(2021, 1, 1), date_end=date(2021, 12, 31), analytic_account_ids=[]))
+    seen, run, path = [], report_store.run_reports, str(tmp_path / "reports")
+    run(books, batch, path)
+    monkeypatch.setattr(report_store, "run_reports", lambda b, r, p: (seen.append(r), run(b, r, p))[1])
+    for condition, ids in (("id = 2", [2]), ("id > 2", [])):
+        found = report_store.refresh_touched(books, batch, books.lines.where(condition), path)
+        text = seen[-1]._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "Join" not in text and text.count("FileScan") == 1
+        assert rows(seen[-1]) == rows(batch.where(F.col("report_id").isin(ids))) and seen[-1].dtypes == batch.dtypes
+        assert sorted(r.report_id for r in found.headers.collect()) == ids
+    assert sorted(r.report_id for r in report_store.read_report_headers(spark, path).collect()) == [1, 2]
+
+
 def test_repeated_ids_are_rejected(spark, make_books, make_reports, tmp_path):
     books = make_books(lines=[dict(id=1, credit=5)], accounts=[dict(id=1, internal_type="income")])
     batch = make_reports(dict(report_id=1), dict(report_id=1, name="again"), dict(report_id=2), dict(report_id=None), dict(report_id=None))
