@@ -368,3 +368,24 @@ def test_derived_lines_are_shuffled_once_each(tpch, no_broadcast):
     execution.toRdd().count()
     final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("partial_sum(amount") == 1
+
+
+@pytest.mark.parametrize("make", [
+    ledger.general_ledger,
+    lambda b: ledger.general_ledger(b).select(*ledger.LIST_COLUMNS),
+    lambda b: ledger.ledger_search(b, move_name="move/7"),
+])
+def test_sums_and_lines_share_the_shuffle_of_the_items(tpch, no_broadcast, make):
+    execution = make(replace(tpch, companies=tpch.companies.hint("broadcast")))._jdf.queryExecution()
+    execution.toRdd().count()
+    final = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    items = [x for x in final.split("\n") if "FileScan" in x and "l_extendedprice#" in x]
+    # the days' sums read what numbers the lines, so they take the lines' own shuffle, and none of fewer columns
+    assert items and all("l_discount#" in x for x in items)
+
+
+@pytest.mark.parametrize("complete", [False, True])
+def test_a_day_of_lines_without_id_counts(make_books, complete):
+    books = make_books([{"id": None, "date": date(2020, 1, 1), "debit": 5}, {"id": 2, "date": date(2020, 1, 2), "debit": 3}])
+    rows = ledger.general_ledger(replace(books, complete=complete)).collect()
+    assert [(r.id, r.balance) for r in rows] == [(2, 8)]
