@@ -322,6 +322,22 @@ def test_partitions_train_on_all_windows_of_all_documents(spark):
     assert sum(found.column("n").to_pylist()) == sum(-(-(len(x) + 1) // lm_scoring.STRIDE) for x in ids)
 
 
+def test_texts_are_encoded_once_for_counts_and_training(spark):
+    texts = [None, "", " a\u2003b\tA  z", "\u00e9t\u00e9 \u4f60\u597d 12", " ".join(f"Word{i * i % 89}" for i in range(900))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    encode = lm_scoring.subwords.loaded(lm_scoring.TOKENIZER, " ")
+    size, ids = encode.tokenizer.get_vocab_size(), lm_scoring._ids(texts, encode)
+    kind = lm_scoring.number_type(lm_scoring.TOKENIZER)
+    coded = lm_scoring.encoded(docs, lm_scoring.TOKENIZER)
+    rows = coded.collect()
+    assert [np.frombuffer(r.ids, kind).tolist() for r in rows] == [x.tolist() for x in ids]
+    assert [r.size for r in rows] == [len((t or "").encode()) for t in texts]
+    assert {r.id: r.n for r in lm_scoring.id_counts(coded, kind).collect()} == Counter(i for x in ids for i in x.tolist())
+    vocabulary = lm_scoring.Vocabulary(np.ones(size + 1), [encode.tokenizer.id_to_token(i) or "" for i in range(size)], ids)
+    found, same = (lm_scoring.continued(x, lm_scoring.Attention.fresh(), vocabulary, lm_scoring.TOKENIZER).to_pylist() for x in (docs, coded))
+    assert found == same and found[0]["n"] == sum(-(-(len(x) + 1) // lm_scoring.STRIDE) for x in ids)
+
+
 @pytest.mark.parametrize("head", [lm_scoring.HEAD, 3])
 def test_scores_of_edge_cases(edge, empty, head):
     once = edge.dropDuplicates(["doc_id"])
