@@ -338,6 +338,38 @@ def test_texts_are_encoded_once_for_counts_and_training(spark):
     assert found == same and found[0]["n"] == sum(-(-(len(x) + 1) // lm_scoring.STRIDE) for x in ids)
 
 
+def test_training_begins_with_all_documents_whole(spark, monkeypatch):
+    """More than a thousand documents, one of them long: each pass takes all windows, those of short partitions in one task,
+    and leaves are ordered by all texts."""
+    texts = [f"word{i % 37} word{i % 53} {'x' * (i % 5)}" for i in range(1500)] + [" ".join(f"word{i * i % 89}" for i in range(12_000))]
+    assert len(texts[-1]) > 1 << 16
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = lm_scoring._ids([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], lm_scoring.subwords.loaded(lm_scoring.TOKENIZER, " "))
+    passes, made = [], []
+    continued, vocabulary = lm_scoring.continued, lm_scoring.Vocabulary
+
+    def watched(coded, model, vocabulary, tokenizer, rate=lm_scoring.LOCAL_RATE, *more):
+        found = continued(coded, model, vocabulary, tokenizer, rate, *more)
+        passes.append((rate, found.column("n").to_pylist()))
+        return found
+
+    def noted(*args, **named):
+        made.append((args, named))
+        return vocabulary(*args, **named)
+
+    monkeypatch.setattr(lm_scoring, "continued", watched)
+    monkeypatch.setattr(lm_scoring, "Vocabulary", noted)
+    lm_scoring.score(docs)
+    whole = sum(-(-(len(x) + 1) // lm_scoring.STRIDE) for x in ids)
+    assert passes == [(lm_scoring.RATE, [whole])] * lm_scoring.EPOCHS + [(lm_scoring.LOCAL_RATE, [whole])]
+    (counts, tokens), named = made[0]
+    leaf = lm_scoring.leaves_by_count(counts, tokens)
+    pairs = Counter((int(a), int(b)) for x in ids for own in [leaf[[*x, len(tokens)]]] for a, b in zip(own[1:], own))
+    follows = named["follows"].reshape(lm_scoring.LEAVES, lm_scoring.LEAVES)
+    assert {(int(a), int(b)): int(follows[a, b]) for a, b in zip(*np.nonzero(follows))} == pairs
+    assert (vocabulary(counts, tokens, ids).leaf == vocabulary(counts, tokens, **named).leaf).all()
+
+
 @pytest.mark.parametrize("head", [lm_scoring.HEAD, 3])
 def test_scores_of_edge_cases(edge, empty, head):
     once = edge.dropDuplicates(["doc_id"])
