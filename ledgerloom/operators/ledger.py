@@ -80,6 +80,16 @@ def general_ledger(books: Books, ordered: bool = False, id_span: int = ID_SPAN)
     return ledger.orderBy(*default_order()) if ordered else ledger
 
 
+def arranged_ledger(books: Books, id_span: int = ID_SPAN) -> DataFrame:
+    """The ledger with its partitions, and the lines in each, in default order; ``partition`` numbers them.
+
+    Lines are dealt by ranges of account, day and slot, and the window that makes the balances
+    goes through them in that order, so the order costs no shuffle of full lines beyond that of the
+    balances. No task gets more of a day than ``id_span`` lines at once, as in ``general_ledger``.
+    """
+    return _with_balance(books, ledger_base(books), _opening_balances(books, books, id_span), id_span, arranged=True)
+
+
 def _amounts(books: Books, *columns: str, busy: DataFrame | None = None) -> DataFrame:
     """The lines of the ledger, as ``columns`` and their amount; on ``busy`` days only, if given.
 
@@ -189,18 +199,24 @@ def _opening_balances(
     return days.unionByName(slot_openings)
 
 
-def _with_balance(books: Books, base: DataFrame, openings: DataFrame, id_span: int) -> DataFrame:
+def _with_balance(books: Books, base: DataFrame, openings: DataFrame, id_span: int, arranged: bool = False) -> DataFrame:
     """Running sum inside each day or slot, led by its opening balance (a row without id)."""
+    rows, keys = openings.unionByName(_with_slot(books, base, id_span), allowMissingColumns=True), ["account_id", "date", "slot"]
+    if arranged:
+        # Nulls come last by columns of their own, since a window sorts what it is partitioned by with nulls first.
+        # The partition's number comes first, so that who writes a folder for each finds the lines sorted by it.
+        keys = ["no_account", "account_id", "no_date", "date", "slot"]
+        rows = rows.withColumns({"no_account": F.col("account_id").isNull(), "no_date": F.col("date").isNull()}).repartitionByRange(*keys)
+        rows, keys = rows.withColumn("partition", F.spark_partition_id().cast("long")), ["partition", *keys]
     so_far = (
-        Window.partitionBy("account_id", "date", "slot").orderBy(F.col("id").asc_nulls_first())
+        Window.partitionBy(*keys).orderBy(F.col("id").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        openings.unionByName(_with_slot(books, base, id_span), allowMissingColumns=True)
-        .withColumn("balance", money(F.sum(F.coalesce("opening", debit_less_credit())).over(so_far)))
-        .where(F.col("id").isNotNull())
-        .select(*LEDGER_COLUMNS)
-    )
+    ledger = rows.withColumn("balance", money(F.sum(F.coalesce("opening", debit_less_credit())).over(so_far))).where(F.col("id").isNotNull())
+    if arranged:
+        # As the window leaves them, so Spark does not sort again.
+        return ledger.sortWithinPartitions(*keys, "id").select(*LEDGER_COLUMNS, "partition")
+    return ledger.select(*LEDGER_COLUMNS)
 
 
 def _balance_at(books: Books, chosen: DataFrame, id_span: int = ID_SPAN) -> DataFrame:

@@ -51,17 +51,15 @@ def _key(account: Column, when: Column, number: Column) -> Column:
 
 
 def build(books: Books, path: str, lines_per_range: int = RANGE) -> Published:
-    """Store the whole ledger. One shuffle by ranges of the order beyond what the ledger itself takes."""
+    """Store the whole ledger. Its lines are shuffled as often as those of the ledger itself."""
     if lines_per_range < 1:
         raise ValueError("a range holds at least one line")
     table = store(books.spark, path)
     # As many tasks as the session's shuffles have, fewer where they are small.
     place = F.col("number").bitwiseAND((1 << _SHIFT) - 1)
     numbered = (
-        ledger.general_ledger(books).repartitionByRange(*ledger.default_order())
-        .sortWithinPartitions(*ledger.default_order())
+        ledger.arranged_ledger(books).withColumnRenamed("partition", CHUNK.name)
         .withColumn("number", F.monotonically_increasing_id())
-        .withColumn(CHUNK.name, F.shiftright("number", _SHIFT))
         .withColumn(PART.name, F.col("number") - place + F.floor(place / lines_per_range))
         .withColumn(PLACE.name, place % lines_per_range)
     )

@@ -86,6 +86,25 @@ def test_short_ranges_share_files(spark, stored, tmp_path, make_books):
     assert sum(sizes) == 40 and max(sizes) == 3 and sum(n < 3 for n in sizes) <= 8
 
 
+def test_a_stored_ledger_shuffles_full_lines_once(spark, tpch, tmp_path, monkeypatch):
+    """The shuffle that the balances need puts the lines in order, too, and no second sort follows."""
+    written, write = [], pages.Published.write
+    monkeypatch.setattr(pages.Published, "write", lambda self, frame, **how: written.append(frame) or write(self, frame, **how))
+    pages.build(tpch, str(tmp_path), 400)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString().split("\n")
+    above = plan[:next(i for i, line in enumerate(plan) if "Union" in line)]
+    assert sum("Exchange " in line for line in above) == sum("Sort " in line for line in above) == 1
+    ordering = written[0]._jdf.queryExecution().optimizedPlan().outputOrdering()
+    assert ordering.head().child().name() == pages.CHUNK.name  # so that writing does not sort either
+
+
+def test_the_order_goes_on_through_cut_days_and_nulls(spark, make_books):
+    lines = [dict(id=n * 7 % 97, account_id=None if n % 5 == 0 else n % 2, debit=n, date=None if n % 3 == 0 else date(2020, 1, 1 + n % 2))
+             for n in range(1, 97)]
+    books = make_books(lines=lines)
+    assert listed(ledger.arranged_ledger(books, id_span=4).drop("partition")) == listed(ledger.general_ledger(books, ordered=True))
+
+
 def test_building_again_publishes_at_once(spark, make_books, tmp_path):
     def books(n):
         return make_books(lines=[dict(id=i, debit=i) for i in range(1, n + 1)])
