@@ -232,6 +232,19 @@ def test_blocks_of_nothing(make_books, tmp_path):
         assert [r.total_balance for r in blocks.whole().collect()] == ([] if name == "empty" else [5])
 
 
+def test_wide_rows_are_made_in_all_tasks_from_arrays(spark, tpch, tmp_path):
+    """Narrow rows are few bytes, but not few cells; and a cell is not searched for."""
+    blocks = pivot.pivot_blocks(tpch, str(tmp_path), 4)
+    found = blocks.whole()
+    label = blocks.labels[1][2]
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert "[2] AS " + label in top
+    lengths = spark.createDataFrame(found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
+    assert lengths.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [(r.account_code, r.company_id, r.account_name) for r in found.select("account_code", "company_id", "account_name").collect()]
+    assert keys == sorted(keys, key=lambda k: tuple((x is None, x) for x in k))
+
+
 # SQL functions
 
 START, END = "1996-03-01", "1997-02-28"
